@@ -25,7 +25,7 @@ MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 # Year first, then optional time, fraction and offset. A bare year is no date.
 _ISO = (
     r"^(\d{4}-\d{1,2}-\d{1,2})"
-    r"(?:[ T](\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|[+-]\d{2}:?(?:\d{2})?)?)?$"
+    r"(?:[ T](\d{1,2}:\d{2})(:\d{2}(?:\.\d+)?)?\s*(Z|[+-]\d{2}:?(?:\d{2})?)?)?$"
 )
 _OUTER_SPACE = r"^\s+|\s+$"
 
@@ -54,12 +54,13 @@ def instant_to_utc(instant: Column) -> Column:
 def parse_utc(text: Column) -> Column:
     """ISO-8601 text to a UTC wall clock; text without an offset is UTC; anything else is null."""
     t = strip(text)
-    day, clock, offset = (F.regexp_extract(t, _ISO, i) for i in (1, 2, 3))
+    day, clock, seconds, offset = (F.regexp_extract(t, _ISO, i) for i in (1, 2, 3, 4))
+
+    def default(part: Column, text: str) -> Column:
+        return F.when(part == "", F.lit(text)).otherwise(part)
+
     full = F.concat(
-        day,
-        F.lit(" "),
-        F.when(clock == "", F.lit("00:00:00")).otherwise(clock),
-        F.when(offset == "", F.lit("Z")).otherwise(offset),
+        day, F.lit(" "), default(clock, "00:00"), default(seconds, ":00"), default(offset, "Z")
     )
     return instant_to_utc(F.when(t.rlike(_ISO), full).try_cast("timestamp"))
 

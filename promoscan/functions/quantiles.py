@@ -1,10 +1,9 @@
 """Exact quantiles (linear interpolation) that never hold all values in one task.
 
-Spark's ``percentile`` keeps a map of every distinct value on one reducer. Here the values
-are first collapsed to (value, count); each round then counts them in ``BUCKETS`` equal-width
-buckets, keeps only the buckets that contain a wanted rank, and zooms in on those. After the
-rounds the few values left are ranked by a sort. Bucketing is monotone, so every kept bucket
-is a closed value range and the answer is exact for any distribution.
+Spark's ``percentile`` keeps a map of every distinct value on one reducer. Here the values are
+first collapsed to (value, count) and counted in buckets of about a thousandth of their size.
+Running totals over the buckets show which ones hold a wanted rank; only the values of those
+few are then sorted. Bucketing is monotone, so the answer is exact for any distribution.
 """
 
 from __future__ import annotations
@@ -14,127 +13,90 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 65_536
-ROUNDS = 2
+# A bucket spans a factor of exp(1/1024); below 1e-9 buckets have equal width. All doubles
+# fall in fewer than 1.5 million buckets, which bounds the running totals.
+BUCKETS_PER_E_FOLD = 1024
+LINEAR_BELOW = 1e-9
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., v, n): how often each non-null number occurs, combined before the shuffle."""
-    number = F.col(value)
-    if dict(df.dtypes)[value] in ("double", "float"):
-        number = F.when(~F.isnan(number), number)
+def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., v, n): how often each number occurs, combined before the shuffle."""
     return (
-        df.select(*by, number.alias("v"))
-        .where(F.col("v").isNotNull())
+        df.select(*by, value.alias("v"))
+        .where(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy(*by, "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def _position(total: Column, prob: float) -> Column:
-    return (total - 1) * F.lit(float(prob))
+def _bucket(v: Column) -> Column:
+    size = F.log1p(F.least(F.abs(v) / LINEAR_BELOW, F.lit(1e308)))
+    # Never null, so that no null check is pushed below one of the two uses of the counts:
+    # they stay the same plan, and the shuffle is done once.
+    return F.coalesce(F.floor(F.signum(v) * size * BUCKETS_PER_E_FOLD), F.lit(0).cast("bigint"))
 
 
-def _rank_pair(total: Column, prob: float) -> tuple[Column, Column]:
-    """The two zero-based ranks to interpolate between."""
-    low = F.floor(_position(total, prob)).cast("bigint")
-    return low, F.least(low + 1, total - 1)
-
+def _position(prob: float) -> Column:
+    return (F.col("total") - 1) * F.lit(float(prob))
 
-def _with_targets(values: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Keep the values that fall in a target range and add that range as ``t``.
 
-    ``targets`` holds one short array per group: one scalar, or a broadcast of the groups.
-    """
-    if by:
-        renamed = targets.select(*[F.col(c).alias(f"_by_{c}") for c in by], "ts")
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-        joined = values.join(F.broadcast(renamed), same, "inner").drop(*[f"_by_{c}" for c in by])
-    else:
-        joined = values.withColumn("ts", targets.select("ts").scalar())
-    inside = F.filter("ts", lambda t: (t["lo"] <= F.col("v")) & (F.col("v") <= t["hi"]))
-    return joined.select(*by, "v", "n", F.get(inside, F.lit(0)).alias("t")).where(
-        F.col("t").isNotNull()
-    )
+def _rank_pair(prob: float) -> tuple[Column, Column]:
+    """The two zero-based ranks to interpolate between."""
+    low = F.floor(_position(prob))
+    return low, F.least(low + 1, F.col("total") - 1)
 
 
-def exact_quantiles(
-    values: DataFrame,
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    buckets: int = BUCKETS,
-    rounds: int = ROUNDS,
-) -> DataFrame:
-    """(by..., total, q): ``q`` is an array with one double per probability.
+def exact_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., total, mean, q): ``q`` is an array with one double per probability.
 
-    ``values`` comes from :func:`value_counts`. Without ``by`` there is always one row, with
-    null entries when there are no values. With ``by`` the groups must be few enough to
-    broadcast (see ``functions.skew``).
+    ``values`` comes from :func:`value_counts`. Without ``by`` there is always one row, of
+    nulls when there are no values. With ``by`` the groups must be few enough to broadcast
+    two rows per probability each (see ``functions.skew``).
     """
     by = list(by)
-    target = F.struct("lo", "hi", "base", "total")
-    targets = (
-        values.groupBy(*by)
-        .agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-        .select(*by, F.lit(0).cast("bigint").alias("base"), "lo", "hi", "total")
-        .select(*by, F.array(target).alias("ts"))
-    )
-    for _ in range(rounds):
-        lo, hi, v = F.col("t.lo"), F.col("t.hi"), F.col("v")
-        bucket = F.when(
-            hi > lo, F.least(F.floor((v - lo) / (hi - lo) * buckets), F.lit(buckets - 1))
-        ).otherwise(F.lit(0))
-        counted = (
-            _with_targets(values, targets, by)
-            .select(*by, lo.alias("range"), bucket.alias("b"), "v", "n", "t.base", "t.total")
-            .groupBy(*by, "range", "b")
-            .agg(
-                F.sum("n").alias("c"),
-                F.min("v").alias("lo"),
-                F.max("v").alias("hi"),
-                F.max("base").alias("base"),
-                F.max("total").alias("total"),
-            )
+    whole = Window.partitionBy(*by)
+    running = Window.unboundedPreceding, Window.currentRow
+    # Where the bucket (or value) begins in the order of all values, and where it ends.
+    begin, end = F.col("begin"), F.col("begin") + F.col("n")
+
+    bucketed = values.withColumn("b", _bucket(F.col("v")))
+    ranks = F.array(*[rank for p in probs for rank in _rank_pair(p)])
+    wanted = (
+        bucketed.groupBy(*by, "b")
+        .agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"))
+        .select(
+            *by,
+            "b",
+            "n",
+            (F.sum("n").over(whole.orderBy("b").rowsBetween(*running)) - F.col("n")).alias("begin"),
+            F.sum("n").over(whole).alias("total"),
+            (F.sum("s").over(whole) / F.sum("n").over(whole)).alias("mean"),
         )
-        # At most `buckets` rows per window partition.
-        running = Window.partitionBy(*by, "range").orderBy("b").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-        total = F.col("total")
-        ranks = F.array(*[r for p in probs for r in _rank_pair(total, p)])
-        wanted = F.exists(ranks, lambda r: (r >= F.col("base")) & (r < F.col("base") + F.col("c")))
-        targets = (
-            counted.withColumn("base", F.col("base") + F.sum("c").over(running) - F.col("c"))
-            .where(wanted)
-            .groupBy(*by)
-            .agg(F.collect_list(target).alias("ts"))
-        )
-
-    running = Window.partitionBy(*by, "range").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+        .where(F.exists(ranks, lambda r: (r >= begin) & (r < end)))
+        .select(*[F.col(c).alias(f"_{c}") for c in (*by, "b")], "begin", "total", "mean")
     )
-    ranked = (
-        _with_targets(values, targets, by)
-        .select(*by, F.col("t.lo").alias("range"), "v", "n", "t.base", "t.total")
-        .withColumn("base", F.col("base") + F.sum("n").over(running) - F.col("n"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("b") == F.col("_b")]
+    inside = F.sum("n").over(Window.partitionBy(*by, "b").orderBy("v").rowsBetween(*running))
+    ranked = bucketed.join(F.broadcast(wanted), same, "inner").select(
+        *by, F.col("v").cast("double"), "n", (begin + inside - F.col("n")).alias("begin"), "total", "mean"
     )
-    total, v = F.col("total"), F.col("v").cast("double")
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("base")) & (rank < F.col("base") + F.col("n")), v))
+        return F.max(F.when((rank >= begin) & (rank < end), F.col("v")))
 
-    ends = []
+    ends = {}
     for i, p in enumerate(probs):
-        low, high = _rank_pair(total, p)
-        ends += [at(low).alias(f"low{i}"), at(high).alias(f"high{i}")]
-    picked = ranked.groupBy(*by).agg(F.max("total").alias("total"), *ends)
+        low, high = _rank_pair(p)
+        ends |= {f"low{i}": at(low), f"high{i}": at(high)}
+    picked = ranked.groupBy(*by).agg(
+        F.max("total").alias("total"),
+        F.max("mean").alias("mean"),
+        *[value.alias(name) for name, value in ends.items()],
+    )
 
     def between(i: int, p: float) -> Column:
-        part = _position(total, p) - F.floor(_position(total, p))
+        part = _position(p) - F.floor(_position(p))
         return F.col(f"low{i}") + part * (F.col(f"high{i}") - F.col(f"low{i}"))
 
-    return picked.select(
-        *by, "total", F.array(*[between(i, p) for i, p in enumerate(probs)]).alias("q")
-    )
+    quantiles = F.array(*[between(i, p) for i, p in enumerate(probs)])
+    return picked.select(*by, "total", "mean", quantiles.alias("q"))

@@ -29,13 +29,12 @@ def time_to_claim(filtered: DataFrame) -> DataFrame:
 
 def claim_stats(claims: DataFrame) -> DataFrame:
     """One row: mean and exact median hours, null without claims."""
-    values = value_counts(claims, "hours_to_claim")
-    median = exact_quantiles(values, [0.5]).select(F.col("q")[0]).scalar()
-    n = F.sum("n")
-    mean = F.try_divide(F.sum(F.col("v") * F.col("n")), n)
-    return values.agg(
-        F.coalesce(n, F.lit(0)).alias("claims"), mean.alias("mean_hours")
-    ).withColumn("median_hours", median)
+    values = value_counts(claims, F.col("hours_to_claim"))
+    return exact_quantiles(values, [0.5]).select(
+        F.coalesce("total", F.lit(0)).alias("claims"),
+        F.col("mean").alias("mean_hours"),
+        F.col("q")[0].alias("median_hours"),
+    )
 
 
 def nice_step(span: Column, max_bins: int = HISTOGRAM_BINS) -> Column:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import SPAN_BASES, check_choice
 from ..functions.columns import week_start
@@ -21,28 +22,23 @@ def scans_per_user(metrics: DataFrame, u: str) -> DataFrame:
     return metrics.where(known).groupBy(u).agg(F.count(F.lit(1)).alias("total_scans"))
 
 
-def _numeric(df: DataFrame, col: str) -> DataFrame:
-    """Text that is no number becomes null; numbers stay."""
-    value = F.col(col)
-    return df.select((value.try_cast("double") if dict(df.dtypes)[col] == "string" else value).alias(col))
+def _stat_columns(quantiles: DataFrame) -> list[Column]:
+    """Mean, quartiles and count; zeros when there are no numbers."""
+    values = [F.col("mean"), *[F.col("q")[i] for i in range(len(QUARTILES))]]
+    zero = F.lit(0.0)
+    return [
+        *[F.coalesce(v, zero).alias(name) for v, name in zip(values, STATS)],
+        F.coalesce("total", F.lit(0)).alias("count"),
+    ]
 
 
 def span_stats(df: DataFrame, col: str) -> DataFrame:
-    """One row for one column: mean, exact quartiles and count; zeros when there are no numbers."""
-    values = value_counts(_numeric(df, col), col)
-    quartiles = exact_quantiles(values, QUARTILES).select("q").scalar()
-    count = F.sum("n")
-    mean = F.try_divide(F.sum(F.col("v") * F.col("n")).cast("double"), count)
-    row = values.agg(mean.alias("mean"), count.alias("count")).withColumn("q", quartiles)
-
-    def or_zero(value: Column) -> Column:
-        return F.coalesce(value, F.lit(0.0))
-
-    return row.select(
-        or_zero(F.col("mean")).alias("mean"),
-        *[or_zero(F.col("q")[i]).alias(name) for i, name in enumerate(STATS[1:4])],
-        F.coalesce("count", F.lit(0)).alias("count"),
-    )
+    """One row: mean, exact quartiles and count. Nulls and text that is no number are left out."""
+    value = F.col(col)
+    if isinstance(df.schema[col].dataType, T.StringType):
+        value = value.try_cast("double")
+    stats = exact_quantiles(value_counts(df, value), QUARTILES)
+    return stats.select(*_stat_columns(stats))
 
 
 def describe_scans(per_user: DataFrame, col: str = "total_scans") -> DataFrame:
@@ -51,7 +47,7 @@ def describe_scans(per_user: DataFrame, col: str = "total_scans") -> DataFrame:
     Works on (value, how many) pairs. K different counts add up to at least K*K/2 scans, so
     the weighted percentile holds few entries however many users there are.
     """
-    values = value_counts(per_user, col)
+    values = value_counts(per_user, F.col(col))
     v, n = F.col("v"), F.col("n")
     q = F.percentile(v, F.array(*[F.lit(p) for p in QUARTILES]), n)
     moments = values.agg(
@@ -141,7 +137,10 @@ def full_week_rate(spans: DataFrame) -> DataFrame:
 
 
 def rate_stats(rates: DataFrame) -> DataFrame:
-    """Two rows: the statistics of the daily and of the weekly rate."""
-    daily = span_stats(rates, "daily_rate_span").withColumn("rate", F.lit("daily"))
-    weekly = span_stats(rates, "weekly_rate_span").withColumn("rate", F.lit("weekly"))
-    return daily.unionByName(weekly).select("rate", *STATS)
+    """Two rows: the statistics of the daily and of the weekly rate, read in one pass."""
+    columns = {"daily": "daily_rate_span", "weekly": "weekly_rate_span"}
+    pairs = [F.struct(F.lit(k).alias("rate"), F.col(c).alias("value")) for k, c in columns.items()]
+    values = value_counts(rates.select(F.inline(F.array(*pairs))), F.col("value"), ["rate"])
+    stats = exact_quantiles(values, QUARTILES, ["rate"])
+    names = rates.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("rate"))
+    return names.join(stats, "rate", "left").select("rate", *_stat_columns(stats))

@@ -32,40 +32,25 @@ def _window_gaps(rows: DataFrame, u: str) -> DataFrame:
 def _sliced_gaps(rows: DataFrame, u: str) -> DataFrame:
     """(u, win_date, prev, n) per distinct scan time, for users of any size.
 
-    ``n`` scans share the time; the gap before it belongs to the first of them. A second holds
-    at most 10**6 distinct times, an hour 3,600 seconds, and a user as many hours as the
-    calendar: these bound the three windows.
+    ``n`` scans share the time; the gap before it belongs to the first of them. A minute holds
+    at most 6 * 10**7 distinct times and a user as many minutes as the calendar: these bound
+    the two windows.
     """
-    day, t = F.to_date("win_date"), F.col("win_date")
+    t = F.col("win_date")
+    minute = (F.unix_date(F.to_date(t)) * 24 + F.hour(t)) * 60 + F.minute(t)
     times = (
-        rows.groupBy(u, "win_date")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("hour", F.unix_date(day) * 24 + F.hour(t))
-        .withColumn("second", F.minute(t) * 60 + F.second(t))
+        rows.groupBy(u, "win_date").agg(F.count(F.lit(1)).alias("n")).withColumn("minute", minute)
     )
-    seconds = times.groupBy(u, "hour", "second").agg(
-        F.min("win_date").alias("first"),
-        F.max("win_date").alias("last"),
-        F.min_by("n", "win_date").alias("n"),
-    )
-    hourly = seconds.groupBy(u, "hour").agg(
-        F.min_by("n", "first").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
+    inside = F.lag("win_date").over(Window.partitionBy(u, "minute").orderBy("win_date"))
+    before = F.lag("last").over(Window.partitionBy(u).orderBy("minute"))
+    # The first time of a minute takes its gap from the last time of the minute before it.
+    minutes = times.groupBy(u, "minute").agg(
+        F.min("win_date").alias("first"), F.max("win_date").alias("last"), F.min_by("n", "win_date").alias("n")
     )
-
-    def with_previous(df: DataFrame, parts: list[str], order: str, last: str) -> DataFrame:
-        return df.withColumn("prev", F.lag(last).over(Window.partitionBy(*parts).orderBy(order)))
-
-    # The first time of a second takes its gap from the second before it, the first second of
-    # an hour from the hour before; the first hour of a user has nothing before it.
-    gap_cols = [u, "win_date", "prev", "n"]
-    inside = with_previous(times, [u, "hour", "second"], "win_date", "win_date").select(*gap_cols)
-    by_second = with_previous(seconds, [u, "hour"], "second", "last")
-    by_hour = with_previous(hourly, [u], "hour", "last")
-    has_previous = F.col("prev").isNotNull()
     return (
-        inside.where(has_previous)
-        .unionByName(by_second.where(has_previous).withColumnRenamed("first", "win_date").select(*gap_cols))
-        .unionByName(by_hour.withColumnRenamed("first", "win_date").select(*gap_cols))
+        times.select(u, "win_date", inside.alias("prev"), "n")
+        .where(F.col("prev").isNotNull())
+        .unionByName(minutes.select(u, F.col("first").alias("win_date"), before.alias("prev"), "n"))
     )
 
 
@@ -106,14 +91,19 @@ def scan_gaps(metrics: DataFrame, u: str, hot_rows: int | None = None) -> DataFr
 
 def _heavy_medians(heavy: DataFrame, u: str) -> DataFrame:
     """(u, median_gap) in microseconds, exact."""
-    sliced = _sliced_gaps(heavy.select(u, "win_date"), u)
-    gaps = sliced.where(F.col("prev").isNotNull()).select(
-        u, micros_between(F.col("prev"), F.col("win_date")).alias("v"), F.lit(1).alias("n")
+    gap = micros_between(F.col("prev"), F.col("win_date"))
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    # One gap before each distinct time, and a zero gap for each further scan at it.
+    parts = F.array(
+        F.struct(gap.alias("v"), one.alias("n")), F.struct(zero.alias("v"), (F.col("n") - 1).alias("n"))
     )
-    zeros = sliced.where(F.col("n") > 1).select(
-        u, F.lit(0).cast("bigint").alias("v"), (F.col("n") - 1).alias("n")
+    counts = (
+        _sliced_gaps(heavy, u)
+        .select(u, F.inline(parts))
+        .where(F.col("v").isNotNull() & (F.col("n") > 0))
+        .groupBy(u, "v")
+        .agg(F.sum("n").alias("n"))
     )
-    counts = gaps.unionByName(zeros).groupBy(u, "v").agg(F.sum("n").alias("n"))
     return exact_quantiles(counts, [0.5], by=[u]).select(u, F.col("q")[0].alias("median_gap"))
 
 
