@@ -34,19 +34,20 @@ def lapsed_prize_customers(
     limit = F.to_date(ntz(as_of)).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
     # A last prize is set only if there is one, so this also asks for at least one prize.
     lapsed = per_customer.where((F.col("received_cnt") == 0) & (F.col("last_prize_at") < limit))
-    contacts = customers.groupBy("id", F.col("phone_number").alias("phone")).agg(
-        F.max("first_name").alias("first_name"), F.count(F.lit(1)).alias("_copies")
+    # Equal customer rows collapse before the shuffle; names are chosen after the join, when
+    # only the contacts of lapsed customers are left.
+    contacts = customers.groupBy("id", F.col("phone_number").alias("phone"), "first_name").agg(
+        F.count(F.lit(1)).alias("_copies")
     )
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     return (
         lapsed.join(contacts, F.col("customer_id") == F.col("id"), "left")
-        .select(
-            "customer_id",
-            "phone",
-            "first_name",
-            (F.col("scans") * copies).alias("scans"),
-            (F.col("pending_cnt") * copies).alias("pending_cnt"),
-            "last_prize_at",
+        .groupBy("customer_id", "phone")
+        .agg(
+            F.max("first_name").alias("first_name"),
+            F.sum(F.col("scans") * copies).alias("scans"),
+            F.sum(F.col("pending_cnt") * copies).alias("pending_cnt"),
+            F.max("last_prize_at").alias("last_prize_at"),
         )
-        .orderBy(F.desc("pending_cnt"), F.asc_nulls_last("customer_id"))
+        .orderBy(F.desc("pending_cnt"), F.asc_nulls_last("customer_id"), "phone")
     )
