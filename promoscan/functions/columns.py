@@ -11,12 +11,12 @@ from ..config import (
     ACTIVE_MAX_SCANS,
     CSV_NULL_TOKENS,
     EMPTY_PRIZE_TOKENS,
+    GRANULARITIES,
     NOVICE,
     POWER,
     RECEIVED_TOKENS,
     REGION_NAMES,
     check_choice,
-    GRANULARITIES,
 )
 
 MICROS_PER_HOUR = 3_600_000_000
@@ -24,15 +24,17 @@ MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
 # Year first, then optional time, fraction and offset. A bare year is no date.
 _ISO = (
-    r"^(\d{4}-\d{1,2}-\d{1,2})"
-    r"(?:[ T](\d{1,2}:\d{2})(:\d{2}(?:\.\d+)?)?\s*(Z|[+-]\d{2}:?(?:\d{2})?)?)?$"
+    r"^\d{4}-\d{1,2}-\d{1,2}"
+    r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?(?:\d{2})?)?)?$"
 )
-_OUTER_SPACE = r"^\s+|\s+$"
+_OFFSET = r":.*[+-]\d{2}:?(?:\d{2})?$"
+# All characters that Python strips; Spark's plain trim removes spaces only.
+_WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def strip(text: Column) -> Column:
-    """Remove all leading and trailing white space (``trim`` removes spaces only)."""
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+    """Remove all leading and trailing white space."""
+    return F.btrim(text, F.lit(_WHITE_SPACE))
 
 
 def null_if_token(text: Column) -> Column:
@@ -51,22 +53,21 @@ def instant_to_utc(instant: Column) -> Column:
     )
 
 
-def parse_utc(text: Column) -> Column:
-    """ISO-8601 text to a UTC wall clock; text without an offset is UTC; anything else is null."""
-    t = strip(text)
-    day, clock, seconds, offset = (F.regexp_extract(t, _ISO, i) for i in (1, 2, 3, 4))
+def parse_utc(t: Column) -> Column:
+    """ISO-8601 text to a UTC wall clock; text without an offset is UTC; anything else is null.
 
-    def default(part: Column, text: str) -> Column:
-        return F.when(part == "", F.lit(text)).otherwise(part)
-
-    full = F.concat(
-        day, F.lit(" "), default(clock, "00:00"), default(seconds, ":00"), default(offset, "Z")
+    The text must be stripped. A cast to a wall clock ignores ``Z`` and needs no session zone; only text with another
+    offset has to go by way of an instant.
+    """
+    zoned = F.regexp_replace(t, r"\s+([+-])", "$1").try_cast("timestamp")
+    return F.when(
+        t.rlike(_ISO),
+        F.when(t.rlike(_OFFSET), instant_to_utc(zoned)).otherwise(t.try_cast("timestamp_ntz")),
     )
-    return instant_to_utc(F.when(t.rlike(_ISO), full).try_cast("timestamp"))
 
 
 def to_utc_column(col: Column, data_type: T.DataType) -> Column:
-    """A date column of any stored type as a UTC wall clock."""
+    """A date column of any stored type as a UTC wall clock; text must be stripped."""
     if isinstance(data_type, T.TimestampNTZType):
         return col
     if isinstance(data_type, T.TimestampType):
@@ -81,13 +82,12 @@ def local_time(utc: Column, tz: str) -> Column:
 
 
 def clean_prize_id(col: Column, data_type: T.DataType) -> Column:
-    """Numbers stay as they are; text is stripped and empty words become null."""
+    """Numbers stay as they are; of (stripped) text, empty words become null."""
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(col), col)
     if isinstance(data_type, T.NumericType):
         return col
-    t = strip(col.cast("string"))
-    return F.when(~F.lower(t).isin(*EMPTY_PRIZE_TOKENS), t)
+    return F.when(~F.lower(col.cast("string")).isin(*EMPTY_PRIZE_TOKENS), col.cast("string"))
 
 
 def received_flag(col: Column) -> Column:
@@ -95,19 +95,20 @@ def received_flag(col: Column) -> Column:
     return F.coalesce(F.lower(col.cast("string")).isin(*RECEIVED_TOKENS), F.lit(False))
 
 
-def region_label(col: Column, data_type: T.DataType, names=None) -> Column:
-    """Mapped name, else the id as text (whole numbers without ``.0``); null gives ``nan``."""
-    names = REGION_NAMES if names is None else names
+def region_number(col: Column, data_type: T.DataType) -> Column:
+    """A region id as a whole number, null if it is none."""
     if isinstance(data_type, T.IntegralType):
-        number, text = col.cast("bigint"), col.cast("string")
-    else:
-        as_double = col.cast("string").try_cast("double")
-        number = F.when(as_double == F.floor(as_double), as_double.try_cast("bigint"))
-        text = F.coalesce(number.cast("string"), col.cast("string"))
-    label = text
-    for region, name in names.items():
+        return col.cast("bigint")
+    number = col.cast("string").try_cast("double")
+    return F.when(number == F.floor(number), number.try_cast("bigint"))
+
+
+def region_label(number: Column, col: Column, names=None) -> Column:
+    """Mapped name, else the id as text (whole numbers without ``.0``); null gives ``nan``."""
+    label = F.coalesce(number.cast("string"), col.cast("string"), F.lit("nan"))
+    for region, name in (REGION_NAMES if names is None else names).items():
         label = F.when(number == region, F.lit(name)).otherwise(label)
-    return F.coalesce(label, F.lit("nan"))
+    return label
 
 
 def segment_label(scans: Column) -> Column:
