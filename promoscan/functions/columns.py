@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,7 @@ from ..config import (
     check_choice,
 )
 
+_UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 MICROS_PER_HOUR = 3_600_000_000
 MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
@@ -77,8 +78,20 @@ def to_utc_column(col: Column, data_type: T.DataType) -> Column:
     return parse_utc(col.cast("string"))
 
 
+def _session_is_utc() -> bool:
+    """Whether casts between wall clocks and instants, as planned now, leave the value alone."""
+    session = SparkSession.getActiveSession()
+    return session is not None and session.conf.get("spark.sql.session.timeZone") in _UTC_NAMES
+
+
 def local_time(utc: Column, tz: str) -> Column:
-    return utc if tz == "UTC" else F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
+    """The wall clock of ``tz``. In a UTC session by the cheaper function, which looks the zone
+    up once instead of once per row."""
+    if tz == "UTC":
+        return utc
+    if _session_is_utc():
+        return F.from_utc_timestamp(utc.cast("timestamp"), tz).cast("timestamp_ntz")
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), utc)
 
 
 def clean_prize_id(col: Column, data_type: T.DataType) -> Column:
@@ -138,6 +151,8 @@ def bucket_step(granularity: str) -> Column:
 
 
 def micros_between(start: Column, end: Column) -> Column:
+    if _session_is_utc():
+        return F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))
     return F.timestamp_diff("MICROSECOND", start, end)
 
 

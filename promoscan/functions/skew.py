@@ -45,9 +45,12 @@ def attach_by_key(
 ) -> DataFrame:
     """Join per-key values on to rows; heavy keys go by broadcast, the rest by an ordinary join.
 
-    ``hot`` has the columns of ``per_key``, which holds each key once.
+    ``hot`` has the columns of ``per_key``, which holds each key once. Null is a key like any
+    other: a comparison that ignored it would push a null check below the aggregate behind
+    ``per_key``, and Spark would compute that aggregate twice instead of sharing it with ``hot``.
     """
-    values = F.broadcast(hot.withColumnRenamed(key, "_hot"))
-    heavy = df.join(values, F.col(key).eqNullSafe(F.col("_hot")), "inner").drop("_hot")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    values = F.broadcast(hot.withColumnRenamed(key, "_key"))
+    heavy = df.join(values, same, "inner").drop("_key")
     _, rest = split_by_key(df, key, hot)
-    return heavy.unionByName(rest.join(per_key, key, how))
+    return heavy.unionByName(rest.join(per_key.withColumnRenamed(key, "_key"), same, how).drop("_key"))

@@ -21,9 +21,8 @@ def first_scan(
 ) -> DataFrame:
     """Scanned rows with ``win_local`` and the user's ``first_scan``; no user, no row."""
     rows = _local_scans(filtered, tz).where(F.col(u).isNotNull())
-    per_user = rows.groupBy(u).agg(
-        F.min("win_local").alias("first_scan"), F.count(F.lit(1)).alias("_n")
-    )
+    first = local_time(F.min("win_date"), tz)
+    per_user = rows.groupBy(u).agg(first.alias("first_scan"), F.count(F.lit(1)).alias("_n"))
     hot = hot_keys(per_user, u, "_n", hot_rows)
     return attach_by_key(rows, per_user, hot, u, "inner").select(*rows.columns, "first_scan")
 

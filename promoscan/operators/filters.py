@@ -33,7 +33,7 @@ def with_user_segment(df: DataFrame, u: str | None, hot_rows: int | None = None)
         return df.withColumn("user_segment", F.lit(UNKNOWN))
     counts = df.groupBy(u).agg(F.count(F.lit(1)).alias("_n"))
     hot = hot_keys(counts, u, "_n", hot_rows)
-    small = counts.where(F.col(u).isNotNull() & (F.col("_n") <= ACTIVE_MAX_SCANS))
+    small = counts.where(F.col("_n") <= ACTIVE_MAX_SCANS)
     labelled = attach_by_key(df, small, hot, u, "left")
     scans = F.when(F.col(u).isNull(), F.lit(0)).otherwise(
         F.coalesce(F.col("_n"), F.lit(ACTIVE_MAX_SCANS + 1))

@@ -15,26 +15,29 @@ def prize_probabilities(metrics: DataFrame) -> DataFrame:
 
     One aggregate gives the prize rows and, from its points row, the two denominators.
     """
-    prize = F.when(F.col("is_real_prize"), F.col("prize_id")).alias("prize_id")
-    per_prize = metrics.groupBy(prize).agg(
+    real, won, got = F.col("is_real_prize"), F.col("real_prize_count"), F.col("received_count")
+    # The filter and the totals use results of the aggregate, all of them, so that the two
+    # uses are the same plan and the table is read once.
+    per_prize = metrics.groupBy(F.when(real, F.col("prize_id")).alias("prize_id")).agg(
         F.count(F.lit(1)).alias("real_prize_count"),
         F.count_if(F.col("is_real_prize_received")).alias("received_count"),
+        F.max(real).alias("real"),
     )
-    won, real = F.col("real_prize_count"), F.col("prize_id").isNotNull()
     totals = per_prize.agg(
         F.struct(
             F.greatest(F.sum(won), F.lit(1)).alias("scans"),
-            F.greatest(F.sum(F.when(real, won)), F.lit(1)).alias("real"),
+            F.greatest(F.sum(F.when(F.col("real"), won)), F.lit(1)).alias("real"),
+            F.sum(got).alias("received"),
         ).alias("t")
     )
-    rows = per_prize.where(real).withColumn("t", totals.scalar())
+    rows = per_prize.where("real").withColumn("t", totals.scalar())
     return rows.select(
         "prize_id",
         "real_prize_count",
         "received_count",
         (won / F.col("t.scans")).alias("p_per_scan"),
         (won / F.col("t.real")).alias("share_among_real"),
-        (F.col("received_count") / won).alias("received_share_in_prize"),
+        (got / won).alias("received_share_in_prize"),
     ).orderBy(F.desc("real_prize_count"), "prize_id")
 
 

@@ -1,6 +1,6 @@
 """Scan counts per user, made comparable by the time each user was present.
 
-Times are local (``win_local``); rows come from the metrics scope.
+Rows come from the metrics scope; days and weeks are those of the display zone.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import SPAN_BASES, check_choice
-from ..functions.columns import week_start
+from ..config import DEFAULT_TZ, SPAN_BASES, check_choice
+from ..functions.columns import local_time, week_start
 from ..functions.quantiles import exact_quantiles, value_counts
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -44,53 +44,51 @@ def span_stats(df: DataFrame, col: str) -> DataFrame:
 def describe_scans(per_user: DataFrame, col: str = "total_scans") -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles, maximum; no deviation for one user.
 
-    Works on (value, how many) pairs. K different counts add up to at least K*K/2 scans, so
-    the weighted percentile holds few entries however many users there are.
+    The quartiles work on (value, how many) pairs: K different counts add up to at least K*K/2
+    scans, so the weighted percentile holds few entries however many users there are.
     """
-    values = value_counts(per_user, F.col(col))
-    v, n = F.col("v"), F.col("n")
-    q = F.percentile(v, F.array(*[F.lit(p) for p in QUARTILES]), n)
-    moments = values.agg(
-        F.coalesce(F.sum(n), F.lit(0)).alias("count"),
-        F.try_divide(F.sum(v * n).cast("double"), F.sum(n)).alias("mean"),
+    v = F.col(col)
+    probs = F.array(*[F.lit(p) for p in QUARTILES])
+    values = value_counts(per_user, v)
+    quartiles = values.agg(F.percentile("v", probs, F.col("n")).alias("q")).scalar()
+    moments = per_user.agg(
+        F.count(v).alias("count"),
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
-        q.alias("q"),
     )
-    mean = values.agg(F.try_divide(F.sum(v * n).cast("double"), F.sum(n)).alias("m")).scalar()
-    squares = values.withColumn("d", v - mean).agg(F.sum(n * F.col("d") * F.col("d")).alias("s"))
-    spread = F.sqrt(squares.scalar() / F.nullif(F.col("count") - 1, F.lit(0)))
-    return moments.select(
+    return moments.withColumn("q", quartiles).select(
         "count",
         "mean",
-        spread.alias("std"),
+        "std",
         "min",
         *[F.col("q")[i].alias(name) for i, name in enumerate(STATS[1:4])],
         "max",
     )
 
 
-def user_spans(metrics: DataFrame, u: str, basis: str = "global") -> DataFrame:
-    """Per user: first and last day and week, and how many days and weeks they span.
+def user_spans(
+    metrics: DataFrame, u: str, basis: str = "global", tz: str = DEFAULT_TZ
+) -> DataFrame:
+    """Per user: first and last local day and week, and how many days and weeks they span.
 
     The span ends at the last scan of anyone (``global``) or at the user's own (``own``).
     """
     check_choice("basis", basis, SPAN_BASES)
-    per_user = (
-        metrics.where(F.col("win_date").isNotNull())
+    scanned = metrics.where(F.col("win_date").isNotNull())
+    users = (
+        scanned.where(F.col(u).isNotNull())
         .groupBy(u)
         .agg(
-            F.min("win_local").alias("first_win"),
-            F.max("win_local").alias("own_last"),
+            local_time(F.min("win_date"), tz).alias("first_win"),
+            local_time(F.max("win_date"), tz).alias("last_win"),
             F.count(F.lit(1)).alias("total_scans"),
         )
     )
-    users = per_user.where(F.col(u).isNotNull())
-    if basis == "own":
-        users = users.withColumn("last_win", F.col("own_last"))
-    else:
-        # Scans without a user are a group of the same aggregate and count for the end.
-        end = per_user.agg(F.max("own_last").alias("end")).scalar()
+    if basis == "global":
+        # Scans without a user count here. Reads one column and shuffles nothing.
+        end = scanned.agg(local_time(F.max("win_date"), tz).alias("end")).scalar()
         users = users.withColumn("last_win", F.to_date(end).cast("timestamp_ntz"))
     first, last = F.col("first_win"), F.col("last_win")
     days = users.select(

@@ -11,22 +11,19 @@ from ..functions.columns import MICROS_PER_DAY, micros_between, segment_label
 def rfm(filtered: DataFrame, u: str) -> DataFrame:
     """One row per user. Recency counts whole days up to the last scan of anyone.
 
-    Scans without a user form a group of the same aggregate, so the overall last scan comes
-    from it too and the table is read once.
+    Scans without a user count for the overall last scan, which reads one column only.
     """
-    per_user = (
-        filtered.where(F.col("win_date").isNotNull())
+    scanned = filtered.where(F.col("win_date").isNotNull())
+    end = scanned.agg(F.max("win_date").alias("end")).scalar()
+    days = F.floor(micros_between(F.col("last_scan"), F.col("end")) / MICROS_PER_DAY)
+    return (
+        scanned.where(F.col(u).isNotNull())
         .groupBy(u)
         .agg(
             F.max("win_date").alias("last_scan"),
             F.count(F.lit(1)).alias("frequency"),
             F.count_if(F.col("is_real_prize")).alias("real_prizes"),
         )
-    )
-    end = per_user.agg(F.max("last_scan").alias("end")).scalar()
-    days = F.floor(micros_between(F.col("last_scan"), F.col("end")) / MICROS_PER_DAY)
-    return (
-        per_user.where(F.col(u).isNotNull())
         .withColumn("end", end)
         .select(
             u,

@@ -59,15 +59,23 @@ def _hot_users(metrics: DataFrame, u: str, hot_rows: int | None) -> DataFrame:
     return hot_keys(counts, u, "_n", hot_rows).select(u)
 
 
-def _repeat(rows: DataFrame, n: str, keys: list[str]) -> DataFrame:
-    """Each row ``n`` times; long repeats are spread over tasks chunk by chunk."""
-    chunks = F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((F.col(n) - 1) / REPEAT_CHUNK)))
-    left = F.least(F.col(n) - F.col("_chunk") * REPEAT_CHUNK, F.lit(REPEAT_CHUNK)).cast("int")
+def _one_row_per_scan(sliced: DataFrame, u: str) -> DataFrame:
+    """(u, win_date, prev) with ``n`` rows for each of ``_sliced_gaps``.
+
+    The first scan at an instant keeps the gap, the others follow the instant itself. Long
+    runs of copies are cut into chunks that spread over tasks before they are written out.
+    """
+    copies, chunk = F.col("n") - 1, F.col("chunk")
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.ceil(copies / REPEAT_CHUNK))
+    size = F.when(chunk == 0, F.lit(1)).otherwise(
+        F.least(copies - (chunk - 1) * REPEAT_CHUNK, F.lit(REPEAT_CHUNK)).cast("int")
+    )
     return (
-        rows.withColumn("_chunk", F.explode(chunks))
-        .repartition(*keys, "_chunk")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), left)))
-        .drop(n, "_chunk", "_copy")
+        sliced.withColumn("chunk", F.explode(chunks))
+        .select(u, "win_date", F.when(chunk == 0, F.col("prev")).otherwise(F.col("win_date")).alias("prev"), "chunk", size.alias("size"))
+        .repartition(u, "win_date", "chunk")
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("size"))))
+        .select(u, "win_date", "prev")
     )
 
 
@@ -78,13 +86,7 @@ def scan_gaps(metrics: DataFrame, u: str, hot_rows: int | None = None) -> DataFr
     """
     rows = _scanned(metrics, u).select(u, "win_date")
     heavy, light = split_by_key(rows, u, _hot_users(metrics, u, hot_rows))
-    sliced = _sliced_gaps(heavy, u)
-    copies = _repeat(sliced.select(u, "win_date", (F.col("n") - 1).alias("n")), "n", [u, "win_date"])
-    gaps = (
-        _window_gaps(light, u)
-        .unionByName(sliced.drop("n"))
-        .unionByName(copies.withColumn("prev", F.col("win_date")))
-    )
+    gaps = _window_gaps(light, u).unionByName(_one_row_per_scan(_sliced_gaps(heavy, u), u))
     delta = hours(micros_between(F.col("prev"), F.col("win_date")))
     return gaps.select(u, "win_date", F.col("prev").alias("prev_win_date"), delta.alias("delta_hours"))
 
@@ -143,6 +145,9 @@ def user_activity(metrics: DataFrame, u: str, hot_rows: int | None = None) -> Da
             round_even(median, 2).alias("median_hours_between_scans"),
             round_even(mean / 24, 2).alias("avg_days_between_scans"),
         )
+        # A sort first samples its input. One row per user is cheap to shuffle; without this
+        # the sample would run all the windows a second time.
+        .hint("rebalance", u)
         .orderBy(F.desc("scans"), F.desc("wins_any"), F.desc("real_prizes"), u)
     )
 

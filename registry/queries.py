@@ -558,19 +558,19 @@ for _basis in ("global", "own"):
     for _suffix, _adapter in (("", ORDERS), ("_events", EVENTS)):
         query(
             f"user_spans_{_basis}{_suffix}", f"{o.with_spans(_adapter, _basis)} SELECT {SPAN_COLS} FROM spans"
-        )(scoped(_adapter, lambda f, b=_basis: ps.user_spans(f.metrics, U, b)))
+        )(scoped(_adapter, lambda f, b=_basis: ps.user_spans(f.metrics, U, b, TZ)))
     query(f"scan_rates_{_basis}", f"{o.with_spans(ORDERS, _basis)} SELECT * FROM rates", *RATES)(
-        scoped(ORDERS, lambda f, b=_basis: ps.scan_rates(ps.user_spans(f.metrics, U, b)))
+        scoped(ORDERS, lambda f, b=_basis: ps.scan_rates(ps.user_spans(f.metrics, U, b, TZ)))
     )
     query(f"full_weeks_{_basis}", f"{o.with_spans(ORDERS, _basis)} SELECT * FROM weeks")(
-        scoped(ORDERS, lambda f, b=_basis: ps.full_weeks(ps.user_spans(f.metrics, U, b)))
+        scoped(ORDERS, lambda f, b=_basis: ps.full_weeks(ps.user_spans(f.metrics, U, b, TZ)))
     )
     query(
         f"full_week_rate_{_basis}",
         f"""{o.with_spans(ORDERS, _basis)} SELECT *, CASE WHEN full_weeks > 0
         THEN total_scans / full_weeks END AS weekly_rate_full_weeks FROM weeks""",
         "weekly_rate_full_weeks",
-    )(scoped(ORDERS, lambda f, b=_basis: ps.full_week_rate(ps.full_weeks(ps.user_spans(f.metrics, U, b)))))
+    )(scoped(ORDERS, lambda f, b=_basis: ps.full_week_rate(ps.full_weeks(ps.user_spans(f.metrics, U, b, TZ)))))
     query(
         f"rate_stats_{_basis}",
         f"""{o.with_spans(ORDERS, _basis)}
@@ -580,7 +580,7 @@ for _basis in ("global", "own"):
         "q25",
         "median",
         "q75",
-    )(scoped(ORDERS, lambda f, b=_basis: ps.rate_stats(ps.scan_rates(ps.user_spans(f.metrics, U, b)))))
+    )(scoped(ORDERS, lambda f, b=_basis: ps.rate_stats(ps.scan_rates(ps.user_spans(f.metrics, U, b, TZ)))))
 
 # --- lapsed customers --------------------------------------------------------------------
 

@@ -134,13 +134,25 @@ def test_user_columns(spark):
     assert ps.candidate_user_columns(df.select(F.lit(1).alias("a"))) == []
 
 
-def test_local_time(spark):
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Berlin"])
+def test_local_time_and_durations_in_any_session_zone(spark, zone):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2025-09-15 21:30:00' win_date")
-    assert ps.to_local(df, tz="Asia/Yerevan").first()["win_local"] == T(2025, 9, 16, 1, 30)
-    assert ps.to_local(df, tz="UTC").first()["win_local"] == T(2025, 9, 15, 21, 30)
     # Summer time ended in this zone after 2011.
     old = spark.sql("SELECT TIMESTAMP_NTZ'2010-07-01 00:00:00' win_date")
-    assert ps.to_local(old, tz="Asia/Yerevan").first()["win_local"] == T(2010, 7, 1, 5)
+    # The hour that Berlin skips does not show in the stored times.
+    span = spark.sql(
+        "SELECT 1 customer_id, explode(array(TIMESTAMP_NTZ'2025-03-30 00:30:00',"
+        " TIMESTAMP_NTZ'2025-03-30 04:00:00.25')) win_date"
+    )
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert ps.to_local(df, tz="Asia/Yerevan").first()["win_local"] == T(2025, 9, 16, 1, 30)
+        assert ps.to_local(df, tz="UTC").first()["win_local"] == T(2025, 9, 15, 21, 30)
+        assert ps.to_local(old, tz="Asia/Yerevan").first()["win_local"] == T(2010, 7, 1, 5)
+        hours = ps.scan_gaps(span, "customer_id").agg({"delta_hours": "max"}).first()[0]
+        assert hours == pytest.approx(3.5 + 0.25 / 3600)
+    finally:
+        ps.use_utc(spark)
 
 
 def test_naive_utc(spark):

@@ -42,7 +42,7 @@ def test_spans(spark):
     rows = [(1, "2025-09-15 21:00:00", None, "0"), (1, "2025-09-17", None, "0"), (2, "2025-09-22", None, "0"),
             (None, "2025-09-30 22:00:00", None, "0")]
     df = scans(spark, rows, "Asia/Yerevan")
-    own = {r[U]: r for r in ps.scan_rates(ps.user_spans(df, U, "own")).collect()}
+    own = {r[U]: r for r in ps.scan_rates(ps.user_spans(df, U, "own", "Asia/Yerevan")).collect()}
     assert (own[1].first_day, own[1].last_day) == (dt.date(2025, 9, 16), dt.date(2025, 9, 17))
     assert (own[1].span_days, own[1].span_weeks, own[1].daily_rate_span) == (2, 1, 1.0)
     assert (own[2].span_days, own[2].total_scans) == (1, 1)
