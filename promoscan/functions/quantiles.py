@@ -36,14 +36,23 @@ def _bucket(v: Column) -> Column:
     return F.coalesce(F.floor(F.signum(v) * size * BUCKETS_PER_E_FOLD), F.lit(0).cast("bigint"))
 
 
-def _position(prob: float) -> Column:
-    return (F.col("total") - 1) * F.lit(float(prob))
+def _position(prob: float) -> str:
+    return f"((total - 1) * {float(prob)!r}D)"
 
 
-def _rank_pair(prob: float) -> tuple[Column, Column]:
+def _rank_pair(prob: float) -> tuple[str, str]:
     """The two zero-based ranks to interpolate between."""
-    low = F.floor(_position(prob))
-    return low, F.least(low + 1, F.col("total") - 1)
+    low = f"floor({_position(prob)})"
+    return low, f"least({low} + 1, total - 1)"
+
+
+def _interpolated(probs: Sequence[float]) -> str:
+    """An array with one value per probability, from the columns ``low0``, ``high0``, ..."""
+    terms = [
+        f"low{i} + ({_position(p)} - floor({_position(p)})) * (high{i} - low{i})"
+        for i, p in enumerate(probs)
+    ]
+    return f"array({', '.join(terms)})"
 
 
 def exact_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -56,12 +65,13 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str]
     by = list(by)
     whole = Window.partitionBy(*by)
     running = Window.unboundedPreceding, Window.currentRow
-    # Where the bucket (or value) begins in the order of all values, and where it ends.
-    begin, end = F.col("begin"), F.col("begin") + F.col("n")
+    # A bucket (or value) takes the ranks from `begin` to before `begin + n`.
+    ranks = ", ".join(rank for p in probs for rank in _rank_pair(p))
+    wanted = F.expr(f"exists(array({ranks}), r -> r >= begin AND r < begin + n)")
 
     bucketed = values.withColumn("b", _bucket(F.col("v")))
-    ranks = F.array(*[rank for p in probs for rank in _rank_pair(p)])
-    wanted = (
+    total = F.sum("n").over(whole)
+    buckets = (
         bucketed.groupBy(*by, "b")
         .agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"))
         .select(
@@ -69,34 +79,24 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str]
             "b",
             "n",
             (F.sum("n").over(whole.orderBy("b").rowsBetween(*running)) - F.col("n")).alias("begin"),
-            F.sum("n").over(whole).alias("total"),
-            (F.sum("s").over(whole) / F.sum("n").over(whole)).alias("mean"),
+            total.alias("total"),
+            (F.sum("s").over(whole) / total).alias("mean"),
         )
-        .where(F.exists(ranks, lambda r: (r >= begin) & (r < end)))
+        .where(wanted)
         .select(*[F.col(c).alias(f"_{c}") for c in (*by, "b")], "begin", "total", "mean")
     )
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] + [F.col("b") == F.col("_b")]
     inside = F.sum("n").over(Window.partitionBy(*by, "b").orderBy("v").rowsBetween(*running))
-    ranked = bucketed.join(F.broadcast(wanted), same, "inner").select(
-        *by, F.col("v").cast("double"), "n", (begin + inside - F.col("n")).alias("begin"), "total", "mean"
+    begin = (F.col("begin") + inside - F.col("n")).alias("begin")
+    ranked = bucketed.join(F.broadcast(buckets), same, "inner").select(
+        *by, F.col("v").cast("double").alias("v"), "n", begin, "total", "mean"
     )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= begin) & (rank < end), F.col("v")))
-
-    ends = {}
+    ends = []
     for i, p in enumerate(probs):
-        low, high = _rank_pair(p)
-        ends |= {f"low{i}": at(low), f"high{i}": at(high)}
+        for name, rank in zip(("low", "high"), _rank_pair(p)):
+            at = f"max(CASE WHEN {rank} >= begin AND {rank} < begin + n THEN v END)"
+            ends.append(F.expr(at).alias(f"{name}{i}"))
     picked = ranked.groupBy(*by).agg(
-        F.max("total").alias("total"),
-        F.max("mean").alias("mean"),
-        *[value.alias(name) for name, value in ends.items()],
+        F.max("total").alias("total"), F.max("mean").alias("mean"), *ends
     )
-
-    def between(i: int, p: float) -> Column:
-        part = _position(p) - F.floor(_position(p))
-        return F.col(f"low{i}") + part * (F.col(f"high{i}") - F.col(f"low{i}"))
-
-    quantiles = F.array(*[between(i, p) for i, p in enumerate(probs)])
-    return picked.select(*by, "total", "mean", quantiles.alias("q"))
+    return picked.select(*by, "total", "mean", F.expr(_interpolated(probs)).alias("q"))
