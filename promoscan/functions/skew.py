@@ -33,6 +33,14 @@ def hot_keys(
     )
 
 
+def hot_null(df: DataFrame, key: str, count: str, hot_rows: int | None = None) -> DataFrame:
+    """One row for the null key if it is heavy, else none. Only blocks of files with nulls are read."""
+    bound = HOT_ROWS if hot_rows is None else hot_rows
+    null = F.lit(None).cast(df.schema[key].dataType)
+    rows = df.where(F.col(key).isNull()).agg(F.count(F.lit(1)).alias(count))
+    return rows.where(F.col(count) > bound).select(null.alias(key), count)
+
+
 def split_by_key(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(heavy rows, other rows). Null counts as a key of its own."""
     keys = F.broadcast(hot.select(F.col(key).alias("_hot")))
@@ -45,12 +53,11 @@ def attach_by_key(
 ) -> DataFrame:
     """Join per-key values on to rows; heavy keys go by broadcast, the rest by an ordinary join.
 
-    ``hot`` has the columns of ``per_key``, which holds each key once. Null is a key like any
-    other: a comparison that ignored it would push a null check below the aggregate behind
-    ``per_key``, and Spark would compute that aggregate twice instead of sharing it with ``hot``.
+    ``hot`` has the columns of ``per_key``, which holds each non-null key once. Leave null out of
+    ``per_key`` before it is aggregated: the join would otherwise push that filter into one of
+    its two uses, and Spark would run the aggregate twice instead of sharing it.
     """
-    same = F.col(key).eqNullSafe(F.col("_key"))
-    values = F.broadcast(hot.withColumnRenamed(key, "_key"))
-    heavy = df.join(values, same, "inner").drop("_key")
+    values = F.broadcast(hot.withColumnRenamed(key, "_hot"))
+    heavy = df.join(values, F.col(key).eqNullSafe(F.col("_hot")), "inner").drop("_hot")
     _, rest = split_by_key(df, key, hot)
-    return heavy.unionByName(rest.join(per_key.withColumnRenamed(key, "_key"), same, how).drop("_key"))
+    return heavy.unionByName(rest.join(per_key, key, how))

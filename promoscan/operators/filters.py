@@ -19,7 +19,7 @@ from ..config import (
     check_choice,
 )
 from ..functions.columns import ntz, segment_label
-from ..functions.skew import attach_by_key, hot_keys
+from ..functions.skew import attach_by_key, hot_keys, hot_null
 from .normalize import to_local
 
 
@@ -31,8 +31,9 @@ def with_user_segment(df: DataFrame, u: str | None, hot_rows: int | None = None)
     """
     if u is None:
         return df.withColumn("user_segment", F.lit(UNKNOWN))
-    counts = df.groupBy(u).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(counts, u, "_n", hot_rows)
+    known = df.where(F.col(u).isNotNull())
+    counts = known.groupBy(u).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(counts, u, "_n", hot_rows).unionByName(hot_null(df, u, "_n", hot_rows))
     small = counts.where(F.col("_n") <= ACTIVE_MAX_SCANS)
     labelled = attach_by_key(df, small, hot, u, "left")
     scans = F.when(F.col(u).isNull(), F.lit(0)).otherwise(
