@@ -48,7 +48,7 @@ def passed_filters(unit: np.ndarray, words: int, passed: float = PASSED) -> list
         ones, twos = unit[low : low + 512] @ first.T, unit[low : low + 512] @ second.T
         for a, b in zip(ones, twos, strict=True):
             sums = np.add.outer(np.partition(a, -top)[-top:], np.partition(b, -top)[-top:])
-            t = min(level, np.partition(sums, -top, axis=None)[-top])
+            t = min(level, np.partition(sums, -top, axis=None)[-top] - 1e-9)
             i, j = np.flatnonzero(a >= t - b.max()), np.flatnonzero(b >= t - a.max())
             x, y = np.nonzero(a[i, None] + b[None, j] >= t)
             out.append(i[x] * words + j[y])
@@ -134,7 +134,7 @@ def _tile(tile: pa.Table, threshold: float):
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     values = np.concatenate(lists)
     rows, values = rows[values < this], values[values < this]
-    counted = close
+    counted = close.copy()
     if len(values):
         names, column = np.unique(values, return_inverse=True)
         member = np.zeros((len(busy), len(names)), np.float32)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from promoscan.llm.common import stored, words_of
 
 WINDOW, SYMBOLS, MIN_WORDS, MAX_REPEATED = 8, "[#*$%&|<>]", 20, 30
-BINS, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 32, 12, 4, 0.9, 5
+BINS, MAX_RULES, MAX_CONDITIONS, MIN_PRECISION, MIN_COVER = 32, 12, 4, 0.8, 3
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

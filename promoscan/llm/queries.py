@@ -104,12 +104,12 @@ windows AS (
 hashed AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS h FROM windows),
 firsts AS (SELECT h, min(doc_id) AS first_id FROM hashed GROUP BY h HAVING count(DISTINCT doc_id) > 1),
 gone AS (
-    SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS at
+    SELECT doc_id, list_distinct(flatten(list(range(i, i + 13)))) AS places
     FROM hashed JOIN firsts USING (h) WHERE first_id < doc_id GROUP BY doc_id
 )
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(at), 0) AS BIGINT) AS n_removed,
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(
-           CASE WHEN at IS NULL THEN w ELSE list_filter(w, (x, k) -> NOT list_contains(at, k)) END, ' '), '')) AS kept_sha256
+           CASE WHEN places IS NULL THEN w ELSE list_filter(w, (x, k) -> NOT list_contains(places, k)) END, ' '), '')) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id)
 """
 
