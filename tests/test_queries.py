@@ -4,10 +4,11 @@ import importlib
 
 import pytest
 
+from registry.queries import ORACLE, QUERIES
 from tests.check import connect, difference
 
 entry = importlib.import_module("__spark_entry__")
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+
 
 ONE_ROW = {
     "date_extent", "kpi_summary", "kpi_rates", "user_kpis", "pending_events_count", "consistency_check",
@@ -32,6 +33,7 @@ def empty_dir(spark, sf_dir, tmp_path_factory):
 
 def test_every_query_has_check_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 SLOW_NODES = ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin")
