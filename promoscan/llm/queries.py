@@ -96,7 +96,7 @@ QUERIES: dict[str, Query] = {
 
 _SUBSTRING_SQL = r"""
 WITH words AS (
-    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
 ),
 windows AS (
     SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13
@@ -109,7 +109,7 @@ gone AS (
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
        sha256(coalesce(array_to_string(
-           CASE WHEN places IS NULL THEN w ELSE list_filter(w, (x, k) -> NOT list_contains(places, k)) END, ' '), '')) AS kept_sha256
+           CASE WHEN places IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(places, k)) END, ' '), '')) AS kept_sha256
 FROM words LEFT JOIN gone USING (doc_id)
 """
 
