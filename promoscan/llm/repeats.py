@@ -359,7 +359,8 @@ def with_repeats(docs: DataFrame, w: Windows, refine: Callable) -> DataFrame:
     rows = docs.select("k", "text").mapInArrow(anchor_rows(w), _ROWS)
     parts = rows.repartition("route").sortWithinPartitions(*order).mapInArrow(meet(w), _PARTS)
     needs = parts.filter(F.col("kind") >= SOME).groupBy("k").agg(F.collect_list(F.struct("kind", "a")).alias("needs"))
-    cut = docs.join(needs, "k").select("k", "text", "needs").mapInArrow(contexts(w), _CONTEXTS)
+    # all columns of docs go along in both joins, so that Spark shuffles the texts once
+    cut = docs.join(needs, "k").select(*docs.columns, "needs").mapInArrow(contexts(w), _CONTEXTS)
     found = cut.repartition("route").sortWithinPartitions(*order).mapInArrow(compare(w, refine), _PARTS)
     spans = (
         parts.filter(F.col("kind") == SPAN)

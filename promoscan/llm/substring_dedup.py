@@ -56,12 +56,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Words are runs of anything but ASCII white space, unchanged; windows are judged on the input; a
     repeat inside one document alone counts for nothing. Returns one row per input row: ``row``
-    (struct of all input columns), ``n_words``, ``n_removed``, ``kept`` (kept words joined by single
+    (struct of all input columns but the text), ``n_words``, ``n_removed``, ``kept`` (kept words joined by single
     spaces). A null text has no words. Rows of equal or null id count as separate documents, in the
     order of :func:`common.row_keys`. An empty table gives an empty one. ``width`` is at least 5.
     """
     keyed = row_keys(docs, id_col, text_col)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     frame = keyed.select(F.col("_row_key").alias("k"), F.col(text_col).alias("text"), row.alias("row"))
     windows = Windows(width, GRAM, words=True, same_doc=False)
     fields = T.StructType(

@@ -74,14 +74,14 @@ def _cut(as_text: bool):
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             n_bytes, n_removed, n_spans, kept = [], [], [], []
-            for text, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
-                text, runs = text or b"", union_of(spans)
+            for raw, spans in zip(texts, batch.column("spans").to_pylist(), strict=True):
+                text, runs = raw or b"", union_of(spans)
                 n_bytes.append(len(text))
                 n_removed.append(sum(b - a for a, b in runs))
                 n_spans.append(len(runs))
                 ends = [0, *(x for r in runs for x in r), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
-            last = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            last = pa.array([None if t is None else x.decode("utf-8", "ignore") for t, x in zip(texts, kept, strict=True)], pa.string()) if as_text else pa.array(kept, pa.binary())
             counts = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *counts, last], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -95,14 +95,14 @@ def suffix_array_dedup(
 
     Earlier means in a row of smaller id, or further left in the same row. Strings are judged on
     the input, texts are UTF-8 bytes, a null text is empty. Returns one row per input row: ``row``
-    (struct of all input columns), ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs),
+    (struct of all input columns but the text), ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs),
     ``kept`` (binary, as a cut can leave part of a character; with ``as_text`` a
-    string without such parts). Rows of equal or null id count as
+    string without such parts, null for a null text). Rows of equal or null id count as
     separate documents, in the order of :func:`common.row_keys`. An empty table gives an empty one.
     ``width`` is at least 32.
     """
     keyed = row_keys(docs, id_col, text_col)
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     frame = keyed.select(F.col("_row_key").alias("k"), F.col(text_col).alias("text"), row.alias("row"))
     windows = Windows(width, GRAM, words=False, same_doc=True)
     fields = T.StructType(
