@@ -59,7 +59,8 @@ def row_keys(df: DataFrame, id_col: str, tie_col: str, key: str = "_row_key") ->
     """
     ids = df.groupBy(F.col(id_col).cast("long").alias("_id")).count()
     if ids.filter("count > 1 or _id is null").limit(1).count() == 0:
-        return df.withColumn(key, F.col(id_col).cast("long"))
+        # a key that can't be null by its type: joins then add no filter that would change a shared plan
+        return df.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")))
     order = [F.col(id_col).asc_nulls_last(), F.col(tie_col).asc_nulls_last()]
     numbered = df.orderBy(*order).withColumn(key, F.monotonically_increasing_id())
     return stored(numbered, "keys")
