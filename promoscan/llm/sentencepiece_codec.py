@@ -25,7 +25,7 @@ from promoscan.llm.common import slices
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*")
-CACHED_UNITS = 400_000
+CACHED_UNITS = 1_000_000
 
 
 class Codec:

@@ -14,6 +14,7 @@ of document id. Ordinary zstandard tools read a whole shard as one stream of ids
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -29,7 +30,7 @@ from promoscan.llm.common import new_dir, row_keys, slices, stored
 #: Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY, _FOOTER, _HEAD = struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<II")
-END_ID, LEVEL, CACHED_WORDS = 1, 3, 400_000
+END_ID, LEVEL, CACHED_WORDS = 1, 3, 1_200_000
 MANIFEST = "path string, first_key long, n_docs long, n_tokens long"
 
 
@@ -54,13 +55,29 @@ class TokenCache:
 
     def _learn(self, chunks: set[bytes]) -> None:
         new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > CACHED_WORDS:
+        if len(self.ids) + 2 * len(new) > CACHED_WORDS:
             self.ids.clear()
             new = list(chunks)
-        for low in range(0, len(new), 1000):
-            some = new[low : low + 1000]
-            for chunk, found in zip(some, self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False), strict=True):
-                self.ids[chunk] = np.array(found.ids, "<u4").tobytes()
+        parts = {c: _parts(c) for c in new}
+        missing = [p for p in {p for x in parts.values() for p in x} if p not in self.ids]
+        for low in range(0, len(missing), 1000):
+            some = missing[low : low + 1000]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self.ids[part] = np.array(found.ids, "<u4").tobytes()
+        for chunk, x in parts.items():
+            self.ids[chunk] = b"".join([self.ids[p] for p in x])
+
+
+_WORD_AND_MARKS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]*)")
+
+
+def _parts(chunk: bytes) -> tuple[bytes, ...]:
+    """Parts that the tokenizer handles apart: Latin letters, in lower case, and the marks after them.
+
+    Its pattern never joins letters with marks, and it lower-cases all text. Other chunks stay whole.
+    """
+    match = _WORD_AND_MARKS.fullmatch(chunk.decode())
+    return tuple(p.encode() for p in (match[1].lower(), match[2]) if p) if match else (chunk,)
 
 
 _caches: dict[str, TokenCache] = {}
