@@ -66,7 +66,6 @@ CSV_NULL_TOKENS = (
 
 DEFAULT_TZ = "Asia/Yerevan"
 DEFAULT_START = "2025-09-15 00:00:00"
-PICKLIST_CAP = 5000
 HISTOGRAM_BINS = 30
 FORGOTTEN_DAYS = 7
 LAPSED_DAYS = 15
@@ -81,7 +80,10 @@ SPAN_BASES = ("global", "own")
 
 @dataclass(frozen=True)
 class ScanParams:
-    """The choices a dashboard user makes, with the same defaults.
+    """The choices a dashboard user makes.
+
+    ``start`` is the first time that counts, all by default; the dashboard itself starts at
+    ``DEFAULT_START``.
 
     Times are UTC wall clocks, as text or ``datetime``. An empty ``regions``,
     ``prizes`` or ``segments`` means "no filter"; an empty ``win_types`` means "no rows".
@@ -89,7 +91,7 @@ class ScanParams:
 
     user_col: str | None = None
     tz: str = DEFAULT_TZ
-    start: object = DEFAULT_START
+    start: object = None
     lo: object = None
     hi: object = None
     regions: tuple[str, ...] = ()

@@ -73,7 +73,7 @@ def exact_quantiles(values: DataFrame, probs: Sequence[float], by: Sequence[str]
     total = F.sum("n").over(whole)
     buckets = (
         bucketed.groupBy(*by, "b")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"))
+        .agg(F.sum("n").alias("n"), F.sum(F.col("v").cast("double") * F.col("n")).alias("s"))
         .select(
             *by,
             "b",

@@ -52,12 +52,14 @@ def _wide(long: DataFrame, value: str, max_weeks: int | None) -> DataFrame:
     """One row per cohort, one column per offset (``w0``, ``w1``, ...); empty cells are null.
 
     The columns must be known beforehand. Without ``max_weeks`` a small job finds the largest
-    offset, which the calendar bounds.
+    offset, which the calendar bounds. An offset above ``max_weeks`` raises; no cell is dropped.
     """
     if max_weeks is None:
         max_weeks = long.agg(F.max("weeks_since_first")).first()[0] or 0
     names = [f"w{k}" for k in range(max_weeks + 1)]
-    offset = F.concat(F.lit("w"), F.col("weeks_since_first").cast("string"))
+    weeks = F.col("weeks_since_first")
+    too_far = F.raise_error(F.concat(F.lit(f"max_weeks is {max_weeks}, but there is an offset of "), weeks.cast("string")))
+    offset = F.when(weeks > max_weeks, too_far).otherwise(F.concat(F.lit("w"), weeks.cast("string")))
     return (
         long.withColumn("_offset", offset)
         .groupBy("cohort_week")

@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 
 from ..config import (
     ACTIVE_MAX_SCANS,
-    PICKLIST_CAP,
     RECEIVED_MODES,
     SCOPES,
     UNKNOWN,
@@ -95,8 +94,8 @@ def drop_unscanned(df: DataFrame) -> DataFrame:
 
 
 def filter_start(df: DataFrame, start) -> DataFrame:
-    """From ``start`` (UTC) on."""
-    return df.where(F.col("win_date") >= ntz(start))
+    """From ``start`` (UTC) on; None does not limit."""
+    return df if start is None else df.where(F.col("win_date") >= ntz(start))
 
 
 def filter_range(df: DataFrame, lo=None, hi=None) -> DataFrame:
@@ -111,6 +110,8 @@ def filter_range(df: DataFrame, lo=None, hi=None) -> DataFrame:
 def date_extent(df: DataFrame, start) -> DataFrame:
     """One row: the range that ``filter_range`` can choose from; nulls when there is none."""
     ends = filter_start(df, start).agg(F.min("win_date").alias("lo"), F.max("win_date").alias("hi"))
+    if start is None:
+        return ends
     known = F.col("lo").isNotNull()
     lo = F.when(known, F.least(F.greatest(ntz(start), F.col("lo")), F.col("hi")))
     return ends.select(lo.alias("lo"), "hi")
@@ -145,10 +146,6 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     )
 
 
-def user_picklist(df: DataFrame, u: str, cap: int = PICKLIST_CAP) -> DataFrame:
-    """Sorted distinct users, or none at all when there are more than ``cap``."""
-    users = df.select(u).where(F.col(u).isNotNull()).distinct()
-    # Reading stops at cap + 1 users: enough to know that the list is too long.
-    some = users.limit(cap + 1)
-    size = some.agg(F.count(F.lit(1)).alias("n"))
-    return some.where(size.scalar() <= cap).orderBy(u)
+def user_picklist(df: DataFrame, u: str) -> DataFrame:
+    """Sorted distinct users, all of them; what shows them may take fewer."""
+    return df.select(u).where(F.col(u).isNotNull()).distinct().orderBy(u)

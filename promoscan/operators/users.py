@@ -7,6 +7,8 @@ no window partition can hold more than the calendar allows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,12 +156,8 @@ def user_activity(metrics: DataFrame, u: str, hot_rows: int | None = None) -> Da
 
 def cast_user_id(df: DataFrame, u: str, text: str) -> int | str:
     """A typed id as a number if the column holds integers and the text is one."""
-    if isinstance(df.schema[u].dataType, T.IntegralType):
-        try:
-            return int(text)
-        except ValueError:
-            return text
-    return text
+    whole = isinstance(df.schema[u].dataType, T.IntegralType) and re.fullmatch(r"\s*[+-]?[0-9]+\s*", text)
+    return int(text) if whole else text
 
 
 def user_history(work: DataFrame, u: str, user_id: int | str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,15 +96,17 @@ ORDERS = Adapter(
     _SCANS_FROM_ORDERS,
     {"later": "timestampadd(HOUR, (o_orderkey * 37) % 1500 - 60, o_orderdate)"},
     {"later": "o_orderdate + to_hours((o_orderkey * 37) % 1500 - 60)"},
-    start="1996-01-01 00:00:00",
+    start="1970-01-01 00:00:00",
     as_of="2001-08-01 00:00:00",
 )
+# The same with a start date that leaves rows out, for the operators of which that is the point.
+ORDERS_LATE = replace(ORDERS, start="1996-01-01 00:00:00")
 EVENTS = Adapter(
     "events",
     _SCANS_FROM_EVENTS,
     {"later": "timestampadd(HOUR, (event_id * 37) % 1500 - 60, ts)"},
     {"later": "ts + to_hours((event_id * 37) % 1500 - 60)"},
-    start="2024-01-05 00:00:00",
+    start="1970-01-01 00:00:00",
     as_of="2024-01-31 00:00:00",
 )
 RAW = Adapter(
@@ -118,7 +120,7 @@ RAW = Adapter(
         "iso_z": "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')",
         "iso_offset": "strftime(ts, '%Y-%m-%d %H:%M:%S-03:30')",
     },
-    start="2024-01-05 00:00:00",
+    start="1970-01-01 00:00:00",
     as_of="2025-10-01 00:00:00",
 )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import promoscan as ps
 
 from . import oracle as o
-from .adapters import EVENTS, ORDERS, RAW, TZ, Adapter, QueryFn, customers, table
+from .adapters import EVENTS, ORDERS, ORDERS_LATE, RAW, TZ, Adapter, QueryFn, customers, table
 
 U = "customer_id"
 QUERIES: dict[str, QueryFn] = {}
@@ -174,16 +174,16 @@ filter_query("filter_win_type", "win_type IN ('points', 'no_win')", lambda d: ps
 filter_query("filter_received", "is_win_received", lambda d: ps.filter_received(d, "received"))
 filter_query("filter_not_received", "NOT is_win_received", lambda d: ps.filter_received(d, "not_received"))
 filter_query("drop_unscanned", "win_date IS NOT NULL", ps.drop_unscanned)
-filter_query("filter_start", f"win_date >= TIMESTAMP '{ORDERS.start}'", lambda d: ps.filter_start(d, ORDERS.start))
+filter_query("filter_start", f"win_date >= TIMESTAMP '{ORDERS_LATE.start}'", lambda d: ps.filter_start(d, ORDERS_LATE.start))
 LO, HI = "1997-02-03 00:00:00", "1999-11-30 00:00:00"
 RANGE = f"win_date BETWEEN TIMESTAMP '{LO}' AND TIMESTAMP '{HI}'"
 filter_query("filter_range", RANGE, lambda d: ps.filter_range(d, LO, HI))
 
 query(
     "date_extent",
-    f"""{o.with_work(ORDERS)} SELECT greatest(TIMESTAMP '{ORDERS.start}', min(win_date)) AS lo,
+    f"""{o.with_work(ORDERS_LATE)} SELECT greatest(TIMESTAMP '{ORDERS_LATE.start}', min(win_date)) AS lo,
     max(win_date) AS hi FROM work""",
-)(scoped(ORDERS, lambda f: ps.date_extent(f.filtered, ORDERS.start)))
+)(scoped(ORDERS_LATE, lambda f: ps.date_extent(f.filtered, ORDERS_LATE.start)))
 
 ALL_FILTERS = {
     "regions": ("Georgia", "Armenia"),
@@ -200,12 +200,12 @@ query(
 
 query(
     "work_slice",
-    f"{o.with_work(ORDERS, f'{ALL_WHERE} AND {RANGE}', 'seg')} SELECT {FILTER_COLS}, win_local FROM work",
-)(scoped(ORDERS, lambda f: cols(f.work, f"{FILTER_COLS}, win_local"), lo=LO, hi=HI, **ALL_FILTERS))
+    f"{o.with_work(ORDERS_LATE, f'{ALL_WHERE} AND {RANGE}', 'seg')} SELECT {FILTER_COLS}, win_local FROM work",
+)(scoped(ORDERS_LATE, lambda f: cols(f.work, f"{FILTER_COLS}, win_local"), lo=LO, hi=HI, **ALL_FILTERS))
 
 for _name, _scope, _where in (("metrics_scope_slice", "slice", RANGE), ("metrics_scope_all", "all", "true")):
-    query(_name, f"{o.with_work(ORDERS, _where)} SELECT {FILTER_COLS}, win_local FROM work")(
-        scoped(ORDERS, lambda f: cols(f.metrics, f"{FILTER_COLS}, win_local"), lo=LO, hi=HI, scope=_scope)
+    query(_name, f"{o.with_work(ORDERS_LATE, _where)} SELECT {FILTER_COLS}, win_local FROM work")(
+        scoped(ORDERS_LATE, lambda f: cols(f.metrics, f"{FILTER_COLS}, win_local"), lo=LO, hi=HI, scope=_scope)
     )
 
 for _col, _expr in (
@@ -222,7 +222,7 @@ for _col, _expr in (
 query(
     "user_picklist",
     f"""{o.with_work(EVENTS)}, users AS (SELECT DISTINCT customer_id FROM work
-    WHERE customer_id IS NOT NULL) SELECT * FROM users WHERE (SELECT count(*) FROM users) <= 5000""",
+    WHERE customer_id IS NOT NULL) SELECT * FROM users""",
 )(scoped(EVENTS, lambda f: ps.user_picklist(f.work, U)))
 
 # --- time series -------------------------------------------------------------------------
@@ -249,17 +249,17 @@ for _gran in ("Day", "Week", "Month"):
     )(scoped(ORDERS, lambda f, g=_gran: ps.aggregate_time(f.work, g, True, TZ, U)))
     query(
         f"real_prize_series_{_key}",
-        f"{o.series(ORDERS, _gran, where='is_real_prize AND region_id = 1')} SELECT * FROM series",
+        f"{o.series(ORDERS, _gran, where='is_real_prize')} SELECT * FROM series",
     )(
-        scoped(ORDERS, lambda f, g=_gran: ps.real_prize_series(f.work, g, False, TZ, U), regions=("Georgia",))
+        scoped(ORDERS, lambda f, g=_gran: ps.real_prize_series(f.work, g, False, TZ, U))
     )
 
-RARE_WHERE = "is_real_prize AND region_id = 1"
+RARE_WHERE = "is_real_prize"
 RARE_SQL = o.with_counts(ORDERS, "Day", where=RARE_WHERE)
 
 
 def _rare(f: ps.Frames) -> DataFrame:
-    rare = f.work.where(F.col("is_real_prize") & (F.col("region_id") == 1))
+    rare = f.work.where("is_real_prize")
     return ps.count_by_time(rare, "Day", TZ)
 
 

@@ -34,8 +34,13 @@ def test_retention(spark):
     wide = ps.cohort_retention_matrix(counts)
     assert wide.columns == ["cohort_week", "w0", "w1", "w2"]
     assert tuples(wide) == [("2025-09-15", 1.0, 0.5, 0.5), ("2025-09-22", 1.0, None, None)]
-    assert tuples(ps.cohort_matrix(counts, 1)) == [(D(2025, 9, 15), 2, 1), (D(2025, 9, 22), 1, None)]
+    assert ps.cohort_matrix(counts, 3).columns == ["cohort_week", "w0", "w1", "w2", "w3"]
+    assert [r.w2 for r in ps.cohort_matrix(counts, 3).collect()] == [r.w2 for r in ps.cohort_matrix(counts).collect()]
+    with pytest.raises(Exception, match="max_weeks"):
+        ps.cohort_matrix(counts, 1).collect()
     assert ps.cohort_matrix(counts.limit(0)).count() == 0
+    with pytest.raises(Exception, match="max_weeks"):
+        ps.cohort_matrix(counts, 0).collect()
 
 
 @pytest.mark.parametrize("hot_rows", [None, 0, 2])

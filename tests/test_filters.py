@@ -77,10 +77,27 @@ def test_null_region_is_a_choice(spark):
     assert tuples(ps.distinct_values(ps.normalize(df), "region_name")) == [("Georgia",), ("nan",)]
 
 
-def test_picklist_cap(spark):
+def test_picklist(spark):
     df = scans(spark, [(u, DAY, None, "0") for u in (3, 1, 2, 2, None)])
-    assert tuples(ps.user_picklist(df, "customer_id", cap=3)) == [(1,), (2,), (3,)]
-    assert tuples(ps.user_picklist(df, "customer_id", cap=2)) == []
+    assert tuples(ps.user_picklist(df, "customer_id")) == [(1,), (2,), (3,)]
+    assert ps.user_picklist(spark.range(6000).withColumnRenamed("id", "customer_id"), "customer_id").count() == 6000
+
+
+def test_start_is_open_by_default(spark):
+    raw = spark.createDataFrame([(1, "2001-01-01")], "customer_id int, win_date string")
+    assert ps.dashboard_frames(raw, ps.ScanParams()).metrics.count() == 1
+
+
+def test_absent_columns_and_no_user(spark):
+    raw = spark.createDataFrame([("2025-10-01",)], "win_date string")
+    frames = ps.dashboard_frames(raw, ps.ScanParams(segments=(NOVICE,)))
+    assert frames.user_col is None and frames.filtered.count() == 1
+    assert ps.time_to_claim(frames.filtered).count() == 0 and "prize_id" in frames.filtered.columns
+
+
+def test_text_becomes_naive_utc(spark):
+    raw = spark.createDataFrame([("2025-10-01T04:00:00+04:00",)], "t string")
+    assert str(ps.to_naive_utc(raw, "t").first().t) == "2025-10-01 00:00:00"
 
 
 def test_segments_are_only_added_on_demand(spark):
