@@ -65,7 +65,7 @@ def test_range_includes_both_ends_and_start_is_utc(spark):
 
 def test_slice_is_part_of_all(spark):
     df = scans(spark, [(1, f"2025-09-{d}", None, "0") for d in range(10, 30)]).drop("win_local")
-    params = ps.ScanParams(lo="2025-09-18 00:00:00", hi=dt.datetime(2025, 9, 20))
+    params = ps.ScanParams(start=ps.config.DEFAULT_START, lo="2025-09-18 00:00:00", hi=dt.datetime(2025, 9, 20))
     part, whole = ps.metrics_scope(df, params), ps.metrics_scope(df, params, "all")
     assert (part.count(), whole.count()) == (3, 15)
     assert part.exceptAll(whole).count() == 0
