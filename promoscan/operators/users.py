@@ -1,22 +1,20 @@
 """Activity and history of users.
 
-A window per user would put all rows of one user in one task. Ordinary users are handled
-that way; heavy ones (see ``functions.skew``) are cut into seconds and hours first, so that
-no window partition can hold more than the calendar allows.
+A window per user would put all rows of one user in one task. Here every user's time line is cut
+into minutes: gaps are taken inside a minute, then between the outer scans of minutes. No window
+partition can hold more than the calendar allows, whatever share of the rows a user has.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import HISTORY_COLS
 from ..functions.columns import hours, micros_between, round_even
-from ..functions.quantiles import exact_quantiles
-from ..functions.skew import hot_keys, split_by_key
 
 REPEAT_CHUNK = 10_000
 
@@ -25,42 +23,30 @@ def _scanned(metrics: DataFrame, u: str) -> DataFrame:
     return metrics.where(F.col("win_date").isNotNull() & F.col(u).isNotNull())
 
 
-def _window_gaps(rows: DataFrame, u: str) -> DataFrame:
-    """Each row with the user's previous scan time, by one window per user."""
-    per_user = Window.partitionBy(u).orderBy("win_date")
-    return rows.withColumn("prev", F.lag("win_date").over(per_user))
+def _sliced_gaps(rows: DataFrame, u: str, *sums: Column) -> DataFrame:
+    """(u, win_date, n, sums..., prev) per distinct scan time; ``prev`` is the time before it.
 
-
-def _sliced_gaps(rows: DataFrame, u: str) -> DataFrame:
-    """(u, win_date, prev, n) per distinct scan time, for users of any size.
-
-    ``n`` scans share the time; the gap before it belongs to the first of them. A minute holds
-    at most 6 * 10**7 distinct times and a user as many minutes as the calendar: these bound
-    the two windows.
+    ``n`` scans share the time; the gap before it belongs to the first of them. A minute holds at
+    most 6 * 10**7 distinct times, and the outer times of a user's minutes are two per minute of
+    the calendar: these bound the two windows.
     """
     t = F.col("win_date")
     minute = (F.unix_date(F.to_date(t)) * 24 + F.hour(t)) * 60 + F.minute(t)
-    times = (
-        rows.groupBy(u, "win_date").agg(F.count(F.lit(1)).alias("n")).withColumn("minute", minute)
-    )
-    inside = F.lag("win_date").over(Window.partitionBy(u, "minute").orderBy("win_date"))
-    before = F.lag("last").over(Window.partitionBy(u).orderBy("minute"))
-    # The first time of a minute takes its gap from the last time of the minute before it.
-    minutes = times.groupBy(u, "minute").agg(
-        F.min("win_date").alias("first"), F.max("win_date").alias("last"), F.min_by("n", "win_date").alias("n")
-    )
+    inside = Window.partitionBy(u, "minute").orderBy("win_date")
+    # Outer times of all minutes follow each other under the null slice, the others keep theirs.
+    across = Window.partitionBy(u, "slice").orderBy("win_date")
+    outer = F.col("before").isNull() | F.col("after").isNull()
     return (
-        times.select(u, "win_date", inside.alias("prev"), "n")
-        .where(F.col("prev").isNotNull())
-        .unionByName(minutes.select(u, F.col("first").alias("win_date"), before.alias("prev"), "n"))
+        rows.groupBy(u, "win_date")
+        .agg(F.count(F.lit(1)).alias("n"), *sums)
+        .withColumn("minute", minute)
+        .withColumns({"before": F.lag("win_date").over(inside), "after": F.lead("win_date").over(inside)})
+        .withColumn("slice", F.when(~outer, F.col("minute")))
+        .withColumn("prev", F.coalesce("before", F.lag("win_date").over(across)))
+        .drop("minute", "before", "after", "slice")
     )
 
 
-def _hot_users(metrics: DataFrame, u: str, hot_rows: int | None) -> DataFrame:
-    counts = _scanned(metrics, u).groupBy(u).agg(F.count(F.lit(1)).alias("_n"))
-    return hot_keys(counts, u, "_n", hot_rows).select(u)
-
-
 def _one_row_per_scan(sliced: DataFrame, u: str) -> DataFrame:
     """(u, win_date, prev) with ``n`` rows for each of ``_sliced_gaps``.
 
@@ -81,68 +67,69 @@ def _one_row_per_scan(sliced: DataFrame, u: str) -> DataFrame:
     )
 
 
-def scan_gaps(metrics: DataFrame, u: str, hot_rows: int | None = None) -> DataFrame:
+def scan_gaps(metrics: DataFrame, u: str) -> DataFrame:
     """One row per scan: the user's previous scan and the hours since it (null for the first).
 
     Scans of one user at the same instant follow each other with a gap of zero.
     """
-    rows = _scanned(metrics, u).select(u, "win_date")
-    heavy, light = split_by_key(rows, u, _hot_users(metrics, u, hot_rows))
-    gaps = _window_gaps(light, u).unionByName(_one_row_per_scan(_sliced_gaps(heavy, u), u))
+    gaps = _one_row_per_scan(_sliced_gaps(_scanned(metrics, u).select(u, "win_date"), u), u)
     delta = hours(micros_between(F.col("prev"), F.col("win_date")))
     return gaps.select(u, "win_date", F.col("prev").alias("prev_win_date"), delta.alias("delta_hours"))
 
 
-def _heavy_medians(heavy: DataFrame, u: str) -> DataFrame:
-    """(u, median_gap) in microseconds, exact."""
-    gap = micros_between(F.col("prev"), F.col("win_date"))
-    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    # One gap before each distinct time, and a zero gap for each further scan at it.
-    parts = F.array(
-        F.struct(gap.alias("v"), one.alias("n")), F.struct(zero.alias("v"), (F.col("n") - 1).alias("n"))
-    )
-    counts = (
-        _sliced_gaps(heavy, u)
-        .select(u, F.inline(parts))
-        .where(F.col("v").isNotNull() & (F.col("n") > 0))
-        .groupBy(u, "v")
-        .agg(F.sum("n").alias("n"))
-    )
-    return exact_quantiles(counts, [0.5], by=[u]).select(u, F.col("q")[0].alias("median_gap"))
-
-
-def user_activity(metrics: DataFrame, u: str, hot_rows: int | None = None) -> DataFrame:
+def user_activity(metrics: DataFrame, u: str) -> DataFrame:
     """Scans, wins, real prizes and typical gaps per user; gaps are zero after one scan only.
 
     The gaps of a user add up to the time from first to last scan, so the mean needs no window.
+    For the median, equal gaps of a user become one row with their number. As these different
+    gaps add up to no more than the user's span of time, d of them need d * d / 2 microseconds:
+    ten years hold 25 million, which bounds the window over them.
     """
-    rows = _scanned(metrics, u).select(u, "win_date", "has_win", "is_real_prize")
-    heavy, light = split_by_key(rows, u, _hot_users(metrics, u, hot_rows))
-    sums = [
-        F.count(F.lit(1)).alias("scans"),
+    sums = ("scans", "wins_any", "real_prizes")
+    times = _sliced_gaps(
+        _scanned(metrics, u).select(u, "win_date", "has_win", "is_real_prize"),
+        u,
         F.count_if(F.col("has_win")).alias("wins_any"),
         F.count_if(F.col("is_real_prize")).alias("real_prizes"),
-        F.min("win_date").alias("first"),
-        F.max("win_date").alias("last"),
-    ]
-    gap = micros_between(F.col("prev"), F.col("win_date"))
-    light_users = (
-        _window_gaps(light, u)
-        .withColumn("gap", gap)
-        .groupBy(u)
-        .agg(*sums, F.median("gap").alias("median_gap"))
+    ).withColumnRenamed("n", "scans")
+    gaps = (
+        times.groupBy(u, micros_between(F.col("prev"), F.col("win_date")).alias("gap"))
+        .agg(
+            *[F.sum(c).alias(c) for c in sums],
+            F.count(F.lit(1)).alias("n"),
+            F.min("win_date").alias("first"),
+            F.max("win_date").alias("last"),
+        )
+        # Scans at the same instant follow each other with a gap of zero. The row without a gap
+        # is the first time of the user.
+        .withColumns({"zeros": F.col("scans") - F.col("n"), "n": F.when(F.col("gap").isNull(), 0).otherwise(F.col("n"))})
     )
-    heavy_users = heavy.groupBy(u).agg(*sums).join(_heavy_medians(heavy, u), u, "left")
+    whole = Window.partitionBy(u)
+    running = whole.orderBy(F.col("gap").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = gaps.withColumns(
+        {"zeros": F.sum("zeros").over(whole), "end": F.sum("zeros").over(whole) + F.sum("n").over(running)}
+    ).withColumn("total", F.sum("scans").over(whole) - 1)
+
+    def at(rank: str) -> Column:
+        """The gap of a zero-based rank; ranks below ``zeros`` hold gaps of zero."""
+        rank = f"floor((total - 1 + {rank}) / 2)"
+        return F.expr(f"max(CASE WHEN {rank} < zeros THEN 0 WHEN {rank} >= end - n AND {rank} < end THEN gap END)")
+
     total = hours(micros_between(F.col("first"), F.col("last")))
     mean = F.coalesce(F.try_divide(total, F.col("scans") - 1), F.lit(0.0))
-    median = F.coalesce(hours(F.col("median_gap")), F.lit(0.0))
+    median = F.coalesce(hours(F.col("low") + (F.col("high") - F.col("low")) / 2), F.lit(0.0))
     return (
-        light_users.unionByName(heavy_users)
+        ranked.groupBy(u)
+        .agg(
+            *[F.sum(c).alias(c) for c in sums],
+            F.min("first").alias("first"),
+            F.max("last").alias("last"),
+            at("0").alias("low"),
+            at("1").alias("high"),
+        )
         .select(
             u,
-            "scans",
-            "wins_any",
-            "real_prizes",
+            *sums,
             round_even(mean, 2).alias("avg_hours_between_scans"),
             round_even(median, 2).alias("median_hours_between_scans"),
             round_even(mean / 24, 2).alias("avg_days_between_scans"),

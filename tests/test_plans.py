@@ -1,13 +1,12 @@
 """What the plans must and must not contain."""
 
-import importlib
 import re
 
 import promoscan as ps
 from promoscan.functions.skew import hot_keys
 from registry.adapters import ORDERS, table
+from registry.queries import QUERIES
 
-QUERIES = importlib.import_module("__spark_entry__").queries()
 U = "customer_id"
 
 
@@ -52,13 +51,12 @@ def test_unused_segment_costs_nothing(spark, sf_dir):
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
 
 
-def test_heavy_branch_is_dropped_when_no_key_is_heavy(spark, sf_dir):
-    scans = ps.normalize(ORDERS.scans(spark, sf_dir))
-    plan = final_plan(ps.user_activity(ps.to_local(scans), U))
-    assert plan.count("FileScan") == 1 and "Union" not in plan
-    assert "LeftAnti" not in plan
-    plan = final_plan(ps.user_activity(ps.to_local(scans), U, hot_rows=5))
-    assert "Union" in plan
+def test_users_of_any_size_take_one_path(spark, sf_dir):
+    scans = ps.to_local(ps.normalize(ORDERS.scans(spark, sf_dir)))
+    for df in (ps.user_activity(scans, U), ps.scan_gaps(scans, U)):
+        plan = final_plan(df)
+        assert plan.count("FileScan") == 1
+        assert not any(x in plan for x in ("Union", "Join", "percentile(", "median("))
 
 
 def test_hot_key_list_is_limited(spark):

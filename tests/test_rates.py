@@ -111,3 +111,24 @@ def test_quantiles_by_group(spark):
 def test_quantiles_of_whole_numbers(spark):
     df = spark.range(1001).withColumn("v", F.col("id") * 3_600_000_123)
     assert exact_quantiles(value_counts(df, F.col("v")), [0.5]).first().q == [500 * 3_600_000_123.0]
+
+
+def test_quantiles_of_a_narrow_distribution(spark):
+    df = spark.range(1_000_000).withColumn("v", 1000 + F.col("id") / 1e7)
+    values = value_counts(df, F.col("v"))
+    got = exact_quantiles(values, PROBS).first()
+    assert np.allclose(got.q, np.quantile(1000 + np.arange(1_000_000) / 1e7, PROBS), rtol=1e-13)
+    df = spark.range(200_000).withColumn("v", F.lit(2**62) + F.col("id") * 3)
+    got = exact_quantiles(value_counts(df, F.col("v")), [0.0, 0.5, 1.0]).first()
+    assert got.q == [float(2**62), 2**62 + 299_998.5, float(2**62 + 599_997)]
+
+
+def test_quantiles_near_the_ends_of_bigint(spark):
+    df = spark.createDataFrame([(9 * 10**18,), (9 * 10**18,), (-(2**63),), (2**63 - 1,)], "v bigint")
+    got = exact_quantiles(value_counts(df, F.col("v")), [0.0, 0.5, 1.0]).first()
+    assert got.q == [-(2.0**63), 9e18, 2.0**63] and got["mean"] == pytest.approx(18e18 / 4)
+
+
+def test_quantiles_with_infinite_values(spark):
+    df = spark.createDataFrame([(float("inf"),), (1e308,), (1.7e308,), (-1.7e308,), (0.0,)], "v double")
+    assert exact_quantiles(value_counts(df, F.col("v")), [0.0, 0.25, 0.5, 0.75]).first().q[:3] == [-1.7e308, 0.0, 1e308]

@@ -41,9 +41,8 @@ def gaps(rows):
     return sorted((r[0], str(r[1]), str(r[2]), None if r[3] is None else round(r[3], 6)) for r in rows)
 
 
-@pytest.mark.parametrize("hot_rows", [None, 0, 100])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_gaps_and_activity_against_brute_force(spark, hot_rows, seed):
+def test_gaps_and_activity_against_brute_force(spark, seed):
     rows = random_rows(seed)
     df, want = scans(spark, rows), brute_force(rows)
     expected = gaps(
@@ -51,9 +50,9 @@ def test_gaps_and_activity_against_brute_force(spark, hot_rows, seed):
          None if pd.isna(r.hours) else r.hours)
         for _, r in want.iterrows()
     )
-    assert gaps(tuples(ps.scan_gaps(df, U, hot_rows))) == expected
+    assert gaps(tuples(ps.scan_gaps(df, U))) == expected
 
-    got = {r[U]: r for r in ps.user_activity(df, U, hot_rows).collect()}
+    got = {r[U]: r for r in ps.user_activity(df, U).collect()}
     groups = dict(list(want.groupby(U)))
     assert set(got) == set(groups)
     for user, g in groups.items():
@@ -89,7 +88,7 @@ def test_long_runs_of_copies_are_spread(spark, monkeypatch):
     monkeypatch.setattr(users, "REPEAT_CHUNK", 7)
     df = scans(spark, [(1, "2025-09-15", None, "0"), (1, "2025-09-16", None, "0")])
     copies = df.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(50)))).drop("x")
-    got = ps.scan_gaps(copies, U, hot_rows=10).groupBy("win_date", "delta_hours").count().collect()
+    got = ps.scan_gaps(copies, U).groupBy("win_date", "delta_hours").count().collect()
     assert sorted((r.win_date.day, r.delta_hours or 0.0, r["count"]) for r in got if r.delta_hours != 24) == [
         (15, 0.0, 1), (15, 0.0, 49), (16, 0.0, 49),
     ]
