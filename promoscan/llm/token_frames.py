@@ -14,11 +14,12 @@ of document id. Ordinary zstandard tools read a whole shard as one stream of ids
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,37 +39,59 @@ class TokenCache:
     """Ids of white-space separated chunks as bytes; white space never is part of a token."""
 
     def __init__(self, tokenizer_file: str):
+        # Spark shares out the cores; the library's own threads would only wait for each other
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.ids: dict[bytes, bytes] = {}
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        chunks = text.encode().split()
-        try:
-            return b"".join(map(self.ids.__getitem__, chunks))
-        except KeyError:
-            self._learn(set(chunks))
-            return b"".join(map(self.ids.__getitem__, chunks))
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text. New chunks of all texts are encoded together."""
+        split = [text.encode().split() if text else [] for text in texts]
+        chunks = {c for x in split for c in x}
+        if not chunks <= self.ids.keys():
+            self._learn(chunks)
+        for x in split:
+            yield b"".join(map(self.ids.__getitem__, x))
 
     def _learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self.ids]
+        new = chunks - self.ids.keys()
         if len(self.ids) + 2 * len(new) > CACHED_WORDS:
             self.ids.clear()
-            new = list(chunks)
+            new = chunks
         parts = {c: _parts(c) for c in new}
-        missing = [p for p in {p for x in parts.values() for p in x} if p not in self.ids]
-        for low in range(0, len(missing), 1000):
-            some = missing[low : low + 1000]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
-                self.ids[part] = np.array(found.ids, "<u4").tobytes()
+        missing = {p for x in parts.values() for p in x} - self.ids.keys()
+        words = [p for p in missing if _ONE_WORD.fullmatch(p.decode())]
+        for low in range(0, len(words), 1000):
+            self._learn_words(words[low : low + 1000])
+        for part in missing - self.ids.keys():
+            self.ids[part] = self._ids([part]).tobytes()
         for chunk, x in parts.items():
-            self.ids[chunk] = b"".join([self.ids[p] for p in x])
+            if len(x) > 1 or x[0] != chunk:
+                self.ids[chunk] = b"".join([self.ids[p] for p in x])
+
+    def _ids(self, parts: list[bytes]) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Encode words in one call and cut the ids where a word ends; does nothing if that doesn't work out."""
+        ids = self._ids(words)
+        stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(stops) == len(words):
+            found, start = ids.tobytes(), 0
+            for word, stop in zip(words, stops, strict=True):
+                self.ids[word] = found[start:stop]
+                start = stop
 
 
-_WORD_AND_MARKS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?#$%&*|]*)")
+_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", "[.,;:!?#$%&*|]"
+_WORD_AND_MARKS = re.compile(f"({_LETTERS})({_MARKS}*)")
+_ONE_WORD = re.compile(f"{_LETTERS}|{_MARKS}+")
 
 
 def _parts(chunk: bytes) -> tuple[bytes, ...]:
@@ -165,14 +188,15 @@ def _write(folder: str, tokenizer_file: str):
         writer, first, n_docs, n_tokens = None, None, 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for key, doc_id, text in zip(*(part.column(c).to_pylist() for c in ("k", "id", "text")), strict=True):
+                keys, doc_ids, texts = (part.column(c).to_pylist() for c in ("k", "id", "text"))
+                for key, doc_id, found in zip(keys, doc_ids, cache.encode_all(texts), strict=True):
                     if writer is None:
                         # a name of its own for each attempt: only the manifest makes a shard count
                         path, first = f"{folder}/{uuid.uuid4().hex}.ids.zst", key
                         filesystem, local = _filesystem(path)
                         filesystem.create_dir(local.rpartition("/")[0], recursive=True)
                         writer = ShardWriter(filesystem.open_output_stream(local, compression=None))
-                    ids = cache.encode(text) + end
+                    ids = found + end
                     writer.add(doc_id, ids)
                     n_docs, n_tokens = n_docs + 1, n_tokens + len(ids) // 4
         if writer:
