@@ -14,6 +14,7 @@ of document id. Ordinary zstandard tools read a whole shard as one stream of ids
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,12 +32,24 @@ from promoscan.llm.common import new_dir, row_keys, slices, stored
 #: Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY, _FOOTER, _HEAD = struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<II")
-END_ID, LEVEL, CACHED_WORDS = 1, 3, 1_200_000
+END_ID, LEVEL, CACHED_PIECES = 1, 3, 1_200_000
 MANIFEST = "path string, first_key long, n_docs long, n_tokens long"
 
 
+#: How the cached kind of tokenizer splits normalised text, and what the classes of the
+#: pattern hold among the first 256 characters.
+SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTERS, NUMBERS, SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+_PIECE = re.compile(SPLIT_PATTERN.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS).replace(r"\s", SPACES))
+
+
 class TokenCache:
-    """Ids of white-space separated chunks as bytes; white space never is part of a token."""
+    """Ids of texts; each distinct piece of them is encoded once and kept as bytes.
+
+    A tokenizer that lower-cases, splits by ``SPLIT_PATTERN`` and marks ends of words never joins
+    characters of two pieces, so texts of Latin-1 characters are cut into pieces here. Of other texts
+    the chunks between white space are taken. Any other tokenizer gets whole texts, without a cache.
+    """
 
     def __init__(self, tokenizer_file: str):
         # Spark shares out the cores; the library's own threads would only wait for each other
@@ -44,63 +57,62 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.ids: dict[bytes, bytes] = {}
-        suffix = self.tokenizer.model.end_of_word_suffix
+        self.ids: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        spec = json.loads(self.tokenizer.to_str())
+        normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["pattern"]["Regex"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.by_piece = bool(suffix) and normalizers == ["NFC", "Replace", "Lowercase"] and splits == [SPLIT_PATTERN]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text. New chunks of all texts are encoded together."""
-        split = [text.encode().split() if text else [] for text in texts]
-        chunks = {c for x in split for c in x}
-        if not chunks <= self.ids.keys():
-            self._learn(chunks)
-        for x in split:
+        """Ids of each text. New pieces of all texts are encoded together."""
+        if not self.by_piece:
+            yield from (self._ids(text).tobytes() if text else b"" for text in texts)
+            return
+        pieces = [self._pieces(text) if text else [] for text in texts]
+        self._learn(set().union(*pieces))
+        for x in pieces:
             yield b"".join(map(self.ids.__getitem__, x))
 
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = chunks - self.ids.keys()
-        if len(self.ids) + 2 * len(new) > CACHED_WORDS:
+    def _plain(self, text: str) -> bool:
+        try:
+            text.isascii() or text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        lower = text.lower()
+        return not any(t in lower for t in self.added)
+
+    def _pieces(self, text: str) -> list[str]:
+        if self._plain(text):
+            return _PIECE.findall(text.lower())
+        chunks = [c.decode() for c in text.encode().split()]
+        return [p for c in chunks for p in (_PIECE.findall(c.lower()) if self._plain(c) else [c])]
+
+    def _learn(self, pieces: set[str]) -> None:
+        new = pieces - self.ids.keys()
+        if len(self.ids) + len(new) > CACHED_PIECES:
             self.ids.clear()
-            new = chunks
-        parts = {c: _parts(c) for c in new}
-        missing = {p for x in parts.values() for p in x} - self.ids.keys()
-        words = [p for p in missing if _ONE_WORD.fullmatch(p.decode())]
-        for low in range(0, len(words), 1000):
-            self._learn_words(words[low : low + 1000])
-        for part in missing - self.ids.keys():
-            self.ids[part] = self._ids([part]).tobytes()
-        for chunk, x in parts.items():
-            if len(x) > 1 or x[0] != chunk:
-                self.ids[chunk] = b"".join([self.ids[p] for p in x])
-
-    def _ids(self, parts: list[bytes]) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([b" ".join(parts).decode()], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn_words(self, words: list[bytes]) -> None:
-        """Encode words in one call and cut the ids where a word ends; does nothing if that doesn't work out."""
-        ids = self._ids(words)
+            new = pieces
+        plain = list(new) if self._plain(" ".join(new)) else [p for p in new if self._plain(p)]
+        for low in range(0, len(plain), 1000):
+            self._learn_plain(plain[low : low + 1000])
+        for piece in new - self.ids.keys():
+            self.ids[piece] = self._ids(piece).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn_plain(self, pieces: list[str]) -> None:
+        """Encode pieces in one call and cut the ids where one ends; does nothing if that doesn't work out."""
+        ids = self._ids(" ".join(pieces))
         stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-        if len(stops) == len(words):
-            found, start = ids.tobytes(), 0
-            for word, stop in zip(words, stops, strict=True):
-                self.ids[word] = found[start:stop]
-                start = stop
-
-
-_LETTERS, _MARKS = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+", "[.,;:!?#$%&*|]"
-_WORD_AND_MARKS = re.compile(f"({_LETTERS})({_MARKS}*)")
-_ONE_WORD = re.compile(f"{_LETTERS}|{_MARKS}+")
-
-
-def _parts(chunk: bytes) -> tuple[bytes, ...]:
-    """Parts that the tokenizer handles apart: Latin letters, in lower case, and the marks after them.
-
-    Its pattern never joins letters with marks, and it lower-cases all text. Other chunks stay whole.
-    """
-    match = _WORD_AND_MARKS.fullmatch(chunk.decode())
-    return tuple(p.encode() for p in (match[1].lower(), match[2]) if p) if match else (chunk,)
+        if len(stops) == len(pieces):
+            found = ids.tobytes()
+            self.ids.update(zip(pieces, [found[a:b] for a, b in zip([0, *stops], stops)], strict=True))
 
 
 _caches: dict[str, TokenCache] = {}

@@ -14,7 +14,7 @@ from promoscan.llm.quality_cotrain import keep_good, score_quality
 from promoscan.llm.quality_rules import quality_rules, text_statistics
 from promoscan.llm.sentencepiece_codec import Codec, sentencepiece_round_trip
 from promoscan.llm.simhash_dedup import covering_masks, drop_near_duplicates, near_prints, simhash_dedup
-from promoscan.llm.token_frames import ShardReader, read_shards, write_shards
+from promoscan.llm.token_frames import ShardReader, TokenCache, read_shards, write_shards
 from tests.llm.helpers import (
     base_statistics, components_of, documents, numbered, odd_documents, pairs, sha, simhash, unit, words,
 )
@@ -84,6 +84,24 @@ def test_token_frames(spark, docs, tokenizer):
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_pieces_of_odd_texts(tokenizer):
+    texts = [
+        "Don't <|endoftext|> x<|startoftext|>y <|ENDOFTEXT|> Straße's \u00ad it's ''s 12a'llb 3rd x|y |||| c!?",
+        "ÀÉ²½3ª µ™ \u212a K\x85b\xa0c ’s e\u0301 \u0301a İ ǅ", "日本 ok <|endoftext|>x", "\x1c a\x1fb\x00\x7f", " \t\n", "", None,
+    ]
+    cache = TokenCache(queries.vocabulary("word_bpe_49k.json"))
+    assert cache.by_piece
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode_all(texts)] == expected
+    characters = [f"a{chr(c)}B {chr(c)}" for c in range(0x2100)]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in characters]
+    assert [np.frombuffer(x, "<u4").tolist() for x in cache.encode_all(characters)] == expected
+    other = TokenCache(queries.vocabulary("byte_bpe_50k.json"))
+    assert not other.by_piece
+    expected = [x.ids for x in other.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in other.encode_all(texts)] == expected
+
+
 def test_random_access_and_damage(spark, docs, tmp_path, tokenizer):
     texts = dict(pairs(docs, "doc_id", "text"))
     manifest = write_shards(docs.coalesce(1), queries.vocabulary("word_bpe_49k.json"), str(tmp_path / "shards"))
