@@ -47,6 +47,7 @@ from .operators.normalize import (
     candidate_user_columns,
     normalize,
     normalize_prize_id,
+    date_parse_report,
     parse_dates,
     points_received,
     real_prize_flags,
@@ -89,6 +90,7 @@ from .session import build_session, use_utc
 from .sources.readers import (
     MissingColumnError,
     cache_scans,
+    csv_lines,
     jdbc_options,
     null_tokens,
     optional_columns,
@@ -97,6 +99,7 @@ from .sources.readers import (
     read_scans_parquet,
     refresh,
     require_columns,
+    scans_from_csv_lines,
 )
 from .sources.writers import write_csv
 

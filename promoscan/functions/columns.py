@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from ..config import (
 )
 
 _UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+EPOCH_MICROS = {"s": 1_000_000, "ms": 1_000, "us": 1, "ns": 0}  # 0: a thousandth
 MICROS_PER_HOUR = 3_600_000_000
 MICROS_PER_DAY = 24 * MICROS_PER_HOUR
 
@@ -54,28 +57,49 @@ def instant_to_utc(instant: Column) -> Column:
     )
 
 
-def parse_utc(t: Column) -> Column:
+def parse_utc(t: Column, formats: Sequence[str] = ()) -> Column:
     """ISO-8601 text to a UTC wall clock; text without an offset is UTC; anything else is null.
 
+    ``formats`` are datetime patterns without a zone, tried in order on text that isn't ISO.
+
     The text must be stripped. A cast to a wall clock ignores ``Z`` and needs no session zone; only text with another
     offset has to go by way of an instant.
     """
     zoned = F.regexp_replace(t, r"\s+([+-])", "$1").try_cast("timestamp")
-    return F.when(
+    iso = F.when(
         t.rlike(_ISO),
         F.when(t.rlike(_OFFSET), instant_to_utc(zoned)).otherwise(t.try_cast("timestamp_ntz")),
     )
+    # read and shown in the session zone, so the wall clock is that of the text
+    others = [F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    return F.coalesce(iso, *others) if others else iso
+
+
+def epoch_to_utc(number: Column, unit: str) -> Column:
+    """A whole number of ``unit`` since 1970 as a UTC wall clock; parts of a microsecond are cut off."""
+    check_choice("epoch unit", unit, tuple(EPOCH_MICROS))
+    per_unit = EPOCH_MICROS[unit]
+    exact = number.cast("decimal(20,0)")
+    micros = exact * F.lit(per_unit) if per_unit else F.floor(exact / F.lit(1000))
+    return instant_to_utc(F.timestamp_micros(micros.try_cast("bigint")))
 
 
-def to_utc_column(col: Column, data_type: T.DataType) -> Column:
-    """A date column of any stored type as a UTC wall clock; text must be stripped."""
+def to_utc_column(
+    col: Column, data_type: T.DataType, formats: Sequence[str] = (), epoch_unit: str = "ns"
+) -> Column:
+    """A date column of any stored type as a UTC wall clock; text must be stripped.
+
+    Whole numbers count ``epoch_unit`` since 1970.
+    """
     if isinstance(data_type, T.TimestampNTZType):
         return col
     if isinstance(data_type, T.TimestampType):
         return instant_to_utc(col)
     if isinstance(data_type, T.DateType):
         return col.cast("timestamp_ntz")
-    return parse_utc(col.cast("string"))
+    if isinstance(data_type, T.IntegralType):
+        return epoch_to_utc(col, epoch_unit)
+    return parse_utc(col.cast("string"), formats)
 
 
 def _session_is_utc() -> bool:

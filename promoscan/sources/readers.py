@@ -13,6 +13,17 @@ from ..config import DATE_COLS, UNKNOWN
 from ..functions.columns import null_if_token
 
 
+#: What reader and writer agree on, in files as in text columns.
+CSV_OPTIONS = {
+    "quote": '"',
+    "escape": '"',
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    # the writer would strip text otherwise
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+
+
 class MissingColumnError(ValueError):
     """The scan table lacks a column that no operator can do without."""
 
@@ -38,14 +49,24 @@ def read_scans_csv(
     df = (
         spark.read.option("header", True)
         .option("enforceSchema", False)
-        .option("quote", '"')
-        .option("escape", '"')
+        .options(**CSV_OPTIONS)
         .option("multiLine", multiline)
         .csv(path)
     )
     return null_tokens(df if cols is None else df.select(*cols))
 
 
+def csv_lines(df: DataFrame, name: str = "line") -> DataFrame:
+    """Each row as one line of CSV text, in the form of ``write_csv``."""
+    return df.select(F.to_csv(F.struct(*df.columns), CSV_OPTIONS).alias(name))
+
+
+def scans_from_csv_lines(lines: DataFrame, cols: Iterable[str], name: str = "line") -> DataFrame:
+    """Lines of CSV text as :func:`read_scans_csv` reads a file with these columns."""
+    schema = ", ".join(f"`{c}` string" for c in cols)
+    return null_tokens(lines.select(F.from_csv(name, schema, CSV_OPTIONS).alias("_r")).select("_r.*"))
+
+
 def read_scans_parquet(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -57,11 +78,17 @@ def jdbc_options(
     partition_column: str | None = None,
     bounds: tuple | None = None,
     partitions: int | None = None,
+    one_task: bool = False,
 ) -> dict[str, str]:
-    """Options of the JDBC read; with a partition column it runs as parallel range queries."""
+    """Options of the JDBC read: parallel range queries over the partition column.
+
+    A read without one goes through a single connection, so it has to be asked for by ``one_task``.
+    """
     options = {"url": url, "driver": "org.postgresql.Driver", "fetchsize": "10000"}
     options.update(props or {})
     if partition_column is None:
+        if not one_task:
+            raise ValueError("give a partition column with bounds and partitions, or one_task=True")
         options["query"] = sql
         return options
     if bounds is None or partitions is None:

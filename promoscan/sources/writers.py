@@ -4,14 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .readers import CSV_OPTIONS
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with a header, one file per task; times keep their microseconds."""
-    (
-        df.write.mode(mode)
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-        .csv(path)
-    )
+    df.write.mode(mode).option("header", True).options(**CSV_OPTIONS).csv(path)

@@ -74,6 +74,43 @@ query(
     f"WITH raw AS ({RAW.sql}) SELECT scan_id, {o.RAW_DATE.format('win_date')} AS win_date FROM raw",
 )(lambda spark, sf: ps.parse_dates(RAW.scans(spark, sf)).select("scan_id", "win_date"))
 
+DATE_FORMATS = ("dd.MM.yyyy HH:mm", "yyyy/MM/dd", "yyyyMMdd'T'HHmmss'Z'")
+
+
+def _written_dates(spark, sf):
+    """Event times in the forms of ``DATE_FORMATS``, in ISO form, and as an epoch number."""
+    form = F.col("event_id") % 5
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    for i, pattern in enumerate(DATE_FORMATS):
+        text = F.when(form == i, F.date_format("ts", pattern)).otherwise(text)
+    text = F.when(form == 4, F.lit("31.31.2025")).otherwise(text)
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return table(spark, sf, "events").select("event_id", text.alias("win_date"), nanos.alias("prize_receive_date"))
+
+
+query(
+    "parse_date_formats",
+    """SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN date_trunc('day', ts)
+    WHEN 4 THEN NULL ELSE date_trunc('second', ts) END AS TIMESTAMP) AS win_date, ts AS prize_receive_date FROM events""",
+)(lambda spark, sf: ps.parse_dates(_written_dates(spark, sf), formats=DATE_FORMATS))
+
+query(
+    "date_parse_report",
+    """SELECT 'win_date' AS "column", count(ts) AS "values", CAST(count(ts) FILTER (event_id % 5 <> 3) AS BIGINT) AS unreadable
+    FROM events UNION ALL SELECT 'prize_receive_date', count(ts), 0 FROM events""",
+)(lambda spark, sf: ps.date_parse_report(_written_dates(spark, sf)))
+
+query(
+    "csv_round_trip",
+    f"""WITH s AS ({EVENTS.sql}) SELECT CAST(scan_id AS VARCHAR) AS scan_id, CAST(customer_id AS VARCHAR) AS customer_id,
+    win_date, CAST(prize_id AS VARCHAR) AS prize_id, CAST(is_win_received AS VARCHAR) AS is_win_received FROM s""",
+)(lambda spark, sf: _csv_round_trip(cols(EVENTS.scans(spark, sf), "scan_id, customer_id, win_date, prize_id, is_win_received")))
+
+
+def _csv_round_trip(df):
+    return ps.parse_dates(ps.scans_from_csv_lines(ps.csv_lines(df), df.columns), ["win_date"])
+
+
 query(
     "normalize_prize_id",
     f"WITH raw AS ({RAW.sql}) SELECT scan_id, {o.CLEAN_PRIZE} AS prize_id FROM raw",

@@ -158,3 +158,15 @@ def test_local_time_and_durations_in_any_session_zone(spark, zone):
 def test_naive_utc(spark):
     df = spark.sql("SELECT TIMESTAMP'2025-01-01 10:00:00+04:00' a, TIMESTAMP_NTZ'2025-01-01 10:00:00' b")
     assert tuples(ps.to_naive_utc(ps.to_naive_utc(df, "a"), "b")) == [(T(2025, 1, 1, 6), T(2025, 1, 1, 10))]
+
+
+def test_date_formats_and_epochs(spark):
+    df = spark.createDataFrame([("16.09.2025 10:00", 2), (" 2025/09/16 ", -1), ("31.02.2025 10:00", None)], "win_date string, n bigint")
+    got = ps.parse_dates(df, formats=("dd.MM.yyyy HH:mm", "yyyy/MM/dd")).collect()
+    assert [str(r.win_date) for r in got] == ["2025-09-16 10:00:00", "2025-09-16 00:00:00", "None"]
+    for unit, first in {"s": "1970-01-01 00:00:02", "ms": "1970-01-01 00:00:00.002000", "us": "1970-01-01 00:00:00.000002", "ns": "1970-01-01 00:00:00"}.items():
+        assert str(ps.parse_dates(df, ["n"], epoch_unit=unit).first().n) == first
+    big = spark.createDataFrame([(2**63 - 1,)], "n bigint")
+    assert ps.parse_dates(big, ["n"], epoch_unit="s").first().n is None
+    assert ps.date_parse_report(df, ["win_date"]).collect() == [("win_date", 3, 3)]
+    assert ps.date_parse_report(df.select("n"), ["absent"]).collect() == []

@@ -62,13 +62,23 @@ def test_csv_round_trip(spark, tmp_path):
 
 
 def test_jdbc_options():
-    options = ps.jdbc_options("jdbc:postgresql://db/x", "SELECT 1;", {"user": "me"})
+    options = ps.jdbc_options("jdbc:postgresql://db/x", "SELECT 1;", {"user": "me"}, one_task=True)
     assert options["query"] == "SELECT 1;" and options["user"] == "me" and "dbtable" not in options
     split = ps.jdbc_options("jdbc:postgresql://db/x", "SELECT 1;", None, "id", (0, 100), 8)
     assert split["dbtable"] == "(SELECT 1) AS scans" and "query" not in split
     assert (split["partitionColumn"], split["numPartitions"]) == ("id", "8")
     with pytest.raises(ValueError):
         ps.jdbc_options("jdbc:postgresql://db/x", "SELECT 1", None, "id")
+    with pytest.raises(ValueError, match="one_task"):
+        ps.jdbc_options("jdbc:postgresql://db/x", "SELECT 1")
+
+
+def test_csv_lines(spark):
+    rows = [(1, 'a "b", c', None), (2, "", "NA"), (None, " x ", "\\"), (None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b string, c string")
+    back = ps.scans_from_csv_lines(ps.csv_lines(df), df.columns)
+    expected = [("1", 'a "b", c', None), ("2", None, None), (None, " x ", "\\"), (None, None, None)]
+    assert [tuple(r) for r in back.collect()] == expected
 
 
 def test_cache_and_refresh(spark, csv_path):
