@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from promoscan.llm.common import slices, stored
 
-#: Most rows that fits use, of the labelled and of the others (a hash sample beyond that).
+#: Most labelled rows that fits use (a hash sample beyond that); all others take part in the exchange.
 FIT_ROWS = 200_000
 ROUNDS, SURE, HASHED, META = 2, 0.97, 48, 48
 KEEP = 0.5
@@ -144,12 +144,12 @@ def cotrain(views: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     marks = marks.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     joined = views.join(marks, "id", "left")
     counts = {r[0]: r[1] for r in joined.groupBy("label").count().collect()}
-    labelled, others = sum(n for x, n in counts.items() if x is not None), counts.get(None, 0)
+    labelled = sum(n for x, n in counts.items() if x is not None)
     if not counts.get(0) or not counts.get(1) or min(counts[0], counts[1]) < 10:
         return QualityModel(None, None, 0.5, meta_columns or [])
     share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    limit = F.when(F.col("label").isNull(), FIT_ROWS / max(others, 1)).otherwise(FIT_ROWS / labelled)
-    pool = joined.filter(share < limit).withColumn("held", F.col("label").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(4)) == 0))
+    taken = F.col("label").isNull() | (share < FIT_ROWS / labelled)
+    pool = joined.filter(taken).withColumn("held", F.col("label").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(4)) == 0))
     seen = F.when(~F.col("held"), F.col("label"))
     pool = stored(pool.withColumn("for_text", seen).withColumn("for_meta", seen), "pool")
     held = pool.filter("held")
@@ -167,7 +167,8 @@ def cotrain(views: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         free = F.col("label").isNull()
         scored = scored.withColumn("for_meta", F.when(free, F.coalesce("for_meta", sure("p_text"))).otherwise(F.col("for_meta")))
         scored = scored.withColumn("for_text", F.when(free, F.coalesce("for_text", sure("p_meta"))).otherwise(F.col("for_text")))
-        pool = stored(scored.select(*pool.columns), "pool")
+        # not stored again: the models are fixed, so that every pass over the views gives the same
+        pool = scored.select(*pool.columns)
         text, meta = fitted()
     return QualityModel(text, meta, counts[1] / labelled, meta_columns or [])
 

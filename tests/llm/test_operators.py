@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from promoscan.llm import queries
+from promoscan.llm import quality_cotrain, queries
 from promoscan.llm.components import components
 from promoscan.llm.embedding_dedup import THRESHOLD, embedding_dedup, passed_filters
 from promoscan.llm.language_id import identify_language
@@ -390,3 +390,18 @@ def test_cotraining_odd(spark, docs, labels):
     assert all(r.kept and r.score == 1 for r in score_quality(odd, empty(labels)).collect())
     assert keep_good(odd, empty(labels)).columns == odd.columns
     assert score_quality(empty(docs), labels).count() == 0
+
+
+def test_exchange_covers_all_unlabelled_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+
+    def scores():
+        return {r.doc_id: r.score for r in score_quality(docs, labels).collect()}
+
+    whole = scores()
+    n = docs.join(labels, "doc_id", "left_semi").count()
+    assert n < docs.count() - n
+    monkeypatch.setattr(quality_cotrain, "FIT_ROWS", n)
+    bounded = scores()
+    assert max(abs(whole[k] - bounded[k]) for k in whole) < 1e-6
