@@ -43,13 +43,20 @@ _CONTEXTS = _ROWS + ", context binary"
 
 @dataclass(frozen=True)
 class Windows:
-    """What a window is: ``width`` symbols, anchored by grams of ``gram``; words or bytes."""
+    """What a window is: ``width`` symbols, anchored by grams of ``gram``; words or bytes.
+
+    Raises ValueError if a window reaches further from its anchor than ``_pack`` holds.
+    """
 
     width: int
     gram: int
     words: bool
     same_doc: bool
 
+    def __post_init__(self):
+        if self.width - self.gram > 255:
+            raise ValueError(f"a width of {self.width} is too large, {self.gram + 255} at most")
+
     @property
     def count(self) -> int:
         return self.width - self.gram + 1

@@ -137,3 +137,9 @@ def test_structures_agree_with_strings():
 def test_merged_spans():
     k, a, b = repeats.merged(np.array([2, 1, 1, 1]), np.array([0, 5, 0, 2]), np.array([4, 9, 3, 5]))
     assert list(zip(k, a, b, strict=True)) == [(1, 0, 9), (2, 0, 4)]
+
+
+def test_too_wide_raises():
+    assert repeats.Windows(279, 24, False, True).count == 256
+    with pytest.raises(ValueError, match="279 at most"):
+        repeats.Windows(280, 24, False, True)
