@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..config import FORGOTTEN_DAYS, HISTOGRAM_BINS
 from ..functions.columns import hours, micros_between, ntz
 from ..functions.quantiles import exact_quantiles, value_counts
+from ..sources.readers import optional_columns
 
 
 def time_to_claim(filtered: DataFrame) -> DataFrame:
     """Received real prizes with both dates: ``hours_to_claim``, negative ones dropped."""
     delta = hours(micros_between(F.col("win_date"), F.col("prize_receive_date")))
     return (
-        filtered.where(
+        optional_columns(filtered, ["prize_receive_date"])
+        .where(
             F.col("is_real_prize")
             & F.col("is_win_received")
             & F.col("prize_receive_date").isNotNull()

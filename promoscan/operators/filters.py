@@ -19,6 +19,7 @@ from ..config import (
 )
 from ..functions.columns import ntz, segment_label
 from ..functions.skew import attach_by_key, hot_keys, hot_null
+from ..sources.readers import optional_columns
 from .normalize import to_local
 
 
@@ -139,7 +140,8 @@ def metrics_scope(filtered: DataFrame, params: ScanParams, scope: str | None = N
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """Sorted distinct non-null values; prize ids as text."""
+    """Sorted distinct non-null values; prize ids as text. Of an absent optional column, none."""
+    df = optional_columns(df, [col])
     value = _prize_text(df.schema[col].dataType) if col == "prize_id" else F.col(col)
     return (
         df.select(value.alias(col)).where(F.col(col).isNotNull()).distinct().orderBy(col)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import round_even
+from ..sources.readers import optional_columns
 
 RATES = ("p_per_scan", "share_among_real", "received_share_in_prize")
 
@@ -18,7 +19,8 @@ def prize_probabilities(metrics: DataFrame) -> DataFrame:
     real, won, got = F.col("is_real_prize"), F.col("real_prize_count"), F.col("received_count")
     # The filter and the totals use results of the aggregate, all of them, so that the two
     # uses are the same plan and the table is read once.
-    per_prize = metrics.groupBy(F.when(real, F.col("prize_id")).alias("prize_id")).agg(
+    scans = optional_columns(metrics, ["prize_id"])
+    per_prize = scans.groupBy(F.when(real, F.col("prize_id")).alias("prize_id")).agg(
         F.count(F.lit(1)).alias("real_prize_count"),
         F.count_if(F.col("is_real_prize_received")).alias("received_count"),
         F.max(real).alias("real"),
@@ -49,7 +51,8 @@ def prize_probabilities_pct(probabilities: DataFrame) -> DataFrame:
 def prize_efficiency(filtered: DataFrame) -> DataFrame:
     won, got = F.col("total_won"), F.col("total_received")
     return (
-        filtered.where(F.col("is_real_prize"))
+        optional_columns(filtered, ["prize_id"])
+        .where(F.col("is_real_prize"))
         .groupBy("prize_id")
         .agg(
             F.count(F.lit(1)).alias("total_won"),

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from ..config import ScanParams
 from ..operators.filters import apply_filters, metrics_scope, with_user_segment, work_slice
 from ..operators.normalize import normalize, user_column
-from ..sources.readers import optional_columns, require_columns
+from ..sources.readers import require_columns
 
 
 @dataclass(frozen=True)
@@ -30,9 +30,12 @@ class Frames:
 
 
 def dashboard_frames(raw: DataFrame, params: ScanParams, with_segments: bool = False) -> Frames:
-    """Build all four frames; without a user column there are no segments. ``with_segments`` adds the user segment even if it filters nothing."""
-    # absent columns are added after normalize: a null prize_id before it would turn wins into points
-    scans = optional_columns(normalize(require_columns(raw)))
+    """Build all four frames; without a user column there are no segments.
+
+    ``with_segments`` adds the user segment even if it filters nothing. Columns that the scans lack
+    are not added; an operator that needs one adds it for itself.
+    """
+    scans = normalize(require_columns(raw))
     u = params.user_col or user_column(scans)
     if u is None:
         params = replace(params, segments=())

@@ -131,12 +131,13 @@ def require_columns(df: DataFrame, cols: Iterable[str] = ("win_date",)) -> DataF
     return df
 
 
-def optional_columns(df: DataFrame) -> DataFrame:
-    """Add the optional columns that are absent, each with its constant."""
+def optional_columns(df: DataFrame, needed: Iterable[str] | None = None) -> DataFrame:
+    """Add those of the ``needed`` optional columns (all by default) that are absent, each with its constant."""
     constants = {
         "is_win_received": F.lit(False),
         "region_name": F.lit(UNKNOWN),
         "prize_id": F.lit(None).cast("string"),
         **{c: F.lit(None).cast("timestamp_ntz") for c in DATE_COLS if c != "win_date"},
     }
-    return df.select("*", *[v.alias(c) for c, v in constants.items() if c not in df.columns])
+    absent = [c for c in (constants if needed is None else needed) if c in constants and c not in df.columns]
+    return df.select("*", *[constants[c].alias(c) for c in absent]) if absent else df

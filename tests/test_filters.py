@@ -92,7 +92,9 @@ def test_absent_columns_and_no_user(spark):
     raw = spark.createDataFrame([("2025-10-01",)], "win_date string")
     frames = ps.dashboard_frames(raw, ps.ScanParams(segments=(NOVICE,)))
     assert frames.user_col is None and frames.filtered.count() == 1
-    assert ps.time_to_claim(frames.filtered).count() == 0 and "prize_id" in frames.filtered.columns
+    assert not {"prize_id", "prize_receive_date", "prize_delivery_date"} & set(frames.filtered.columns)
+    assert ps.time_to_claim(frames.filtered).count() == 0 and ps.prize_efficiency(frames.filtered).count() == 0
+    assert ps.prize_probabilities(frames.metrics).count() == 0 and ps.distinct_values(frames.scans, "prize_id").count() == 0
 
 
 def test_text_becomes_naive_utc(spark):
