@@ -39,15 +39,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(work_dir(df.sparkSession))
-    return df.checkpoint()
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored`, once nothing that is still to be computed reads them."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(table.stored_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct ``row``, so that no name of theirs can clash with another."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def field(name: str) -> str:
+    """The name of a column that :func:`packed` put away."""
+    return f"row.`{name}`"
 
 
 def row_keys(df: DataFrame, id_col: str, tie_col: str, key: str = "_row_key") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promoscan.llm.common import stored
+from promoscan.llm.common import discard, stored
 
 MAX_ROUNDS = 60
 
@@ -24,8 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     for _ in range(MAX_ROUNDS):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = stored(_star(both, _least(both), "v > u"), "large-star")
-        links = stored(_star(large, _least(large), None), "small-star")
+        first = _least(both)
+        large = stored(_star(both, first, "v > u"), "large-star")
+        second = _least(large)
+        before, links = links, stored(_star(large, second, None), "small-star")
+        discard(before, first, large, second)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promoscan.llm.common import row_keys, stored, words_of
+from promoscan.llm.common import field, packed, row_keys, stored, words_of
 
 WEIGHTS, CAP = (5, 2, 1), 3
 BLOCK = 4096
@@ -147,8 +147,8 @@ def mix_sources(
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them."""
-    keyed = row_keys(docs, id_col, text_col)
-    copies = mix_sources(keyed.drop(id_col).withColumnRenamed("_row_key", id_col), id_col, text_col, source_col).filter("copies > 0")
-    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))
-    joined = keyed.join(copies.select(F.col("k").alias("_row_key"), F.col("copies").alias("_copies")), "_row_key")
-    return joined.withColumn("_copy", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = row_keys(packed(docs), field(id_col), field(text_col))
+    narrow = keyed.select(F.col("_row_key").alias("doc_id"), F.col(field(text_col)).alias("text"), F.col(field(source_col)).alias("source"))
+    copies = mix_sources(narrow).filter("copies > 0").select(F.col("k").alias("_row_key"), "copies")
+    taken = keyed.join(copies, "_row_key")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
