@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promoscan.llm.collocations import collocations
 from promoscan.llm.common import ship
+from promoscan.llm.conversation_repair import repaired_after_damage
 from promoscan.llm.embedding_dedup import embedding_dedup
 from promoscan.llm.language_id import identify_language
 from promoscan.llm.mixing import mix_sources
 from promoscan.llm.quality_cotrain import score_quality
 from promoscan.llm.quality_rules import quality_rules
+from promoscan.llm.secret_links import listed, secret_spans
 from promoscan.llm.sentencepiece_codec import sentencepiece_round_trip
 from promoscan.llm.simhash_dedup import simhash_dedup
 from promoscan.llm.substring_dedup import substring_dedup
@@ -86,11 +89,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_after_damage(table(spark, sf_dir, "conversations"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_spans(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long) as n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_frames, op3_sentencepiece, op4_substring_dedup, op5_suffix_array_dedup,
         op6_quality_cotrain, op7_language_id, op8_embedding_dedup, op9_simhash_dedup, op10_mixing,
+        op11_conversation_repair, op12_collocations, op13_secret_scan,
     )
 }
 
@@ -113,4 +131,34 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0)
 FROM words LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op4_substring_dedup": _SUBSTRING_SQL}
+_COLLOCATION_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+f AS (
+    SELECT lang, w[i:i + k - 1] AS p, count(*) AS f FROM starts, (SELECT unnest(range(1, 6)) AS k)
+    WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+),
+candidates AS (SELECT lang, p, f AS a, array_to_string(p, ' ') AS phrase FROM f WHERE len(p) > 1),
+cuts AS (
+    SELECT c.lang, c.p, c.phrase, c.a, k, x.f AS l, y.f AS r, n, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+    FROM (SELECT *, unnest(range(1, len(p))) AS k FROM candidates) c
+    JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:len(c.p)]
+    JOIN totals t ON t.lang = c.lang
+),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+kept AS (
+    SELECT * FROM lowest x WHERE NOT EXISTS (
+        SELECT 1 FROM candidates y WHERE y.lang = x.lang AND len(y.p) > len(x.p) AND 100 * y.a >= 100 * x.a
+        AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' '))
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE: dict[str, str] = {"op4_substring_dedup": _SUBSTRING_SQL, "op12_collocations": _COLLOCATION_SQL}

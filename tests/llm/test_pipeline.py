@@ -14,7 +14,7 @@ entry = importlib.import_module("__spark_entry__")
 
 def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert len({q.split("_")[0] for q in queries.QUERIES}) == 10
+    assert len({q.split("_")[0] for q in queries.QUERIES}) == 13
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
