@@ -32,11 +32,47 @@ LEGAL = ("su", "ua", "au")
 STATES = range(4)
 #: Rows of a segment; a power of two.
 SEGMENT = 128
-ACCEPT = -1
+ACCEPT, NEVER = -1, 1 << 40
 
 Row = tuple[str, str]  # initial of the role (x: any other), fault: b, d, t or -
 
 
+def _least_costs(rows: list[Row], goal: int) -> list[list[int]]:
+    """For the rows from each place on and each state, what they cost at least.
+
+    Forced deletes and truncated rows have their cost. Of neighbours that stay, wrong pairs of roles have to be mended;
+    an edit costs two or more and touches two pairs at most, which follow each other, so that a
+    run of v wrong pairs takes v / 2 edits, rounded up, of its own.
+    """
+    if goal in (0, 1):
+        # no step leads back here: everything goes, but for one s on the way to state 1
+        n = len(rows)
+        spared = [any(row[0] == "s" and row[1] not in "bd" for row in rows[i:]) for i in range(n + 1)]
+        first = [DELETE * (n - i) if goal == 0 else DELETE * (n - i - 1) if spared[i] else NEVER for i in range(n + 1)]
+        return [[first[i], DELETE * (n - i) if goal == 1 else NEVER, NEVER, NEVER] for i in range(n + 1)]
+    roles = "-sua"  # of the last row, by state
+    ends = [(goal == ACCEPT and not COMPLETE[s]) or s == goal for s in STATES]
+    # forced costs, the next row that stays, wrong pairs that follow it at once, and the cost of later runs
+    forced, following, run, later = 0, "", 0, 0
+    out = []
+    for initial, fault in [("", ""), *reversed(rows)]:
+        if fault and fault in "bd":
+            forced += DELETE
+        elif initial:
+            wrong = not ends[roles.find(initial)] if not following else initial + following not in LEGAL
+            if initial == "x":
+                wrong = True
+            run, later = (run + 1, later) if wrong else (0, later + 2 * ((run + 1) // 2))
+            forced += TRUNCATED if fault == "t" else 0
+            following = initial
+        at = []
+        for state in STATES:
+            good = ends[state] if not following else (state, following) in STEPS
+            at.append(forced + (2 * ((run + 1) // 2) if good else 2 * ((run + 2) // 2)) + later)
+        out.append(at)
+    return out[::-1]
+
+
 def cheapest(rows: list[Row], start: int, goal: int) -> tuple[int, str] | None:
     """(cost, edits) from state ``start`` over ``rows`` to state ``goal``, or to the end of a conversation (``ACCEPT``).
 
@@ -45,20 +81,11 @@ def cheapest(rows: list[Row], start: int, goal: int) -> tuple[int, str] | None:
     """
     n = len(rows)
     gone = [fault in "bd" for _, fault in rows]
-    # what the rest costs at least: forced deletes, truncated rows, and one for each wrong pair of roles, as an edit
-    # costs two or more and mends two pairs at most
-    least, after = [0] * (n + 1), ""
-    for i in range(n - 1, -1, -1):
-        initial, fault = rows[i]
-        if gone[i]:
-            least[i] = least[i + 1] + DELETE
-            continue
-        least[i] = least[i + 1] + (fault == "t") * TRUNCATED + (after != "" and initial + after not in LEGAL)
-        after = initial
+    least = _least_costs(rows, goal)
     failed: dict[tuple[int, int], int] = {}
 
     def search(i: int, state: int, budget: int) -> str | None:
-        if least[i] > budget or failed.get((i, state), -1) >= budget:
+        if least[i][state] > budget or failed.get((i, state), -1) >= budget:
             return None
         found = tried(i, state, budget)
         if found is None:
@@ -88,7 +115,7 @@ def cheapest(rows: list[Row], start: int, goal: int) -> tuple[int, str] | None:
         return None
 
     # deleting or completing all rows reaches a state within this, if any path does
-    for bound in range(least[0], (DELETE + INSERT) * n + INSERT * 4 + 1):
+    for bound in range(least[0][start], (DELETE + INSERT) * n + INSERT * 4 + 1):
         found = search(0, start, bound)
         if found is not None:
             return bound, found
