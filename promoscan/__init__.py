@@ -50,6 +50,7 @@ from .operators.normalize import (
     date_parse_report,
     parse_dates,
     points_received,
+    raw_typed,
     real_prize_flags,
     received,
     region_name,
@@ -87,14 +88,18 @@ from .operators.timeseries import (
 from .operators.users import cast_user_id, scan_gaps, user_activity, user_history
 from .plans.dashboard import Frames, dashboard_frames
 from .session import build_session, use_utc
+from .sources.profile import TextProfile, date_votes, day_first, id_profile, text_profile, typed_ids
 from .sources.readers import (
+    CheckedRows,
     MissingColumnError,
     cache_scans,
+    checked_csv_lines,
     csv_lines,
     jdbc_options,
     null_tokens,
     optional_columns,
     read_scans_csv,
+    read_scans_csv_checked,
     read_scans_jdbc,
     read_scans_parquet,
     refresh,

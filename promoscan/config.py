@@ -64,6 +64,32 @@ CSV_NULL_TOKENS = (
     "null",
 )
 
+# What SQL reads as a flag, in any case; anything else is unknown.
+TRUE_WORDS = ("t", "true", "y", "yes", "on", "1")
+FALSE_WORDS = ("f", "false", "n", "no", "off", "0")
+
+# Date forms beside ISO-8601, as datetime patterns. Forms that read the same texts are rivals: of two
+# with equally many values the earlier one wins, here the one with the month first.
+DATE_FORMATS = (
+    "M/d/yyyy[ H:mm[:ss[.SSSSSS]]]",
+    "d/M/yyyy[ H:mm[:ss[.SSSSSS]]]",
+    "M.d.yyyy[ H:mm[:ss[.SSSSSS]]]",
+    "d.M.yyyy[ H:mm[:ss[.SSSSSS]]]",
+    "M-d-yyyy[ H:mm[:ss[.SSSSSS]]]",
+    "d-M-yyyy[ H:mm[:ss[.SSSSSS]]]",
+    "M/d/yyyy h:mm[:ss] a",
+    "d/M/yyyy h:mm[:ss] a",
+    "yyyy/M/d[ H:mm[:ss[.SSSSSS]]]",
+    "yyyy.M.d[ H:mm[:ss[.SSSSSS]]]",
+    "yyyyMMdd",
+    "yyyyMMdd'T'HHmmss['Z']",
+    "d MMM yyyy[ H:mm[:ss]]",
+    "MMM d, yyyy[ H:mm[:ss]]",
+)
+# Numbers of so many digits are seconds, ... since 1970.
+EPOCH_DIGITS = {"epoch s": 10, "epoch ms": 13, "epoch us": 16, "epoch ns": 19}
+VOTE = "vote"
+
 DEFAULT_TZ = "Asia/Yerevan"
 DEFAULT_START = "2025-09-15 00:00:00"
 HISTOGRAM_BINS = 30
@@ -83,7 +109,7 @@ class ScanParams:
     """The choices a dashboard user makes.
 
     ``start`` is the first time that counts, all by default; the dashboard itself starts at
-    ``DEFAULT_START``.
+    ``DEFAULT_START``. ``date_formats`` and ``epoch_unit`` say how date columns are read, as in ``parse_dates``.
 
     Times are UTC wall clocks, as text or ``datetime``. An empty ``regions``,
     ``prizes`` or ``segments`` means "no filter"; an empty ``win_types`` means "no rows".
@@ -103,6 +129,8 @@ class ScanParams:
     granularity: str = "Day"
     unique: bool = False
     as_of: object = None
+    date_formats: object = ()
+    epoch_unit: str = "ns"
 
     def __post_init__(self):
         check_choice("received", self.received, RECEIVED_MODES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, SparkSession
@@ -13,11 +14,14 @@ from ..config import (
     ACTIVE_MAX_SCANS,
     CSV_NULL_TOKENS,
     EMPTY_PRIZE_TOKENS,
+    EPOCH_DIGITS,
+    FALSE_WORDS,
     GRANULARITIES,
     NOVICE,
     POWER,
     RECEIVED_TOKENS,
     REGION_NAMES,
+    TRUE_WORDS,
     check_choice,
 )
 
@@ -31,6 +35,9 @@ _ISO = (
     r"^\d{4}-\d{1,2}-\d{1,2}"
     r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:Z|[+-]\d{2}:?(?:\d{2})?)?)?$"
 )
+# What one letter group of a datetime pattern reads; other letters aren't known here.
+_GROUPS = {"yyyy": r"\d{4}", "MMM": r"\p{L}{3}", "MM": r"\d{2}", "M": r"\d{1,2}", "dd": r"\d{2}", "d": r"\d{1,2}", "HH": r"\d{2}",
+           "H": r"\d{1,2}", "hh": r"\d{2}", "h": r"\d{1,2}", "mm": r"\d{2}", "ss": r"\d{2}", "a": r"[AaPp][Mm]"}
 _OFFSET = r":.*[+-]\d{2}:?(?:\d{2})?$"
 # All characters that Python strips; Spark's plain trim removes spaces only.
 _WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -57,29 +64,65 @@ def instant_to_utc(instant: Column) -> Column:
     )
 
 
+def is_iso(t: Column) -> Column:
+    return t.rlike(_ISO)
+
+
+def format_shape(pattern: str) -> str:
+    """A regular expression of the texts that a datetime pattern can read; equal for rival patterns."""
+    if pattern in EPOCH_DIGITS:
+        return rf"^\d{{{EPOCH_DIGITS[pattern]}}}$"
+    out = ""
+    for part in re.finditer(r"'(?P<quoted>[^']*)'|(?P<letters>([A-Za-z])\3*)|(?P<bracket>[\[\]])|.", pattern):
+        letters = part["letters"]
+        if part["quoted"] is not None:
+            out += re.escape(part["quoted"])
+        elif part["bracket"]:
+            out += "(?:" if part[0] == "[" else ")?"
+        elif not letters:
+            out += re.escape(part[0])
+        elif set(letters) == {"S"}:
+            out += rf"\d{{1,{len(letters)}}}"
+        elif letters in _GROUPS:
+            out += _GROUPS[letters]
+        else:
+            raise ValueError(f"unknown letters {letters!r} in the date format {pattern!r}")
+    return f"^{out}$"
+
+
+def read_format(t: Column, pattern: str) -> Column:
+    """Text of one form as a UTC wall clock, else null."""
+    if pattern in EPOCH_DIGITS:
+        return F.when(t.rlike(format_shape(pattern)), epoch_to_utc(t.try_cast("bigint"), pattern.split()[1]))
+    # read and shown in the session zone, so the wall clock is that of the text
+    return F.try_to_timestamp(t, F.lit(pattern)).cast("timestamp_ntz")
+
+
 def parse_utc(t: Column, formats: Sequence[str] = ()) -> Column:
     """ISO-8601 text to a UTC wall clock; text without an offset is UTC; anything else is null.
 
-    ``formats`` are datetime patterns without a zone, tried in order on text that isn't ISO.
+    ``formats`` are datetime patterns without a zone, or names of ``EPOCH_DIGITS``, tried in order on
+    text that isn't ISO.
 
     The text must be stripped. A cast to a wall clock ignores ``Z`` and needs no session zone; only text with another
     offset has to go by way of an instant.
     """
     zoned = F.regexp_replace(t, r"\s+([+-])", "$1").try_cast("timestamp")
     iso = F.when(
-        t.rlike(_ISO),
+        is_iso(t),
         F.when(t.rlike(_OFFSET), instant_to_utc(zoned)).otherwise(t.try_cast("timestamp_ntz")),
     )
-    # read and shown in the session zone, so the wall clock is that of the text
-    others = [F.try_to_timestamp(t, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(iso, *others) if others else iso
+    return F.coalesce(iso, *[read_format(t, f) for f in formats]) if formats else iso
 
 
 def epoch_to_utc(number: Column, unit: str) -> Column:
-    """A whole number of ``unit`` since 1970 as a UTC wall clock; parts of a microsecond are cut off."""
+    """A number of ``unit`` since 1970 as a UTC wall clock; parts of a microsecond are cut off, NaN is null.
+
+    Of floating point numbers the whole units count: a double is exact to a quarter of a microsecond in nanoseconds of today.
+    """
     check_choice("epoch unit", unit, tuple(EPOCH_MICROS))
     per_unit = EPOCH_MICROS[unit]
-    exact = number.cast("decimal(20,0)")
+    exact = number.try_cast("decimal(20,0)")
     micros = exact * F.lit(per_unit) if per_unit else F.floor(exact / F.lit(1000))
     return instant_to_utc(F.timestamp_micros(micros.try_cast("bigint")))
 
@@ -89,7 +132,7 @@ def to_utc_column(
 ) -> Column:
     """A date column of any stored type as a UTC wall clock; text must be stripped.
 
-    Whole numbers count ``epoch_unit`` since 1970.
+    Numbers count ``epoch_unit`` since 1970.
     """
     if isinstance(data_type, T.TimestampNTZType):
         return col
@@ -99,9 +142,24 @@ def to_utc_column(
         return col.cast("timestamp_ntz")
     if isinstance(data_type, T.IntegralType):
         return epoch_to_utc(col, epoch_unit)
+    if isinstance(data_type, T.NumericType):
+        # beyond this, and for NaN, there is no whole number to read
+        return epoch_to_utc(F.when(F.abs(col) < 9.2e18, F.floor(col)), epoch_unit)
     return parse_utc(col.cast("string"), formats)
 
 
+def whole_number(text: Column) -> Column:
+    """Text of a whole number, maybe with ``.0``, as a bigint; anything else is null."""
+    digits = F.regexp_extract(strip(text), r"^([+-]?\d+)(?:\.0*)?$", 1)
+    return F.when(digits != "", digits.try_cast("bigint"))
+
+
+def sql_flag(text: Column) -> Column:
+    """A flag as SQL reads it: true, false, or null for what is neither."""
+    word = F.lower(strip(text))
+    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+
+
 def _session_is_utc() -> bool:
     """Whether casts between wall clocks and instants, as planned now, leave the value alone."""
     session = SparkSession.getActiveSession()

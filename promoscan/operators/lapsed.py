@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LAPSED_DAYS, LAPSED_REGION
 from ..functions.columns import ntz
+from ..sources.profile import typed_ids
+from .normalize import raw_typed
 
 
 def lapsed_prize_customers(
@@ -14,12 +16,13 @@ def lapsed_prize_customers(
 ) -> DataFrame:
     """One row per customer and phone number, most pending prizes first.
 
-    Takes raw columns: an unknown ``is_win_received`` is neither pending nor received, and
-    scans without a customer form one group.
+    Takes raw columns, typed or as the text of a CSV file (see ``raw_typed``): an unknown ``is_win_received``
+    is neither pending nor received, and scans without a customer form one group.
 
     Scans are grouped and the conditions applied before the customers are joined. A customer
     table with repeated ids multiplies the counts, as the join of single scans would.
     """
+    scans, customers = raw_typed(scans), typed_ids(customers, ["id"])
     prize = F.col("prize_id").isNotNull()
     per_customer = (
         scans.where(F.col("win_date").isNotNull() & (F.col("region_id") == region))
@@ -41,7 +44,7 @@ def lapsed_prize_customers(
     )
     copies = F.coalesce(F.col("_copies"), F.lit(1))
     return (
-        lapsed.join(contacts, F.col("customer_id") == F.col("id"), "left")
+        lapsed.join(contacts, _same_id(scans, customers), "left")
         .groupBy("customer_id", "phone")
         .agg(
             F.max("first_name").alias("first_name"),
@@ -51,3 +54,10 @@ def lapsed_prize_customers(
         )
         .orderBy(F.desc("pending_cnt"), F.asc_nulls_last("customer_id"), "phone")
     )
+
+
+def _same_id(scans: DataFrame, customers: DataFrame) -> Column:
+    """Equality of both ids, as text if only one of them is text."""
+    ours, theirs = F.col("customer_id"), F.col("id")
+    kinds = {scans.schema["customer_id"].dataType.typeName(), customers.schema["id"].dataType.typeName()}
+    return ours.cast("string") == theirs.cast("string") if len(kinds) == 2 and "string" in kinds else ours == theirs

@@ -35,7 +35,7 @@ def dashboard_frames(raw: DataFrame, params: ScanParams, with_segments: bool = F
     ``with_segments`` adds the user segment even if it filters nothing. Columns that the scans lack
     are not added; an operator that needs one adds it for itself.
     """
-    scans = normalize(require_columns(raw))
+    scans = normalize(require_columns(raw), formats=params.date_formats, epoch_unit=params.epoch_unit)
     u = params.user_col or user_column(scans)
     if u is None:
         params = replace(params, segments=())

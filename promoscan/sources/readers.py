@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DATE_COLS, UNKNOWN
 from ..functions.columns import null_if_token
+from .profile import typed_ids
 
 
 #: What reader and writer agree on, in files as in text columns.
@@ -38,13 +40,14 @@ def null_tokens(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
 
 
 def read_scans_csv(
-    spark: SparkSession, path, cols: Iterable[str] | None = None, multiline: bool = False
+    spark: SparkSession, path, cols: Iterable[str] | None = None, multiline: bool = False, typed: bool = False
 ) -> DataFrame:
     """CSV with a header; every column is text, missing-value words are null.
 
     Columns are named by the header, so they may come in any order and any optional one may
     be absent. Nothing is inferred from the data, so it is read once. ``multiline`` allows
-    line breaks inside quotes, at the price of one task per file.
+    line breaks inside quotes, at the price of one task per file. ``typed`` reads it once more, to make
+    columns named ``_id`` bigint where they hold whole numbers only (see ``typed_ids``).
     """
     df = (
         spark.read.option("header", True)
@@ -53,7 +56,42 @@ def read_scans_csv(
         .option("multiLine", multiline)
         .csv(path)
     )
-    return null_tokens(df if cols is None else df.select(*cols))
+    df = null_tokens(df if cols is None else df.select(*cols))
+    return typed_ids(df) if typed else df
+
+
+class CheckedRows(NamedTuple):
+    """``rows`` that were read, and the ``broken`` lines (line, reason); together all lines that aren't blank."""
+
+    rows: DataFrame
+    broken: DataFrame
+
+
+def read_scans_csv_checked(spark: SparkSession, path) -> CheckedRows:
+    """As :func:`read_scans_csv`, with broken lines put aside, see :func:`checked_csv_lines`.
+
+    All files must begin with the same header; lines equal to it are no data. There are no line breaks inside quotes.
+    """
+    lines = spark.read.text(path)
+    header = lines.first()
+    if header is None:
+        raise MissingColumnError(f"no header in {path}")
+    named = lines.sparkSession.createDataFrame([header], "value string").select(F.col("value").alias("line"))
+    count = named.select(F.size(F.split(_bare(F.col("line")), ",")).alias("n")).first()["n"]
+    fields = scans_from_csv_lines(named, [f"c{i}" for i in range(count)]).first()
+    return checked_csv_lines(lines.where(F.col("value") != header[0]), list(fields), "value")
+
+
+def _bare(line: Column) -> Column:
+    """A line of CSV text without its quoted fields."""
+    return F.regexp_replace(line, r'(^|,)"(?:[^"]|"")*"(?=,|$)', "$1")
+
+
+def _free_name(cols: Iterable[str]) -> str:
+    taken, name = set(cols), "_line"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def csv_lines(df: DataFrame, name: str = "line") -> DataFrame:
@@ -67,6 +105,28 @@ def scans_from_csv_lines(lines: DataFrame, cols: Iterable[str], name: str = "lin
     return null_tokens(lines.select(F.from_csv(name, schema, CSV_OPTIONS).alias("_r")).select("_r.*"))
 
 
+def checked_csv_lines(lines: DataFrame, cols: Iterable[str], name: str = "line") -> CheckedRows:
+    """Lines of CSV text as :func:`read_scans_csv` reads a file with these columns; broken ones are put aside.
+
+    Broken are lines in which a quoted field isn't closed (the parser would take it as it is), that have
+    more or fewer fields than ``cols``, or that the parser itself rejects. Blank lines are skipped.
+    """
+    cols = list(cols)
+    text, bare, raw = F.col(name), _bare(F.col(name)), _free_name(cols)
+    fields = F.regexp_count(bare, F.lit(",")) + 1
+    seen = (
+        F.when(bare.rlike('(^|,)"'), "open quote")
+        .when(fields < len(cols), "too few fields")
+        .when(fields > len(cols), "too many fields")
+    )
+    schema = ", ".join(f"`{c}` string" for c in [*cols, raw])
+    parsed = F.from_csv(name, schema, {**CSV_OPTIONS, "columnNameOfCorruptRecord": raw})
+    read = lines.where(F.trim(text) != "").select(text.alias("line"), seen.alias("seen"), parsed.alias("r"))
+    reason = F.coalesce("seen", F.when(F.col(f"r.`{raw}`").isNotNull(), "unreadable"))
+    rows = read.where(reason.isNull()).select(*[F.col(f"r.`{c}`") for c in cols])
+    return CheckedRows(null_tokens(rows), read.where(reason.isNotNull()).select("line", reason.alias("reason")))
+
+
 def read_scans_parquet(spark: SparkSession, path) -> DataFrame:
     return spark.read.parquet(path)
 

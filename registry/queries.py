@@ -180,6 +180,87 @@ query(
     )
 )
 
+# --- text as it comes: forms of dates, ids, broken lines -----------------------------------
+
+MIXED_DATES = {
+    "spark": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN date_format(ts, 'dd.MM.yyyy HH:mm') WHEN 1 THEN date_format(ts, 'M/d/yyyy')
+    WHEN 2 THEN date_format(ts, 'yyyy-MM-dd HH:mm:ss') WHEN 3 THEN date_format(ts, "yyyyMMdd'T'HHmmss'Z'")
+    WHEN 4 THEN CAST(unix_seconds(CAST(ts AS timestamp)) AS string) WHEN 5 THEN '31.31.2025' END AS win_date,
+    CAST(unix_micros(CAST(ts AS timestamp)) AS double) AS prize_receive_date FROM {rows}""",
+    "read": """CAST(CASE event_id % 7 WHEN 0 THEN date_trunc('minute', ts) WHEN 1 THEN date_trunc('day', ts)
+    WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE date_trunc('second', ts) END AS TIMESTAMP)""",
+}
+
+
+def _mixed_dates(spark, sf):
+    return ps.use_utc(spark).sql(MIXED_DATES["spark"], rows=table(spark, sf, "events"))
+
+
+query(
+    "parse_dates_vote", f"SELECT event_id, {MIXED_DATES['read']} AS win_date, ts AS prize_receive_date FROM events"
+)(lambda spark, sf: ps.parse_dates(_mixed_dates(spark, sf), formats="vote", epoch_unit="us"))
+
+_TIME = "[ H:mm[:ss[.SSSSSS]]]"
+query(
+    "date_votes",
+    f"""SELECT 'win_date' AS "column", format, count(*) AS readable, chosen FROM events, (VALUES
+    (0, 31, 'd.M.yyyy{_TIME}', true), (0, 12, 'M.d.yyyy{_TIME}', false), (1, 31, 'M/d/yyyy{_TIME}', true), (1, 12, 'd/M/yyyy{_TIME}', false),
+    (2, 31, 'ISO-8601', true), (3, 31, 'yyyyMMdd''T''HHmmss[''Z'']', true), (4, 31, 'epoch s', true)) AS f(form, most, format, chosen)
+    WHERE event_id % 7 = form AND day(ts) <= most AND ts IS NOT NULL GROUP BY 2, 4""",
+)(lambda spark, sf: ps.date_votes(_mixed_dates(spark, sf)))
+
+query(
+    "normalize_vote",
+    f"""WITH r AS (SELECT event_id, {MIXED_DATES['read']} AS win_date FROM events) SELECT event_id, win_date, win_date IS NOT NULL AS has_win FROM r""",
+)(
+    lambda spark, sf: ps.dashboard_frames(
+        _mixed_dates(spark, sf), ps.ScanParams(date_formats="vote", epoch_unit="us")
+    ).scans.select("event_id", "win_date", "has_win")
+)
+
+
+def _text_ids(spark, sf):
+    """Users as a CSV file may hold them: some with a point, one column with other text."""
+    point = F.when(F.col("event_id") % 3 == 0, ".0").otherwise("")
+    user = F.when(F.col("event_id") % 211 != 0, F.concat(F.col("user_id").cast("string"), point))
+    return table(spark, sf, "events").select("event_id", user.alias("customer_id"), F.col("event_type").alias("prize_id"))
+
+
+query("typed_ids", "SELECT event_id, CASE WHEN event_id % 211 <> 0 THEN user_id END AS customer_id FROM events")(
+    lambda spark, sf: ps.typed_ids(_text_ids(spark, sf)).select("event_id", U)
+)
+query(
+    "id_profile",
+    """SELECT 'customer_id' AS "column", count(user_id) AS "values", count(user_id) AS whole,
+    count(*) FILTER (event_id % 3 = 0) AS point_zero, true AS typed FROM events WHERE event_id % 211 <> 0
+    UNION ALL SELECT 'prize_id', count(event_type), 0, 0, count(event_type) = 0 FROM events""",
+)(lambda spark, sf: ps.id_profile(_text_ids(spark, sf), ["customer_id", "prize_id"]))
+query(
+    "typed_user_picklist", "SELECT DISTINCT user_id AS customer_id FROM events WHERE event_id % 211 <> 0"
+)(lambda spark, sf: ps.user_picklist(ps.typed_ids(_text_ids(spark, sf)), U))
+
+CSV_FIELDS = ("event_id", "customer_id", "note")
+# The same text in Spark and DuckDB; three of fifty lines are broken.
+CSV_LINES = """SELECT event_id, CAST(event_id AS VARCHAR(20)) || CASE event_id % 50 WHEN 1 THEN '' ELSE ',' || CAST(user_id AS VARCHAR(20)) END
+    || CASE event_id % 50 WHEN 2 THEN ',"open' ELSE ',"' || event_type || ', \"\"x\"\"\"' END
+    || CASE event_id % 50 WHEN 0 THEN ',more' ELSE '' END AS line FROM {source}"""
+
+
+def _csv_lines(spark, sf):
+    return spark.sql(CSV_LINES.format(source="{rows}"), rows=table(spark, sf, "events")).select("line")
+
+
+query(
+    "csv_checked_rows",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS customer_id, event_type || ', "x"' AS note
+    FROM events WHERE event_id % 50 NOT IN (0, 1, 2)""",
+)(lambda spark, sf: ps.checked_csv_lines(_csv_lines(spark, sf), CSV_FIELDS).rows)
+query(
+    "csv_broken_lines",
+    f"""SELECT line, CASE event_id % 50 WHEN 0 THEN 'too many fields' WHEN 1 THEN 'too few fields' ELSE 'open quote' END AS reason
+    FROM ({CSV_LINES.format(source='events')}) WHERE event_id % 50 IN (0, 1, 2)""",
+)(lambda spark, sf: ps.checked_csv_lines(_csv_lines(spark, sf), CSV_FIELDS).broken)
+
 # --- segment and filters -----------------------------------------------------------------
 
 for _name, _adapter in (("with_user_segment", ORDERS), ("with_user_segment_events", EVENTS)):
@@ -626,3 +707,22 @@ query("lapsed_prize_customers", o.lapsed(ORDERS))(
         ORDERS.scans(spark, sf), customers(spark, sf), ORDERS.as_of
     )
 )
+
+RAW_AS_OF = "2025-10-15 00:00:00"
+RAW_SCANS = f"""SELECT CASE WHEN customer_id IS NOT NULL THEN scan_id // 3 END AS customer_id,
+    CASE WHEN win_date = '16.09.2025' THEN TIMESTAMP '2025-09-16' ELSE {o.RAW_DATE.format('win_date')} END AS win_date,
+    {o.CLEAN_PRIZE} AS prize_id, TRY_CAST(region_id AS BIGINT) AS region_id,
+    CASE WHEN lower(trim(is_win_received)) IN ('1', 'true', 'yes', 'y', 't') THEN true
+         WHEN is_win_received IN ('0', 'false') THEN false END AS is_win_received FROM ({RAW.sql})"""
+
+
+def _raw_text(spark, sf):
+    """Raw scans with every column text; some customers written with a point."""
+    point = F.when(F.col("scan_id") % 2 == 0, ".0").otherwise("")
+    customer = F.concat(F.expr("scan_id div 3").cast("string"), point)
+    return RAW.scans(spark, sf).withColumn(U, F.when(F.col(U).isNotNull(), customer))
+
+
+query("lapsed_from_text", o.LAPSED.format(scans=RAW_SCANS, customers=o.CUSTOMERS_SQL, day=RAW_AS_OF[:10]))(
+    lambda spark, sf: ps.lapsed_prize_customers(_raw_text(spark, sf), customers(spark, sf), RAW_AS_OF)
+)

@@ -15,7 +15,7 @@ ONE_ROW = {
     "claim_stats", "claim_stats_events", "forgotten_prizes_count", "span_stats", "span_stats_price",
     "describe_scans",
 }
-TWO_ROWS = {"rate_stats_global", "rate_stats_own", "date_parse_report"}
+TWO_ROWS = {"rate_stats_global", "rate_stats_own", "date_parse_report", "id_profile"}
 
 
 @pytest.fixture(scope="module")
