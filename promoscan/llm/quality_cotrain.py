@@ -20,8 +20,10 @@ from pyspark.sql import types as T
 
 from promoscan.llm.common import slices, stored
 
-#: Most labelled rows that fits use (a hash sample beyond that); all others take part in the exchange.
+#: Most labelled ids that fits use (a hash sample beyond that); all others take part in the exchange.
 FIT_ROWS = 200_000
+#: With fewer labelled ids of either label there is no model.
+LEAST_IDS = 10
 ROUNDS, SURE, HASHED, META = 2, 0.97, 48, 48
 KEEP = 0.5
 N_SHAPE = 16
@@ -143,13 +145,17 @@ def cotrain(views: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     marks = marks.groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     joined = views.join(marks, "id", "left")
-    counts = {r[0]: r[1] for r in joined.groupBy("label").count().collect()}
-    labelled = sum(n for x, n in counts.items() if x is not None)
-    if not counts.get(0) or not counts.get(1) or min(counts[0], counts[1]) < 10:
+    spread = F.xxhash64("id")
+    known = {r["label"]: r for r in joined.filter("label is not null").groupBy("label").agg(F.count_distinct("id").alias("ids"), F.min(spread).alias("lo"), F.max(spread).alias("hi")).collect()}
+    if len(known) < 2 or min(r["ids"] for r in known.values()) < LEAST_IDS:
         return QualityModel(None, None, 0.5, meta_columns or [])
+    labelled = sum(r["ids"] for r in known.values())
+    # of each label the lowest hash is always held and the highest always fitted, so that neither part lacks one
+    lowest, highest = (spread.isin(*[r[x] for r in known.values()]) for x in ("lo", "hi"))
     share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    taken = F.col("label").isNull() | (share < FIT_ROWS / labelled)
-    pool = joined.filter(taken).withColumn("held", F.col("label").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(4)) == 0))
+    taken = F.col("label").isNull() | (share < FIT_ROWS / labelled) | lowest | highest
+    held = F.col("label").isNotNull() & (lowest | ((F.pmod(spread, F.lit(4)) == 0) & ~highest))
+    pool = joined.filter(taken).withColumn("held", held)
     seen = F.when(~F.col("held"), F.col("label"))
     pool = stored(pool.withColumn("for_text", seen).withColumn("for_meta", seen), "pool")
     held = pool.filter("held")
@@ -170,7 +176,7 @@ def cotrain(views: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
         # not stored again: the models are fixed, so that every pass over the views gives the same
         pool = scored.select(*pool.columns)
         text, meta = fitted()
-    return QualityModel(text, meta, counts[1] / labelled, meta_columns or [])
+    return QualityModel(text, meta, known[1]["ids"] / labelled, meta_columns or [])
 
 
 def _model_and_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_columns: list[str] | None, label_col: str):
@@ -188,8 +194,8 @@ def score_quality(
 
     Scores are probabilities of good quality; ``kept`` is a score of ``KEEP`` or more. ``meta_columns`` are
     all other columns by default. Missing metadata is a value of its own, a null text is an empty
-    one. Rows keep null and repeated ids. With fewer than ten labels of either kind all rows score 1 and
-    are kept. An empty table gives an empty one.
+    one. Rows keep null and repeated ids. With fewer than ten labelled ids of either label, however often they are
+    repeated, all rows score 1 and are kept. An empty table gives an empty one.
     """
     model, views = _model_and_views(docs, labels, id_col, text_col, meta_columns, label_col)
     return model.score(views).select(F.col("id").alias(id_col), "text_score", "meta_score", "score", "kept")
