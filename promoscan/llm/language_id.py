@@ -12,7 +12,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promoscan.llm.common import slices
@@ -31,27 +31,32 @@ def plain(text: str) -> str:
 
 
 def language_dictionaries(rows: DataFrame, text_col: str, lang_col: str, key_col: str, sample: int = SAMPLE) -> dict[str, bytes]:
-    """Raw content of each language: excerpts of about ``sample`` texts, chosen by hash.
+    """Raw content of each language: excerpts of the ``2 * sample`` texts with the lowest hashes of key and text.
 
-    The sample is bounded by ``2 * sample`` excerpts of ``EXCERPT`` characters per language (a documented
-    parameter); its rate follows from the number of texts of each language.
+    Only these, of ``EXCERPT`` characters each, come to the driver (a documented parameter), whatever keys are null or
+    repeated. Each task passes on that many per language at most.
     """
     rows = rows.filter(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
-    if not counts:
+    hit = F.xxhash64(key_col, text_col)
+    # equal rows are one excerpt, not as many as there are
+    hits = rows.groupBy(F.col(lang_col).alias("lang"), hit.alias("hit")).agg(F.count("*").alias("n"))
+    lowest = hits.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("hit"))).filter(F.col("place") <= 2 * sample)
+    limits = {r[0]: r[1] for r in lowest.groupBy("lang").agg(F.max("hit")).collect()}
+    if not limits:
         return {}
-    rates = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * sample / n))])
-    spot = F.pmod(F.xxhash64(key_col, F.lit(7)), F.lit(1_000_000_007)) / 1_000_000_007.0
+    counts = {r[0]: r[1] for r in hits.groupBy("lang").agg(F.sum("n")).collect()}
+    spot = F.pmod(F.xxhash64(key_col, text_col, F.lit(7)), F.lit(1_000_000_007)) / 1_000_000_007.0
     length = F.length(text_col)
     start = F.floor(F.greatest(length - EXCERPT, F.lit(0)) * spot).cast("int") + 1
-    hit = F.pmod(F.xxhash64(key_col), F.lit(1_000_000_007)) / 1_000_000_007.0
-    chosen = rows.filter(hit < rates[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.substr(text_col, start, F.lit(EXCERPT)).alias("part"), hit.alias("hit"))
-    parts: dict[str, set[tuple[float, str]]] = {lang: set() for lang in counts}
-    for lang, part, hit_value in chosen.collect():
-        parts[lang].add((hit_value, part))
+    highest = F.create_map(*[F.lit(x) for pair in limits.items() for x in pair])
+    parts = rows.filter(hit <= highest[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.substr(text_col, start, F.lit(EXCERPT)).alias("part"), hit.alias("hit"))
+    chosen = parts.groupBy("lang", "hit").agg(F.min("part").alias("part"))
+    found: dict[str, list[tuple[int, str]]] = {lang: [] for lang in counts}
+    for lang, hit_value, part in chosen.collect():
+        found[lang].append((hit_value, part))
     out = {}
-    for lang, found in parts.items():
-        texts = dict.fromkeys(p for _, p in sorted(found)[: 2 * sample])
+    for lang, some in found.items():
+        texts = dict.fromkeys(p for _, p in sorted(some))
         out[lang] = "\n".join(map(plain, texts)).encode()
     # frequent languages first, so that they win between equal sizes
     return {lang: out[lang][:DICTIONARY] for lang in sorted(out, key=lambda x: (-counts[x], x))}

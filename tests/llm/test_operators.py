@@ -1,11 +1,13 @@
 """The other operators against brute force, round trips and held-out accuracy."""
 
+import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
-from promoscan.llm import quality_cotrain, queries
+from promoscan.llm import language_id, mixing, quality_cotrain, queries
 from promoscan.llm.components import components
 from promoscan.llm.embedding_dedup import THRESHOLD, embedding_dedup, passed_filters
 from promoscan.llm.language_id import identify_language
@@ -405,3 +407,54 @@ def test_exchange_covers_all_unlabelled_rows(spark, monkeypatch):
     monkeypatch.setattr(quality_cotrain, "FIT_ROWS", n)
     bounded = scores()
     assert max(abs(whole[k] - bounded[k]) for k in whole) < 1e-6
+
+
+@pytest.mark.parametrize("ids", [1, 2, 10])
+@pytest.mark.parametrize("copies", [1, 10])
+def test_cotraining_with_few_and_repeated_ids(spark, ids, copies):
+    good, bad = "plain words that follow one another here. ", "!!! $$$ ### 111 "
+    docs = [(kind * 100 + i, (good if kind else bad) * (i + 2), "en", "a", 1) for kind in (0, 1) for i in range(ids) for _ in range(copies)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(kind * 100 + i, kind) for kind in (0, 1) for i in range(ids) for _ in range(copies)], "doc_id long, quality int")
+    out = score_quality(docs, labels).collect()
+    assert len(out) == 2 * ids * copies and all(0 <= r.score <= 1 for r in out)
+    if ids < 10:
+        assert all(r.kept and r.score == 1 for r in out)
+    else:
+        assert {r.doc_id for r in out if r.kept} == {100 + i for i in range(10)}
+    assert all(r.kept for r in score_quality(docs, labels.filter("quality = 1")).collect())
+
+
+def test_excerpts_are_few_whatever_the_keys(spark, monkeypatch):
+    rows = [(None, f"word{i} and some more words", "en") for i in range(900)] + [(5, "the same text each time", "de")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.language_dictionaries(df, "text", "lang", "doc_id", sample=4)
+    assert len(found["en"].split(b"\n")) == 8 and found["de"] == b"the same text each time"
+    assert list(found) == ["en", "de"] and language_id.language_dictionaries(df.limit(0), "text", "lang", "doc_id") == {}
+
+
+def test_language_sizes_by_hand(spark, docs):
+    """The smallest sum of compressed parts wins, by the library's one-shot interface."""
+    found = language_id.language_dictionaries(docs, "text", "lang", "doc_id", sample=20)
+    sizes = {}
+    for lang, raw in found.items():
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes[lang] = (d, len(raw))
+    recognize = language_id.Recognizer(found)
+    for row in docs.limit(60).collect():
+        raw = " ".join(re.findall(r"[^\W\d_]+", (row.text or "").lower())).encode()
+        if not raw:
+            continue
+        sums = {}
+        for lang, (d, size) in sizes.items():
+            how = zstandard.ZstdCompressionParameters.from_level(5, source_size=1024, dict_size=size, min_match=3, write_content_size=False, write_dict_id=False)
+            sums[lang] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(raw[i : i + 1024])) for i in range(0, len(raw), 1024))
+        assert sums[recognize(row.text)[0]] == min(sums.values())
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = [(i, f"w{i} " * (i % 7 + 1), "ab"[i % 2], i, i, i, "r") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copies long, copies long, _row_key long, row string")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r) for r in out.collect()} <= set(rows)
