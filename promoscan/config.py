@@ -89,6 +89,8 @@ DATE_FORMATS = (
 # Numbers of so many digits are seconds, ... since 1970.
 EPOCH_DIGITS = {"epoch s": 10, "epoch ms": 13, "epoch us": 16, "epoch ns": 19}
 VOTE = "vote"
+# The day by which scans are laid out on disk.
+DAY_COL = "win_day"
 
 DEFAULT_TZ = "Asia/Yerevan"
 DEFAULT_START = "2025-09-15 00:00:00"
@@ -97,6 +99,7 @@ FORGOTTEN_DAYS = 7
 LAPSED_DAYS = 15
 LAPSED_REGION = 2
 TOP_PENDING = 20
+SKETCH_PRECISION = 12
 
 RECEIVED_MODES = ("all", "received", "not_received")
 SCOPES = ("slice", "all")

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import (
     ACTIVE_MAX_SCANS,
+    DAY_COL,
     RECEIVED_MODES,
     SCOPES,
     UNKNOWN,
@@ -94,17 +95,27 @@ def drop_unscanned(df: DataFrame) -> DataFrame:
     return df.where(F.col("win_date").isNotNull())
 
 
+def _has_day(df: DataFrame) -> bool:
+    return DAY_COL in df.columns and isinstance(df.schema[DAY_COL].dataType, T.DateType)
+
+
 def filter_start(df: DataFrame, start) -> DataFrame:
-    """From ``start`` (UTC) on; None does not limit."""
-    return df if start is None else df.where(F.col("win_date") >= ntz(start))
+    """From ``start`` (UTC) on; None does not limit.
+
+    Scans that are laid out by day (``read_scans_by_day``) are also filtered by their day, so that
+    only folders of the range are read.
+    """
+    return filter_range(df, start)
 
 
 def filter_range(df: DataFrame, lo=None, hi=None) -> DataFrame:
-    """Both ends included; an end left out does not limit."""
+    """Both ends included; an end left out does not limit. Days as in :func:`filter_start`."""
     if lo is not None:
         df = df.where(F.col("win_date") >= ntz(lo))
+        df = df.where(F.col(DAY_COL) >= F.to_date(ntz(lo))) if _has_day(df) else df
     if hi is not None:
         df = df.where(F.col("win_date") <= ntz(hi))
+        df = df.where(F.col(DAY_COL) <= F.to_date(ntz(hi))) if _has_day(df) else df
     return df
 
 

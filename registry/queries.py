@@ -726,3 +726,52 @@ def _raw_text(spark, sf):
 query("lapsed_from_text", o.LAPSED.format(scans=RAW_SCANS, customers=o.CUSTOMERS_SQL, day=RAW_AS_OF[:10]))(
     lambda spark, sf: ps.lapsed_prize_customers(_raw_text(spark, sf), customers(spark, sf), RAW_AS_OF)
 )
+
+# --- scans laid out by day, sketches, loads of new files -------------------------------------
+
+
+def _by_day(spark, sf):
+    """Scans written by day: all first, then the days of one year once more, which replace themselves."""
+    scans = ORDERS.scans(spark, sf)
+    path = ps.shared_dir(ps.use_utc(spark), "by-day")
+    ps.write_scans_by_day(scans, path)
+    ps.write_scans_by_day(scans.where("year(win_date) = 1997"), path)
+    return ps.read_scans_by_day(spark, path, scans.schema)
+
+
+query("scans_by_day", f"SELECT *, CAST(win_date AS DATE) AS win_day FROM ({ORDERS.sql})")(_by_day)
+query("filter_range_by_day", f"SELECT *, CAST(win_date AS DATE) AS win_day FROM ({ORDERS.sql}) WHERE {RANGE}")(
+    lambda spark, sf: ps.filter_range(_by_day(spark, sf), LO, HI)
+)
+query(
+    "users_from_sketches",
+    f"""{o.with_work(ORDERS)} SELECT granularity, CAST(date_trunc(granularity, win_local) AS DATE) AS date, count(DISTINCT customer_id) AS count
+    FROM work, (SELECT unnest(['Day', 'Week', 'Month']) AS granularity) GROUP BY 1, 2""",
+)(scoped(ORDERS, lambda f: ps.users_from_sketches(ps.user_sketches(f.work, TZ, U))))
+
+
+def _loaded(spark, sf):
+    """Counts of orders in three files, loaded one after the other and each twice."""
+    scans = ORDERS.scans(spark, sf)
+    store = ps.shared_dir(ps.use_utc(spark), "counts")
+    paths = []
+    for i in range(3):
+        paths.append(ps.shared_dir(spark, f"load{i}"))
+        scans.where(F.col("scan_id") % 3 == i).write.parquet(paths[-1])
+        files = spark.read.parquet(*paths).inputFiles()
+        ps.load_new_files(spark, files, store, tz=TZ)
+        ps.load_new_files(spark, files, store, tz=TZ)
+    return ps.stored_counts(spark, store)
+
+
+query("loaded_counts_by_day", f"{o.with_counts(ORDERS, 'Day')} SELECT * FROM counts")(
+    lambda spark, sf: ps.counts_by_day(_loaded(spark, sf))
+)
+query(
+    "loaded_kpi_counts",
+    f"{o.with_work(ORDERS)}, k AS (SELECT {KPI_SQL} FROM work) SELECT total_events, coalesce(real_prizes_total, 0) AS real_prizes_total,"
+    " coalesce(real_prizes_received, 0) AS real_prizes_received, coalesce(real_prizes_pending, 0) AS real_prizes_pending FROM k",
+)(lambda spark, sf: ps.kpi_counts(_loaded(spark, sf)))
+query("loaded_prize_counts", f"{ODDS_SQL} SELECT CAST(prize_id AS VARCHAR) AS prize_id, real_prize_count, received_count FROM odds")(
+    lambda spark, sf: ps.prize_counts(_loaded(spark, sf))
+)

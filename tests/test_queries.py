@@ -13,7 +13,7 @@ entry = importlib.import_module("__spark_entry__")
 ONE_ROW = {
     "date_extent", "kpi_summary", "kpi_rates", "user_kpis", "pending_events_count", "consistency_check",
     "claim_stats", "claim_stats_events", "forgotten_prizes_count", "span_stats", "span_stats_price",
-    "describe_scans",
+    "describe_scans", "loaded_kpi_counts",
 }
 TWO_ROWS = {"rate_stats_global", "rate_stats_own", "date_parse_report", "id_profile"}
 
