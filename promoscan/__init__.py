@@ -91,7 +91,7 @@ from .operators.users import cast_user_id, scan_gaps, user_activity, user_histor
 from .plans.dashboard import Frames, dashboard_frames
 from .session import build_session, shared_dir, use_utc
 from .sources.increments import counts_by_day, file_counts, kpi_counts, load_new_files, prize_counts, stored_counts
-from .sources.layout import read_scans_by_day, with_day, write_scans_by_day
+from .sources.layout import UserScans, read_scans_by_day, read_scans_by_user, with_day, write_scans_by_day, write_scans_by_user
 from .sources.profile import TextProfile, date_votes, day_first, id_profile, text_profile, typed_ids
 from .sources.readers import (
     CheckedRows,

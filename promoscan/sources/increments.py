@@ -7,6 +7,7 @@ half-way leaves no trace, and repeating one adds nothing.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from ..config import DEFAULT_TZ
 from ..functions.columns import local_time, time_bucket
 from ..operators.normalize import normalize
 
+_LOCAL = re.compile("^file:/+")
 _KINDS = {
     "file": T.StringType(),
     "date": T.DateType(),
@@ -51,24 +53,22 @@ def stored_counts(spark: SparkSession, store: str) -> DataFrame:
 
 
 def load_new_files(spark: SparkSession, paths: Iterable[str], store: str, read: Callable[..., DataFrame] | None = None, tz: str = DEFAULT_TZ) -> list[str]:
-    """Count those of the files ``paths`` that ``store`` doesn't name yet, and return them.
+    """Count those of the files at ``paths`` (files or folders) that ``store`` doesn't name yet, and return them.
 
-    ``read`` takes the list of paths and returns raw scans, Parquet by default. A file without a row is
-    looked at again each time. Files are known by name: one that changes has to get a new name.
+    ``read`` takes the list of files and returns raw scans, Parquet by default. A file without a row is
+    looked at again each time. Files are known by their full name: one that changes has to get a new one.
     """
+    listed = list(paths)
+    files = [_LOCAL.sub("file:/", f) for f in spark.read.text(listed).inputFiles()] if listed else []
     known = {r["file"] for r in stored_counts(spark, store).select("file").distinct().collect()}
-    new = [p for p in dict.fromkeys(paths) if _name(p) not in known]
+    new = sorted(set(files) - known)
     if new:
         raw = spark.read.parquet(*new) if read is None else read(new)
-        named = raw.withColumn("_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        named = raw.withColumn("_file", F.regexp_replace("_metadata.file_path", _LOCAL.pattern, "file:/"))
         file_counts(normalize(named), "_file", tz).write.mode("append").parquet(store)
     return new
 
 
-def _name(path: str) -> str:
-    return path.rstrip("/").rsplit("/", 1)[-1]
-
-
 def counts_by_day(counts: DataFrame) -> DataFrame:
     """(date, count) as ``count_by_time`` by day of all files counted."""
     days = counts.where(F.col("date").isNotNull()).groupBy("date")

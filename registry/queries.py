@@ -775,3 +775,40 @@ query(
 query("loaded_prize_counts", f"{ODDS_SQL} SELECT CAST(prize_id AS VARCHAR) AS prize_id, real_prize_count, received_count FROM odds")(
     lambda spark, sf: ps.prize_counts(_loaded(spark, sf))
 )
+
+
+def _by_user(spark, sf):
+    """Orders by user in eight buckets; users with over twelve orders and orders without a user lie apart."""
+    scans = ps.normalize(ORDERS.scans(spark, sf))
+    path = ps.shared_dir(spark, "by-user")
+    return ps.write_scans_by_user(scans, path.rsplit("/", 1)[-1].replace("-", "_"), U, 8, path, hot_rows=12)
+
+
+def by_user(name: str, sql: str, fn, *doubles: str) -> None:
+    query(name, sql, *doubles)(lambda spark, sf: fn(_by_user(spark, sf)))
+
+
+by_user(
+    "with_user_segment_by_user",
+    f"{o.with_norm(ORDERS)} SELECT scan_id, customer_id, user_segment FROM seg",
+    lambda s: s.each(lambda part: ps.with_user_segment(part, U)).select("scan_id", U, "user_segment"),
+)
+by_user(
+    "cohort_counts_by_user",
+    f"{o.with_cohorts(ORDERS)} SELECT * FROM cohorts",
+    lambda s: s.each(lambda part: ps.cohort_counts(part, U, TZ)).groupBy("cohort_week", "weeks_since_first").agg(F.sum("users").alias("users")),
+)
+by_user(
+    "user_activity_by_user",
+    f"{o.with_gaps(ORDERS)} {ACTIVITY}",
+    lambda s: s.each(lambda part: ps.user_activity(part, U)),
+    "avg_hours_between_scans",
+    "median_hours_between_scans",
+    "avg_days_between_scans",
+)
+by_user("rfm_by_user", f"{rfm_sql(ORDERS)} SELECT * FROM rfm", lambda s: s.each(lambda part: ps.rfm(part, U, s.last_scan())))
+by_user(
+    "user_history_by_user",
+    """SELECT scan_id, customer_id, win_date FROM ({sql}) WHERE customer_id = 7""".format(sql=ORDERS.sql),
+    lambda s: s.of_user(U, 7).select("scan_id", U, "win_date"),
+)

@@ -19,8 +19,25 @@ def days(spark, n=40, per_day=3):
     return df
 
 
-def read_files(plan):
-    return int(re.search(r"PartitionFilters: \[(.*?)\]", plan).group(1).count("win_day"))
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_read(df):
+    """Rows that the file scans of a query gave out."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().startswith("Scan parquet"):
+            found += node.metrics().apply("numOutputRows").value()
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
 
 
 def test_date_filters_prune_days(spark, tmp_path):
@@ -31,17 +48,11 @@ def test_date_filters_prune_days(spark, tmp_path):
     frames = ps.dashboard_frames(ps.read_scans_by_day(spark, path), params)
     plain = ps.dashboard_frames(scans, params)
     work = frames.work.drop("win_day")
-    plan = work._jdf.queryExecution().executedPlan().toString()
-    assert read_files(plan) >= 2
+    filters = re.search(r"PartitionFilters: \[(.*?)\]", plan_of(work)).group(1)
+    assert "win_day" in filters and "2025-09-10" in filters and "2025-09-12" in filters
     assert sorted(tuples(work)) == sorted(tuples(plain.work)) != []
-    # only folders of the range are listed: three days, of which the last has no row before noon
-    folders = {f.split("win_day=")[1][:10] for f in frames.work.select("win_date", F.col("win_day")).inputFiles()}
-    assert len(folders) >= 3
-    kept = work.select(F.to_date("win_date").alias("d")).distinct().orderBy("d")
-    assert [str(r.d) for r in kept.collect()] == ["2025-09-10", "2025-09-11"]
-    scanned = frames.work._jdf.queryExecution().executedPlan()
-    frames.work.count()
-    assert "PartitionFilters: [isnotnull(win_day" in scanned.toString()
+    # the rows of three days of forty
+    assert rows_read(work) <= 9
 
 
 def test_days_are_replaced_and_others_stay(spark, tmp_path):
@@ -91,3 +102,47 @@ def test_loads_add_up_to_a_full_run(spark, tmp_path):
         assert tuples(ps.kpi_counts(counts)) == tuples(ps.kpi_summary(whole, U), *names)
         want = ps.prize_probabilities(whole).select(F.col("prize_id").cast("string"), "real_prize_count", "received_count")
         assert sorted(tuples(ps.prize_counts(counts))) == sorted(tuples(want))
+
+
+@pytest.fixture(scope="module")
+def by_user(spark, tmp_path_factory):
+    scans = days(spark, 40, 60).withColumn(U, F.expr("CASE WHEN scan_id % 3 = 0 THEN 5 WHEN scan_id % 50 = 1 THEN NULL ELSE scan_id % 400 END"))
+    scans = ps.normalize(scans)
+    return scans, ps.write_scans_by_user(scans, "layout_scans", U, 8, str(tmp_path_factory.mktemp("by-user")), hot_rows=100)
+
+
+def test_heavy_users_and_rows_without_one_lie_apart(by_user):
+    scans, parts = by_user
+    assert parts.ordinary.count() + parts.heavy.count() == scans.count()
+    assert {r[0] for r in parts.heavy.select(U).distinct().collect()} == {5, None}
+    assert parts.ordinary.where(f"{U} = 5 OR {U} IS NULL").count() == 0
+
+
+def test_buckets_spare_the_shuffle_by_user(by_user):
+    scans, parts = by_user
+    for operator in (
+        lambda d: ps.scans_per_user(d, U),
+        lambda d: ps.with_user_segment(d, U, hot_rows=100),
+        lambda d: ps.cohort_counts(d, U),
+        lambda d: ps.rfm(d, U, "2025-12-01 00:00:00"),
+        lambda d: ps.user_activity(d, U),
+    ):
+        by_key = [[line for line in plan_of(operator(d)).split("\n") if f"hashpartitioning({U}" in line] for d in (scans, parts.ordinary)]
+        # what is left deals out the result, a row per user, before it is sorted
+        assert any("ENSURE_REQUIREMENTS" in line for line in by_key[0])
+        assert all("REBALANCE" in line for line in by_key[1])
+
+
+def test_results_of_both_parts_are_those_of_all_scans(by_user):
+    scans, parts = by_user
+    for operator in (lambda d: ps.scans_per_user(d, U), lambda d: ps.with_user_segment(d, U), lambda d: ps.user_activity(d, U)):
+        assert sorted(map(repr, tuples(parts.each(operator)))) == sorted(map(repr, tuples(operator(scans))))
+    assert sorted(tuples(parts.each(lambda d: ps.rfm(d, U, parts.last_scan())))) == sorted(tuples(ps.rfm(scans, U)))
+
+
+def test_one_user_is_read_from_one_bucket(by_user):
+    scans, parts = by_user
+    found = parts.of_user(U, 7)
+    assert sorted(tuples(found, "scan_id")) == sorted(tuples(scans.where(f"{U} = 7"), "scan_id")) != []
+    one = parts.ordinary.where(f"{U} = 7")
+    assert rows_read(one) <= parts.ordinary.count() / 4
