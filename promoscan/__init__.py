@@ -1,6 +1,7 @@
 """Promotion scan analytics as DataFrame operators for Spark."""
 
 from .config import ScanParams
+from .functions.sketches import merged_sketches, quantile_sketches, sketch_quantiles
 from .operators.claims import (
     claim_histogram,
     claim_stats,

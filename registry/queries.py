@@ -812,3 +812,23 @@ by_user(
     """SELECT scan_id, customer_id, win_date FROM ({sql}) WHERE customer_id = 7""".format(sql=ORDERS.sql),
     lambda s: s.of_user(U, 7).select("scan_id", U, "win_date"),
 )
+
+# The median of hours to claim, from sketches per weekday and prize: its rank is that of the middle, but for the stated error.
+
+
+def _claim_sketches(f: ps.Frames) -> DataFrame:
+    claims = ps.time_to_claim(f.filtered).withColumn("weekday", F.weekday("win_date"))
+    parts = ps.quantile_sketches(claims, F.col("hours_to_claim"), ("weekday", "prize_id"))
+    median = ps.sketch_quantiles(ps.merged_sketches(parts, ("weekday",)), (0.5,)).select(F.col("weekday").alias("d"), "n", F.col("q")[0].alias("median"))
+    met = claims.join(F.broadcast(median), F.col("weekday") == F.col("d"))
+    rank = F.count_if(F.col("hours_to_claim") <= F.col("median")) / F.max("n")
+    below = F.count_if(F.col("hours_to_claim") < F.col("median")) / F.max("n")
+    close = (rank >= 0.5 - 0.03) & (below <= 0.5 + 0.03)
+    return met.groupBy("weekday").agg(F.max("n").alias("claims"), close.alias("median_is_close"))
+
+
+query(
+    "claim_median_from_sketches",
+    f"""{o.with_claims(ORDERS)} SELECT CAST(isodow(win_date) - 1 AS INTEGER) AS weekday, count(*) AS claims, true AS median_is_close
+    FROM claims GROUP BY 1""",
+)(scoped(ORDERS, _claim_sketches))
