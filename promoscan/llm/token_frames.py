@@ -33,6 +33,9 @@ from promoscan.llm.common import new_dir, row_keys, slices, stored
 SKIPPABLE, FOOTER_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 _ENTRY, _FOOTER, _HEAD = struct.Struct("<III"), struct.Struct("<IBI"), struct.Struct("<II")
 END_ID, LEVEL, CACHED_PIECES = 1, 3, 1_200_000
+#: Pieces of more characters than these are forgotten after the texts that brought them; all others
+#: when the cache is estimated to hold more bytes than these.
+LONGEST_KEPT, CACHE_BYTES, ENTRY_BYTES = 64, 300_000_000, 200
 MANIFEST = "path string, first_key long, n_docs long, n_tokens long"
 
 
@@ -49,6 +52,9 @@ class TokenCache:
     A tokenizer that lower-cases, splits by ``SPLIT_PATTERN`` and marks ends of words never joins
     characters of two pieces, so texts of Latin-1 characters are cut into pieces here. Of other texts
     the chunks between white space are taken. Any other tokenizer gets whole texts, without a cache.
+    The cache holds ``CACHED_PIECES`` pieces of ``LONGEST_KEPT`` characters at most, and longer ones
+    (whole paragraphs, in text without spaces) only while the texts at hand are encoded. Beyond
+    ``CACHE_BYTES`` it is emptied.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -58,6 +64,8 @@ class TokenCache:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.ids: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.held = 0
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         spec = json.loads(self.tokenizer.to_str())
         normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -77,6 +85,9 @@ class TokenCache:
         self._learn(set().union(*pieces))
         for x in pieces:
             yield b"".join(map(self.ids.__getitem__, x))
+        for piece in self.long:
+            del self.ids[piece]
+        self.long.clear()
 
     def _plain(self, text: str) -> bool:
         try:
@@ -94,14 +105,17 @@ class TokenCache:
 
     def _learn(self, pieces: set[str]) -> None:
         new = pieces - self.ids.keys()
-        if len(self.ids) + len(new) > CACHED_PIECES:
+        if len(self.ids) + len(new) > CACHED_PIECES or self.held > CACHE_BYTES:
             self.ids.clear()
+            self.held = 0
             new = pieces
+        self.long = [p for p in new if len(p) > LONGEST_KEPT]
         plain = list(new) if self._plain(" ".join(new)) else [p for p in new if self._plain(p)]
         for low in range(0, len(plain), 1000):
             self._learn_plain(plain[low : low + 1000])
         for piece in new - self.ids.keys():
             self.ids[piece] = self._ids(piece).tobytes()
+        self.held += sum(ENTRY_BYTES + 4 * len(p) + len(self.ids[p]) for p in new if len(p) <= LONGEST_KEPT)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
