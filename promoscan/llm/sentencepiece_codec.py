@@ -26,10 +26,18 @@ from promoscan.llm.common import slices
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*")
 CACHED_UNITS = 1_000_000
+#: Units of more characters than these are forgotten after the text that brought them; all others
+#: when the cache is estimated to hold more bytes than these.
+LONGEST_KEPT, CACHE_BYTES, ENTRY_BYTES = 64, 300_000_000, 200
 
 
 class Codec:
-    """Encoder and decoder of one model; raises ValueError if the model isn't of the merge type."""
+    """Encoder and decoder of one model; raises ValueError if the model isn't of the merge type.
+
+    It caches ``CACHED_UNITS`` units of ``LONGEST_KEPT`` characters at most, and longer ones (whole
+    paragraphs, in text without spaces) only while their text is encoded. Beyond ``CACHE_BYTES`` it
+    is emptied.
+    """
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -49,6 +57,8 @@ class Codec:
         self.bytes[sp.unk_id()] = " ⁇ ".encode()
         self.plain = [i not in special for i in range(len(names))]
         self.units: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.held = 0
         self.corrected = 0
 
     def encode_unit(self, unit: str) -> list[int]:
@@ -97,9 +107,11 @@ class Codec:
     def learn(self, units: set[str]) -> None:
         """Encode units that aren't cached and check them against the library."""
         new = [u for u in units if u not in self.units]
-        if len(self.units) + len(new) > CACHED_UNITS:
+        if len(self.units) + len(new) > CACHED_UNITS or self.held > CACHE_BYTES:
             self.units.clear()
+            self.held = 0
             new = list(units)
+        self.long = [u for u in new if len(u) > LONGEST_KEPT]
         expected = self.library.encode([u.replace(MARK, " ") if u else "" for u in new], num_threads=1)
         for unit, right in zip(new, expected, strict=True):
             ids = self.encode_unit(MARK + unit)
@@ -107,6 +119,7 @@ class Codec:
                 self.corrected += 1
                 ids = right
             self.units[unit] = np.array(ids, "<u4").tobytes()
+        self.held += sum(ENTRY_BYTES + 4 * len(u) + len(self.units[u]) for u in new if len(u) <= LONGEST_KEPT)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text with the begin and the end id."""
@@ -118,6 +131,8 @@ class Codec:
             except KeyError:
                 self.learn(set(units))
                 body = b"".join(map(self.units.__getitem__, units))
+                for unit in self.long:
+                    del self.units[unit]
         return np.concatenate(([self.first], np.frombuffer(body, "<u4"), [self.last])).astype("<u4")
 
     def decode(self, ids: np.ndarray) -> str:
