@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscan.llm.common import slices, stored
+from promoscan.llm.common import discard, field, packed, row_keys, slices, stored
 
 #: Most labelled ids that fits use (a hash sample beyond that); all others take part in the exchange.
 FIT_ROWS = 200_000
@@ -179,10 +179,11 @@ def cotrain(views: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_c
     return QualityModel(text, meta, known[1]["ids"] / labelled, meta_columns or [])
 
 
-def _model_and_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_columns: list[str] | None, label_col: str):
-    meta_columns = [c for c in docs.columns if c not in (id_col, text_col)] if meta_columns is None else meta_columns
-    narrow = docs.select(id_col, text_col, *meta_columns)
-    views = with_views(narrow, text_col, meta_columns).select(F.col(f"row.`{id_col}`").cast("long").alias("id"), "meta_view", "text_view")
+def _model_and_views(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, meta_columns: list[str], label_col: str, key: list[str]):
+    """The model, and the stored views (id, *key, meta_view, text_view) of all rows; texts are read once."""
+    narrow = docs.select(id_col, text_col, *meta_columns, *key)
+    ids = [F.col(f"row.`{c}`") for c in key]
+    views = with_views(narrow, text_col, meta_columns).select(F.col(f"row.`{id_col}`").cast("long").alias("id"), *ids, "meta_view", "text_view")
     views = stored(views, "views")
     return cotrain(views, labels, id_col, label_col, meta_columns), views
 
@@ -197,12 +198,22 @@ def score_quality(
     one. Rows keep null and repeated ids. With fewer than ten labelled ids of either label, however often they are
     repeated, all rows score 1 and are kept. An empty table gives an empty one.
     """
-    model, views = _model_and_views(docs, labels, id_col, text_col, meta_columns, label_col)
+    meta_columns = [c for c in docs.columns if c not in (id_col, text_col)] if meta_columns is None else meta_columns
+    model, views = _model_and_views(docs, labels, id_col, text_col, meta_columns, label_col, [])
     return model.score(views).select(F.col("id").alias(id_col), "text_score", "meta_score", "score", "kept")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_columns: list[str] | None = None, label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that :func:`score_quality` keeps; texts are read twice and never shuffled."""
-    model, _ = _model_and_views(docs, labels, id_col, text_col, meta_columns, label_col)
-    views = with_views(docs, text_col, model.meta_columns)
-    return model.score(views).filter("kept").select("row.*")
+    """The rows of ``docs`` that :func:`score_quality` keeps.
+
+    The stored views are scored and the rows taken by :func:`common.row_keys`, so that each text goes
+    through Python once.
+    """
+    meta_columns = [c for c in docs.columns if c not in (id_col, text_col)] if meta_columns is None else meta_columns
+    keyed = row_keys(packed(docs), field(id_col), field(text_col))
+    key = "_" * max(map(len, docs.columns)) + "key"  # longer than any name, so a free one
+    frame = keyed.select("row.*", F.col("_row_key").alias(key))
+    model, views = _model_and_views(frame, labels, id_col, text_col, meta_columns, label_col, [key])
+    kept = stored(model.score(views).filter("kept").select(F.col(key).alias("_row_key")), "kept")
+    discard(views)
+    return keyed.join(kept, "_row_key", "left_semi").select("row.*")
