@@ -13,8 +13,7 @@ import numpy as np
 _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)
-_BASE = np.uint64(0xD1342543DE82EF95)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 #: Grams are compared by 40 bits, so that the index fits beside them.
 INDEX_BITS = 24
 PIECE = 1 << 23
@@ -68,28 +67,33 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return (best & low).astype(np.int64)
 
 
-_powers = {0: np.ones(1, np.uint64)}
+_powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the base (or of its inverse) modulo 2**64."""
-    have = _powers.get(1 + inverse, _powers[0])
-    if len(have) < n:
-        factors = np.full(max(n, 1 << 20), _BASE_INVERSE if inverse else _BASE, np.uint64)
+def powers(n: int, base: int = 0, inverse: bool = False) -> np.ndarray:
+    """The first n powers of a base (or of its inverse) modulo 2**64."""
+    have = _powers.get((base, inverse))
+    if have is None or len(have) < n:
+        factor = pow(_BASES[base], -1, 1 << 64) if inverse else _BASES[base]
+        factors = np.full(max(n, 1 << 20), factor, np.uint64)
         factors[0] = 1
-        have = _powers[1 + inverse] = np.cumprod(factors, dtype=np.uint64)
+        have = _powers[base, inverse] = np.cumprod(factors, dtype=np.uint64)
     return have[:n]
 
 
 class RangeHash:
-    """Hashes of ranges of a symbol sequence by prefix sums; equal ranges have equal hashes."""
+    """Hashes of ranges of a symbol sequence by prefix sums; equal ranges have equal hashes.
 
-    def __init__(self, symbols: np.ndarray):
-        s = mix(symbols.astype(np.uint64) + _M1) * powers(len(symbols))
+    The two bases give independent hashes: their symbols are scrambled and weighted differently.
+    """
+
+    def __init__(self, symbols: np.ndarray, base: int = 0):
+        self.base = base
+        s = mix(symbols.astype(np.uint64) + _M1 * np.uint64(base + 1)) * powers(len(symbols), base)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(s, dtype=np.uint64)))
 
     def __call__(self, start: np.ndarray, stop: np.ndarray, seed: np.ndarray | int = 0) -> np.ndarray:
-        raw = (self.sums[stop] - self.sums[start]) * powers(len(self.sums), True)[start]
+        raw = (self.sums[stop] - self.sums[start]) * powers(len(self.sums), self.base, True)[start]
         return mix(raw ^ mix((stop - start + np.asarray(seed) * 65_536).astype(np.uint64) * _M1))
 
 

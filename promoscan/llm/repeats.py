@@ -11,7 +11,7 @@ windows it stands for form a *context*. The work goes in four steps, each bounde
 3. only these are cut from the texts and compared exactly by ``refine`` (the suffix structure of
    the operator), which gets all contexts of an anchor together, in bounded batches. An anchor
    with very many distinct contexts (``HOT``) isn't gathered: its windows are sent out singly by
-   a 128-bit hash of the whole window, with the same combining per task;
+   two independent 64-bit hashes of the whole window, with the same combining per task;
 4. the spans of a document are joined with its text.
 
 "Earlier" means a smaller key, or with ``same_doc`` also the same key and an earlier start.
@@ -302,8 +302,8 @@ def contexts(w: Windows):
                     n = high[x] - low[x] + 1
                     at = np.repeat(low[x] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     d = np.repeat(doc[x], n)
-                    hashed = RangeHash(data)
-                    held.append((hashed(at, at + w.width, 1), hashed(at, at + w.width, 2) ^ w.grams(data)[at], np.repeat(key[x], n), at - starts[d]))
+                    h1, h2 = (RangeHash(data, base)(at, at + w.width) for base in (0, 1))
+                    held.append((h1, h2, np.repeat(key[x], n), at - starts[d]))
                     size += len(at)
                     if size >= COMBINE:
                         yield from combine(*map(np.concatenate, zip(*held, strict=True)))
