@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from promoscan.llm import language_id, mixing, quality_cotrain, queries
+from promoscan.llm import language_id, mixing, quality_cotrain, queries, sentencepiece_codec, token_frames
 from promoscan.llm.components import components
 from promoscan.llm.embedding_dedup import THRESHOLD, embedding_dedup, passed_filters
 from promoscan.llm.language_id import identify_language
@@ -165,6 +165,25 @@ def test_agenda_alone(model):
         assert codec.decode(ids) == codec.library.decode(ids.tolist())
 
 
+def test_caches_of_unspaced_text_are_bounded(tokenizer, model, monkeypatch):
+    rng = np.random.default_rng(5)
+    signs = np.array([chr(c) for c in range(0x4E00, 0x5200)])
+    long, short = ([" ".join("".join(rng.choice(signs, n)) for _ in range(6000 // n)) for _ in range(40)] for n in (3000, 40))
+    for module in (sentencepiece_codec, token_frames):
+        monkeypatch.setattr(module, "CACHE_BYTES", 400_000)
+    cache, codec = TokenCache(queries.vocabulary("word_bpe_49k.json")), Codec(model)
+    most = 0
+    for text in long + short + long:
+        (got,) = cache.encode_all([text])
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text).tolist() == codec.library.encode(text, add_bos=True, add_eos=True)
+        for held in (cache.ids, codec.units):
+            assert all(len(unit) <= 64 for unit in held)
+            most = max(most, sum(200 + 4 * len(unit) + len(ids) for unit, ids in held.items()))
+    # the bound, and what one text adds
+    assert 200_000 < most < 400_000 + 150 * (200 + 160 + 40 * 12 + 12)
+
+
 # language
 
 
@@ -386,6 +405,19 @@ def test_cotraining(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in out if r.kept}
 
 
+def test_kept_rows_keep_columns_of_any_name(spark):
+    good, bad = "plain words that follow one another here. ", "!!! $$$ ### 111 "
+    rows = [(kind * 100 + i, (good if kind else bad) * (i + 2), i, i, "r", i, i) for kind in (0, 1) for i in range(12) for _ in range(2)] + [(None, good, 0, 0, None, 0, 0)]
+    names = "doc_id long, text string, _row_key long, id long, row string, label int, kept int"
+    docs = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([(kind * 100 + i, kind) for kind in (0, 1) for i in range(12)], "doc_id long, quality int")
+    out = keep_good(docs, labels, meta_columns=["row", "label"])
+    scored = score_quality(docs, labels, meta_columns=["row", "label"]).filter("kept")
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.filter("doc_id is not null").collect()) == sorted(r for r in rows if r[0] is not None and r[0] >= 100)
+    assert sorted(map(str, pairs(out, "doc_id"))) == sorted(map(str, pairs(scored, "doc_id")))
+
+
 def test_cotraining_odd(spark, docs, labels):
     odd = odd_documents(spark)
     assert score_quality(odd, labels).count() == 12
