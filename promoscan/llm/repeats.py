@@ -3,15 +3,15 @@
 The sequence of a document is cut at content-defined anchors (:mod:`anchors`). An anchor and the
 windows it stands for form a *context*. The work goes in four steps, each bounded in memory:
 
-1. every task hashes its anchors and contexts. Of equal contexts in one task only the earliest is
-   sent on; the windows of the others repeat for certain, so their spans are noted at once. A key
-   thus gets one row from each task at most, however many copies there are;
-2. contexts meet by anchor. Later copies of a context become spans. An anchor with one distinct
-   context is done; where there are several, their earliest occurrences must be compared;
-3. only these are cut from the texts and compared exactly by ``refine`` (the suffix structure of
-   the operator), which gets all contexts of an anchor together, in bounded batches. An anchor
-   with very many distinct contexts (``HOT``) isn't gathered: its windows are sent out singly by
-   two independent 64-bit hashes of the whole window, with the same combining per task;
+1. every task hashes its anchors and contexts. Contexts of equal hash in one task are compared
+   symbol by symbol; of equal ones only the earliest is sent on, and the spans of the others are
+   noted at once. A context thus comes once from each combined part of a task, however many copies there are;
+2. contexts meet by anchor. Those alone with their anchor are done, the others are needed;
+3. these are cut from the texts. Contexts of equal hash are compared again, symbol by symbol, and
+   form classes. ``refine`` (the suffix structure of the operator) gets each class as one set of
+   suffixes with its count, all classes of an anchor together, and decides which windows repeat. An
+   anchor with very many distinct contexts (``HOT``) isn't gathered: its windows are sent out singly
+   by two independent 64-bit hashes of the whole window, with the same combining per task;
 4. the spans of a document are joined with its text.
 
 "Earlier" means a smaller key, or with ``same_doc`` also the same key and an earlier start.
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from promoscan.llm.common import slices, split_words
 #: More distinct contexts of an anchor than these in one task, or over all, make it hot.
 HOT_IN_TASK, HOT = 64, 4096
 #: Anchors that a task combines at a time, and context symbols compared at a time.
-COMBINE, COMPARE = 1 << 20, 1 << 20
+COMBINE, COMPARE = 1 << 19, 1 << 20
 SPAN, MARK, SOME, MANY = 0, 1, 2, 3
 
 _ROWS = "route long, kind byte, g long, k long, at long"
@@ -158,14 +159,42 @@ def _firsts(keys: list[np.ndarray], k: np.ndarray, at: np.ndarray, same_doc: boo
     return order, new, ks == ks[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
 
 
+def _run_starts(new: np.ndarray) -> np.ndarray:
+    """For each row the first row of its run."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+
+
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether ``size`` symbols (one or more) at a and at b are the same, a bounded number at a time."""
+    out = np.empty(len(a), bool)
+    ends = np.cumsum(size)
+    low = 0
+    while low < len(a):
+        done = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, done + COMPARE, side="right")))
+        n = size[low:high]
+        base = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(base, n)
+        same = data[np.repeat(a[low:high], n) + inner] == data[np.repeat(b[low:high], n) + inner]
+        out[low:high] = np.logical_and.reduceat(same, base)
+        low = high
+    return out
+
+
 def anchor_rows(w: Windows):
     """Step 1, per partition of (key, text)."""
 
-    def combine(h, g, k, at) -> Iterator[pa.RecordBatch]:
+    def combine(data, h, g, k, at, start) -> Iterator[pa.RecordBatch]:
         order, new, first = _firsts([h, g], k, at, w.same_doc)
-        h, g, k, at = h[order], g[order], k[order], at[order]
-        low, high = _window_bounds(at[~first])
-        yield _span_rows(k[~first], low, high + w.width)
+        h, g, k, at, start = h[order], g[order], k[order], at[order], start[order]
+        later = np.flatnonzero(~first)
+        of = _run_starts(new)[later]
+        alike = (at[later] & 0xFFFF) == (at[of] & 0xFFFF)
+        low, high = _window_bounds(at[later])
+        alike[alike] = equal_ranges(data, start[later[alike]], start[of[alike]], (high - low + w.width)[alike])
+        # a context of equal hash that differs goes on as one of its own
+        first[later[~alike]] = True
+        yield _span_rows(k[later[alike]], low[alike], high[alike] + w.width)
         new_h = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, bool)
         group = np.cumsum(new_h) - 1
         hot = np.bincount(group, weights=new) > HOT_IN_TASK
@@ -177,7 +206,7 @@ def anchor_rows(w: Windows):
         yield _rows(mix(h[x] ^ mix(g[x])), MANY, g[x], k[x], at[x])
 
     def run(batches):
-        held, size = [], 0
+        held, texts, size, symbols = [], [], 0, 0
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = part.column("k").to_numpy()
@@ -188,13 +217,15 @@ def anchor_rows(w: Windows):
                     continue
                 doc = np.searchsorted(starts, first, side="right") - 1
                 g = RangeHash(data)(first, last + w.width, at - first)
-                held.append((grams[at], g, keys[doc], _pack(at - starts[doc], first - starts[doc], last - starts[doc])))
-                size += len(at)
+                packed = _pack(at - starts[doc], first - starts[doc], last - starts[doc])
+                held.append((grams[at], g, keys[doc], packed, first + symbols))
+                texts.append(data)
+                size, symbols = size + len(at), symbols + len(data)
                 if size >= COMBINE:
-                    yield from combine(*map(np.concatenate, zip(*held, strict=True)))
-                    held, size = [], 0
+                    yield from combine(np.concatenate(texts), *map(np.concatenate, zip(*held, strict=True)))
+                    held, texts, size, symbols = [], [], 0, 0
         if held:
-            yield from combine(*map(np.concatenate, zip(*held, strict=True)))
+            yield from combine(np.concatenate(texts), *map(np.concatenate, zip(*held, strict=True)))
 
     return run
 
@@ -256,14 +287,16 @@ def meet(w: Windows):
             if not len(g):
                 continue
             order, new, first = _firsts([group, kind, g], k, at, w.same_doc)
-            group, kind, k, at = group[order], kind[order], k[order], at[order]
-            low, high = _window_bounds(at[~first])
-            mk, ma, mb = merged(k[~first], low, high + w.width)
-            yield _batch(_PART_SCHEMA, mk, np.full(len(mk), SPAN, np.int8), ma, mb)
+            group, kind, g, k, at = group[order], kind[order], g[order], k[order], at[order]
             distinct = np.bincount(group, weights=new, minlength=len(marked))
             many = (marked | (distinct > HOT))[group] | (kind == MANY)
-            need = first & (many | (distinct[group] > 1))
-            yield _batch(_PART_SCHEMA, k[need], np.where(many, MANY, SOME)[need].astype(np.int8), at[need], at[need])
+            copies = many & ~first
+            low, high = _window_bounds(at[copies])
+            mk, ma, mb = merged(k[copies], low, high + w.width)
+            yield _batch(_PART_SCHEMA, mk, np.full(len(mk), SPAN, np.int8), ma, mb)
+            rows = np.bincount(group, minlength=len(marked))
+            need = np.where(many, first, rows[group] > 1)
+            yield _batch(_PART_SCHEMA, k[need], np.where(many, MANY, SOME)[need].astype(np.int8), at[need], g[need])
 
     return run
 
@@ -287,7 +320,7 @@ def contexts(w: Windows):
                 count = np.diff(needs.offsets.to_numpy())
                 doc = np.repeat(np.arange(part.num_rows), count)
                 flat = needs.flatten()
-                kind, at = flat.field("kind").to_numpy(), flat.field("a").to_numpy()
+                kind, at, g = (flat.field(n).to_numpy() for n in ("kind", "a", "b"))
                 key = part.column("k").to_numpy()[doc]
                 low, high = _window_bounds(at)
                 low, high = low + starts[doc], high + starts[doc]
@@ -296,7 +329,7 @@ def contexts(w: Windows):
                     h = w.grams(data)[(at[x] >> 16) + starts[doc[x]]]
                     raw = [data[a : b + w.width].tobytes() for a, b in zip(low[x], high[x], strict=True)]
                     n = int(x.sum())
-                    yield _batch(_CONTEXT_SCHEMA, _signed(h), np.full(n, SOME, np.int8), np.zeros(n, np.int64), key[x], low[x] - starts[doc[x]], pa.array(raw, pa.binary()))
+                    yield _batch(_CONTEXT_SCHEMA, _signed(h), np.full(n, SOME, np.int8), g[x], key[x], low[x] - starts[doc[x]], pa.array(raw, pa.binary()))
                 x = ~x
                 if x.any():
                     n = high[x] - low[x] + 1
@@ -324,7 +357,39 @@ def compare(w: Windows, refine: Callable):
     def weight(x):
         return x.num_rows * 16 + x.column("context").nbytes // (8 if w.words else 1)
 
+    def classes(some: pa.Table):
+        """Rows that enter the structure, with the number of equal contexts; the others, as copies."""
+        route, g, k = _columns(some, "route", "g", "k")
+        raw = some.column("context").combine_chunks()
+        new = np.concatenate(([True], (route[1:] != route[:-1]) | (g[1:] != g[:-1])))
+        of = _run_starts(new)
+        later = np.flatnonzero(~new if w.same_doc else k != k[of])
+        same = pc.equal(raw.take(pa.array(later)), raw.take(pa.array(of[later]))).to_numpy(zero_copy_only=False)
+        copy = np.zeros(len(k), bool)
+        copy[later[same]] = True
+        count = 1 + np.bincount(of[copy], minlength=len(k))
+        return some.append_column("count", pa.array(count)).filter(pa.array(~copy)), some.filter(pa.array(copy))
+
+    def decide(some: pa.Table):
+        k, low, count = _columns(some, "k", "at", "count")
+        raw = some.column("context").combine_chunks()
+        size = pc.binary_length(raw).to_numpy().astype(np.int64)
+        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint64 if w.words else np.uint8)
+        size //= data.itemsize
+        base = np.cumsum(size) - size
+        n = size - w.width + 1
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        start = np.repeat(base, n) + inner
+        node = refine(data, start, w.width, np.repeat(count, n))
+        keep = node >= 0
+        k, p, node = np.repeat(k, n)[keep], (np.repeat(low, n) + inner)[keep], node[keep]
+        order, _, first = _firsts([node], k, p, w.same_doc)
+        later = order[~first]
+        return spans(k[later], p[later])
+
     def run(batches):
+        # classes of the last anchor so far, which may go on in the next table
+        open_rows: pa.Table | None = None
         # a first window of a g that was cut off in the last table is no first here
         for table, _ in whole_groups(batches, COMPARE, weight):
             kind = table.column("kind").to_numpy()
@@ -340,22 +405,21 @@ def compare(w: Windows, refine: Callable):
                 yield spans(k[later], p[later])
             x = kind == SOME
             if x.any():
-                some = table.filter(pa.array(x))
-                k, low = _columns(some, "k", "at")
-                raw = some.column("context").combine_chunks()
-                size = np.diff(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1])
-                data = np.frombuffer(b"".join(raw.to_pylist()), np.uint64 if w.words else np.uint8)
-                size = size.astype(np.int64) // data.itemsize
-                base = np.cumsum(size) - size
-                n = size - w.width + 1
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(base, n) + inner
-                node = refine(data, start, w.width)
-                keep = node >= 0
-                k, p, node = np.repeat(k, n)[keep], (np.repeat(low, n) + inner)[keep], node[keep]
-                order, _, first = _firsts([node], k, p, w.same_doc)
-                later = order[~first]
-                yield spans(k[later], p[later])
+                some, copies = classes(table.filter(pa.array(x)))
+                # a copy shares every suffix of its class, which counts two or more
+                k, low = _columns(copies, "k", "at")
+                size = pc.binary_length(copies.column("context").combine_chunks()).to_numpy() // (8 if w.words else 1)
+                mk, ma, mb = merged(k, low, low + size)
+                yield _batch(_PART_SCHEMA, mk, np.full(len(mk), SPAN, np.int8), ma, mb)
+                if open_rows is not None:
+                    some = pa.concat_tables([open_rows, some])
+                route = some.column("route").to_numpy()
+                ended = int(np.searchsorted(route, route[-1]))
+                if ended:
+                    yield decide(some.slice(0, ended))
+                open_rows = some.slice(ended)
+        if open_rows is not None:
+            yield decide(open_rows)
 
     return run
 
@@ -365,7 +429,7 @@ def with_repeats(docs: DataFrame, w: Windows, refine: Callable) -> DataFrame:
     order = ["route", "kind", "g", "k", "at"]
     rows = docs.select("k", "text").mapInArrow(anchor_rows(w), _ROWS)
     parts = rows.repartition("route").sortWithinPartitions(*order).mapInArrow(meet(w), _PARTS)
-    needs = parts.filter(F.col("kind") >= SOME).groupBy("k").agg(F.collect_list(F.struct("kind", "a")).alias("needs"))
+    needs = parts.filter(F.col("kind") >= SOME).groupBy("k").agg(F.collect_list(F.struct("kind", "a", "b")).alias("needs"))
     # all columns of docs go along in both joins, so that Spark shuffles the texts once
     cut = docs.join(needs, "k").select(*docs.columns, "needs").mapInArrow(contexts(w), _CONTEXTS)
     found = cut.repartition("route").sortWithinPartitions(*order).mapInArrow(compare(w, refine), _PARTS)

@@ -20,8 +20,11 @@ from promoscan.llm.repeats import Windows, union_of, with_repeats
 WIDTH, GRAM = 13, 4
 
 
-def deep_nodes(words: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
-    """Grow the suffix tree of the suffixes at ``start``: their internal node at ``depth``, else -1."""
+def deep_nodes(words: np.ndarray, start: np.ndarray, depth: int, count: np.ndarray) -> np.ndarray:
+    """Grow the suffix tree of the suffixes at ``start``: their internal node at ``depth``, else -1.
+
+    Each suffix stands for ``count`` equal ones, so that one alone with two or more is internal.
+    """
     node = np.zeros(len(start), np.int64)
     if not len(start):
         return node
@@ -30,8 +33,8 @@ def deep_nodes(words: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
     leaves = np.arange(len(start))
     for level in range(depth):
         edge = node[leaves] * n_symbols + symbol[start[leaves] + level]
-        _, child, size = np.unique(edge, return_inverse=True, return_counts=True)
-        inner = size[child] > 1
+        _, child = np.unique(edge, return_inverse=True)
+        inner = np.bincount(child, weights=count[leaves])[child] > 1
         node[leaves[~inner]] = -1
         leaves = leaves[inner]
         node[leaves] = child[inner]

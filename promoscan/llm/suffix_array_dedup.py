@@ -26,7 +26,8 @@ def refine_pointers(pointer: np.ndarray, active: np.ndarray, offset: int) -> np.
     Updates ``pointer`` and returns the suffixes that still share a bucket.
     """
     later = np.minimum(active + offset, len(pointer) - 1)
-    order = np.lexsort((pointer[later], pointer[active]))
+    # pointers are places in one bounded batch, so that both fit one sort key
+    order = np.argsort((pointer[active] << 32) + pointer[later] + 1)
     suffix = active[order]
     old, key = pointer[suffix], pointer[later[order]]
     at = np.arange(len(suffix))
@@ -46,7 +47,7 @@ def bucket_pointers(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     for step in (1, 2, 4):
         gram = gram[:-step] | (gram[step:] << np.uint64(8 * step))
     gram = gram[: len(data)]
-    order = np.argsort(gram, kind="stable")
+    order = np.argsort(gram)
     sorted_gram = gram[order]
     new = np.concatenate(([True], sorted_gram[1:] != sorted_gram[:-1]))
     pointer = np.empty(len(data) + 1, np.int64)
@@ -61,12 +62,15 @@ def bucket_pointers(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarra
     return pointer, active
 
 
-def equal_windows(data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
-    """Class of the window at each start, -1 if no other suffix shares its first ``width`` bytes."""
+def equal_windows(data: np.ndarray, start: np.ndarray, width: int, count: np.ndarray) -> np.ndarray:
+    """Bucket of the window at each start, -1 if no other suffix shares its first ``width`` bytes.
+
+    Each suffix stands for ``count`` equal ones, so that one alone with two or more has a bucket.
+    """
     pointer, active = bucket_pointers(data, width)
     shared = np.zeros(len(pointer), bool)
     shared[active] = True
-    return np.where(shared[start], pointer[start], -1)
+    return np.where(shared[start] | (count > 1), pointer[start], -1)
 
 
 def _cut(as_text: bool):

@@ -123,8 +123,8 @@ def test_structures_agree_with_strings():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 2, 3000).astype(np.uint8)
     start = np.arange(2900)
-    for find, width in ((equal_windows, 12), (lambda d, s, w: deep_nodes(d.astype(np.uint64), s, w), 12)):
-        node = find(data, start, width)
+    for find, width in ((equal_windows, 12), (lambda d, s, w, n: deep_nodes(d.astype(np.uint64), s, w, n), 12)):
+        node = find(data, start, width, np.ones(len(start), np.int64))
         groups = {}
         for p in start:
             groups.setdefault(data[p : p + width].tobytes(), []).append(p)
@@ -143,3 +143,70 @@ def test_too_wide_raises():
     assert repeats.Windows(279, 24, False, True).count == 256
     with pytest.raises(ValueError, match="279 at most"):
         repeats.Windows(280, 24, False, True)
+
+
+def test_counted_suffixes_are_nodes():
+    data = np.arange(60, dtype=np.uint8)
+    start, count = np.arange(40), np.where(np.arange(40) % 3 == 0, 2, 1)
+    for find, words in ((equal_windows, data), (deep_nodes, data.astype(np.uint64))):
+        node = find(words, start, 12, count)
+        assert ((node >= 0) == (count > 1)).all() and len(set(node[count > 1])) == (count > 1).sum()
+
+
+def test_equal_ranges(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 2, 500).astype(np.uint8)
+    a, b, size = (rng.integers(0, 480, 900), rng.integers(0, 480, 900), rng.integers(1, 9, 900))
+    expected = [bytes(data[x : x + n]) == bytes(data[y : y + n]) for x, y, n in zip(a, b, size, strict=True)]
+    for limit in (1, 7, 1 << 20):
+        monkeypatch.setattr(repeats, "COMPARE", limit)
+        assert repeats.equal_ranges(data, a, b, size).tolist() == expected
+    assert len(repeats.equal_ranges(data, a[:0], b[:0], size[:0])) == 0
+
+
+@pytest.fixture
+def colliding(monkeypatch):
+    """All contexts of an anchor have one hash, in the tasks as well, so that only comparing tells them apart."""
+    original = repeats.anchor_rows
+
+    def lowered(w):
+        step = original(w)
+
+        def run(batches):
+            from promoscan.llm import repeats as there
+
+            old = there.RangeHash
+            there.RangeHash = lambda data: lambda start, stop, seed: np.zeros(len(start), np.uint64)
+            try:
+                yield from step(batches)
+            finally:
+                there.RangeHash = old
+
+        return run
+
+    monkeypatch.setattr(repeats, "anchor_rows", lowered)
+
+
+def test_equal_hashes_of_different_contexts(spark, colliding):
+    check(junk(spark))
+
+
+def test_anchors_over_several_tables(spark, monkeypatch):
+    original = repeats.compare
+
+    def small(w, refine):
+        step = original(w, refine)
+
+        def run(batches):
+            from promoscan.llm import repeats as there
+
+            old, there.COMPARE = there.COMPARE, 64
+            try:
+                yield from step(b.slice(i, 3) for b in batches for i in range(0, b.num_rows, 3))
+            finally:
+                there.COMPARE = old
+
+        return run
+
+    monkeypatch.setattr(repeats, "compare", small)
+    check(junk(spark))
