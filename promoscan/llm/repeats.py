@@ -6,8 +6,9 @@ windows it stands for form a *context*. The work goes in four steps, each bounde
 1. every task hashes its anchors and contexts. Contexts of equal hash in one task are compared
    symbol by symbol; of equal ones only the earliest is sent on, and the spans of the others are
    noted at once. A context thus comes once from each combined part of a task, however many copies there are;
-2. contexts meet by anchor. Those alone with their anchor are done, the others are needed;
-3. these are cut from the texts. Contexts of equal hash are compared again, symbol by symbol, and
+2. contexts meet by anchor. Those alone with their anchor are done, the others are needed; without
+   ``whole_copies`` those of equal hash (anchor and context, 64 bits each) count as equal here;
+3. these are cut from the texts. Contexts of equal hash are compared again, byte by byte, and
    form classes. ``refine`` (the suffix structure of the operator) gets each class as one set of
    suffixes with its count, all classes of an anchor together, and decides which windows repeat. An
    anchor with very many distinct contexts (``HOT``) isn't gathered: its windows are sent out singly
@@ -36,6 +37,7 @@ HOT_IN_TASK, HOT = 64, 4096
 #: Anchors that a task combines at a time, and context symbols compared at a time.
 COMBINE, COMPARE = 1 << 19, 1 << 20
 SPAN, MARK, SOME, MANY = 0, 1, 2, 3
+_PART_OF_HASH = np.uint64(0xFFFFFFFF)
 
 _ROWS = "route long, kind byte, g long, k long, at long"
 _PARTS = "k long, kind byte, a long, b long"
@@ -46,6 +48,9 @@ _CONTEXTS = _ROWS + ", context binary"
 class Windows:
     """What a window is: ``width`` symbols, anchored by grams of ``gram``; words or bytes.
 
+    With ``whole_copies`` the texts of all contexts that recur are sent to the structure, otherwise
+    those of different contexts of an anchor only.
+
     Raises ValueError if a window reaches further from its anchor than ``_pack`` holds.
     """
 
@@ -53,6 +58,7 @@ class Windows:
     gram: int
     words: bool
     same_doc: bool
+    whole_copies: bool = True
 
     def __post_init__(self):
         if self.width - self.gram > 255:
@@ -62,18 +68,30 @@ class Windows:
     def count(self) -> int:
         return self.width - self.gram + 1
 
-    def symbols(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All symbols, and where each document starts (with the end)."""
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], bytes]]:
+        """All symbols, where each document starts (with the end), and the text of a range of symbols."""
         if self.words:
-            parts = [word_hashes(split_words(t)) for t in texts.to_pylist()]
-            sizes = [len(p) for p in parts]
-            data = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-            return data, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+            parts = [split_words(t) for t in texts.to_pylist()]
+            tokens = [x for p in parts for x in p]
+            starts = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
+            return word_hashes(tokens), starts, lambda a, b: b" ".join(tokens[a:b])
         texts = texts.cast(pa.large_binary()).fill_null(b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         whole = texts.buffers()[2]
         data = np.frombuffer(whole, np.uint8) if whole is not None else np.empty(0, np.uint8)
-        return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        data = data[offsets[0] : offsets[-1]]
+        return data, offsets - offsets[0], lambda a, b: data[a:b].tobytes()
+
+    def sizes(self, ranges: pa.Array) -> np.ndarray:
+        """Symbols in each text of a range."""
+        found = pc.add(pc.count_substring(ranges, pattern=" "), 1) if self.words else pc.binary_length(ranges)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def joined(self, ranges: pa.Array) -> np.ndarray:
+        """The symbols of all ranges in a row."""
+        if self.words:
+            return word_hashes([x for r in ranges.to_pylist() for x in r.split(b" ")])
+        return np.frombuffer(b"".join(ranges.to_pylist()), np.uint8)
 
     def grams(self, data: np.ndarray) -> np.ndarray:
         return (symbol_grams if self.words else byte_grams)(data, self.gram)
@@ -201,7 +219,8 @@ def anchor_rows(w: Windows):
         many = hot[group]
         yield _rows(h[new_h & many], MARK, np.zeros((new_h & many).sum()), k[new_h & many], at[new_h & many])
         x = first & ~many
-        yield _rows(h[x], SOME, g[x], k[x], at[x])
+        # part of the hash is enough where contexts of equal hash are compared
+        yield _rows(h[x], SOME, g[x] & _PART_OF_HASH if w.whole_copies else g[x], k[x], at[x])
         x = first & many
         yield _rows(mix(h[x] ^ mix(g[x])), MANY, g[x], k[x], at[x])
 
@@ -210,7 +229,7 @@ def anchor_rows(w: Windows):
         for batch in batches:
             for part in slices(batch, "text"):
                 keys = part.column("k").to_numpy()
-                data, starts = w.symbols(part.column("text"))
+                data, starts, _ = w.read(part.column("text"))
                 grams = w.grams(data)
                 at, first, last = anchor_runs(grams, w.count, w.width, starts)
                 if not len(at):
@@ -290,12 +309,13 @@ def meet(w: Windows):
             group, kind, g, k, at = group[order], kind[order], g[order], k[order], at[order]
             distinct = np.bincount(group, weights=new, minlength=len(marked))
             many = (marked | (distinct > HOT))[group] | (kind == MANY)
-            copies = many & ~first
+            copies = ~first if not w.whole_copies else (kind == MANY) & ~first
             low, high = _window_bounds(at[copies])
             mk, ma, mb = merged(k[copies], low, high + w.width)
             yield _batch(_PART_SCHEMA, mk, np.full(len(mk), SPAN, np.int8), ma, mb)
-            rows = np.bincount(group, minlength=len(marked))
-            need = np.where(many, first, rows[group] > 1)
+            # of a class alone with its anchor one row of the first document will do
+            repeated = np.bincount(group, weights=~first, minlength=len(marked)) > 0
+            need = ~copies & (many | (distinct[group] > 1) | (w.whole_copies & repeated[group] & (new | ~first)))
             yield _batch(_PART_SCHEMA, k[need], np.where(many, MANY, SOME)[need].astype(np.int8), at[need], g[need])
 
     return run
@@ -315,7 +335,7 @@ def contexts(w: Windows):
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                data, starts = w.symbols(part.column("text"))
+                data, starts, text = w.read(part.column("text"))
                 needs = part.column("needs")
                 count = np.diff(needs.offsets.to_numpy())
                 doc = np.repeat(np.arange(part.num_rows), count)
@@ -327,7 +347,7 @@ def contexts(w: Windows):
                 x = kind == SOME
                 if x.any():
                     h = w.grams(data)[(at[x] >> 16) + starts[doc[x]]]
-                    raw = [data[a : b + w.width].tobytes() for a, b in zip(low[x], high[x], strict=True)]
+                    raw = [text(a, b + w.width) for a, b in zip(low[x], high[x], strict=True)]
                     n = int(x.sum())
                     yield _batch(_CONTEXT_SCHEMA, _signed(h), np.full(n, SOME, np.int8), g[x], key[x], low[x] - starts[doc[x]], pa.array(raw, pa.binary()))
                 x = ~x
@@ -355,7 +375,7 @@ def compare(w: Windows, refine: Callable):
         return _batch(_PART_SCHEMA, mk, np.full(len(mk), SPAN, np.int8), ma, mb)
 
     def weight(x):
-        return x.num_rows * 16 + x.column("context").nbytes // (8 if w.words else 1)
+        return x.num_rows * 16 + x.column("context").nbytes // (4 if w.words else 1)
 
     def classes(some: pa.Table):
         """Rows that enter the structure, with the number of equal contexts; the others, as copies."""
@@ -373,9 +393,7 @@ def compare(w: Windows, refine: Callable):
     def decide(some: pa.Table):
         k, low, count = _columns(some, "k", "at", "count")
         raw = some.column("context").combine_chunks()
-        size = pc.binary_length(raw).to_numpy().astype(np.int64)
-        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint64 if w.words else np.uint8)
-        size //= data.itemsize
+        size, data = w.sizes(raw), w.joined(raw)
         base = np.cumsum(size) - size
         n = size - w.width + 1
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -408,8 +426,7 @@ def compare(w: Windows, refine: Callable):
                 some, copies = classes(table.filter(pa.array(x)))
                 # a copy shares every suffix of its class, which counts two or more
                 k, low = _columns(copies, "k", "at")
-                size = pc.binary_length(copies.column("context").combine_chunks()).to_numpy() // (8 if w.words else 1)
-                mk, ma, mb = merged(k, low, low + size)
+                mk, ma, mb = merged(k, low, low + w.sizes(copies.column("context").combine_chunks()))
                 yield _batch(_PART_SCHEMA, mk, np.full(len(mk), SPAN, np.int8), ma, mb)
                 if open_rows is not None:
                     some = pa.concat_tables([open_rows, some])

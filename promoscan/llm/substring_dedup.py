@@ -66,7 +66,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = row_keys(docs, id_col, text_col)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     frame = keyed.select(F.col("_row_key").alias("k"), F.col(text_col).alias("text"), row.alias("row"))
-    windows = Windows(width, GRAM, words=True, same_doc=False)
+    windows = Windows(width, GRAM, words=True, same_doc=False, whole_copies=False)
     fields = T.StructType(
         [frame.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")), T.StructField("kept", T.StringType())]
     )

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from promoscan.llm import repeats
+from promoscan.llm import substring_dedup as substring_module
 from promoscan.llm.anchors import PIECE, RangeHash, anchor_runs, byte_grams, sliding_argmin, symbol_grams
 from promoscan.llm.substring_dedup import deep_nodes, substring_dedup
 from promoscan.llm.suffix_array_dedup import equal_windows, suffix_array_dedup
@@ -21,13 +22,23 @@ def by_words(df, **options):
     return sorted((str(r.row.doc_id), r.n_words, r.n_removed, r.kept) for r in substring_dedup(df, **options).collect())
 
 
-def check(df):
+def check_bytes(df):
     rows = numbered(df)
     ids, texts = [str(r[0]) for r in rows], [r[1] for r in rows]
     assert by_bytes(df) == sorted((i, *x) for i, x in zip(ids, cut_bytes(texts), strict=True))
+
+
+def check_words(df):
+    rows = numbered(df)
+    ids, texts = [str(r[0]) for r in rows], [r[1] for r in rows]
     assert by_words(df) == sorted((i, *x) for i, x in zip(ids, cut_words(texts), strict=True))
 
 
+def check(df):
+    check_bytes(df)
+    check_words(df)
+
+
 def test_documents(spark, sf_dir):
     check(documents(spark, sf_dir).repartition(5))
 
@@ -188,7 +199,18 @@ def colliding(monkeypatch):
 
 
 def test_equal_hashes_of_different_contexts(spark, colliding):
-    check(junk(spark))
+    check_bytes(junk(spark))
+    # words are compared within a task
+    check_words(junk(spark).coalesce(1))
+
+
+@pytest.fixture
+def all_texts(monkeypatch):
+    monkeypatch.setattr(substring_module, "Windows", lambda *a, whole_copies, **k: repeats.Windows(*a, **k))
+
+
+def test_words_of_all_copies(spark, colliding, all_texts):
+    check_words(junk(spark))
 
 
 def test_anchors_over_several_tables(spark, monkeypatch):
