@@ -165,6 +165,27 @@ def test_agenda_alone(model):
         assert codec.decode(ids) == codec.library.decode(ids.tolist())
 
 
+def test_agendas_in_step(model):
+    codec = Codec(model)
+    rng = np.random.default_rng(4)
+    signs = [list("etaoinshr"), list("aab"), list(" .,12;"), list("äöé日\U0001f600\x07"), list("the▁")]
+    units = ["".join(rng.choice(signs[n % 5], rng.integers(1, 70))).replace(" ", "x") for n in range(1500)]
+    got = codec.encode_units(["▁" + u for u in units])
+    for unit, ids in zip(units, got, strict=True):
+        right = codec.library.encode(unit.replace("▁", " "))
+        assert np.frombuffer(ids, "<u4").tolist() == codec.encode_unit("▁" + unit) == right, unit
+
+
+def test_texts_together(spark, docs, model):
+    codec = Codec(model)
+    texts = [t for _, t in numbered(docs)[:60]] + [None, "", " ", "  x", "a" * 900, "日本 ok", "▁"]
+    got = codec.encode_all(texts)
+    assert [x.tolist() for x in got] == [codec.library.encode(t or "", add_bos=True, add_eos=True) for t in texts]
+    assert [codec.decode(x) for x in got] == [codec.library.decode(x.tolist()) for x in got]
+    assert codec.corrected == 0
+    assert "decoded" not in sentencepiece_round_trip(docs, model, with_ids=True, with_text=False).columns
+
+
 def test_caches_of_unspaced_text_are_bounded(tokenizer, model, monkeypatch):
     rng = np.random.default_rng(5)
     signs = np.array([chr(c) for c in range(0x4E00, 0x5200)])
