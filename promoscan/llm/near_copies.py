@@ -1,4 +1,9 @@
-"""Near copies by exact Jaccard similarity of word shingles, joined through prefixes.
+"""Near copies by exact Jaccard similarity of word shingles: SimHash by covering LSH, and prefixes for the rest.
+
+The fingerprint of a set of shingles has the bits that over half of the hashes have. The covering masks of
+:mod:`promoscan.llm.simhash_dedup` bring all fingerprints together that differ in ``RADIUS`` bits or
+fewer; such pairs are linked if their sets are similar enough. Similar sets may differ in more bits than
+any affordable radius, so what these links leave apart is joined through prefixes.
 
 Sets of ``n`` shingles that share ``t`` of their union share at least ``t * n`` of either, so that in
 any common order the first ``n - ceil(t * n) + 1`` shingles of both have one in common: no pair is
@@ -18,8 +23,11 @@ from pyspark.sql import functions as F
 
 from promoscan.llm.common import discard, field, packed, row_keys, slices, stored
 from promoscan.llm.components import components
+from promoscan.llm.simhash_dedup import majority, table_keys
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits by which fingerprints of a candidate pair differ at most (63 tables), and buckets of tables that are compared in pairs.
+RADIUS, PRINTS_PAIRED = 5, 8
 #: Buckets of more sets are linked through a few of them first; what is left is compared in tiles of so many.
 PAIRED, TILE = 64, 512
 #: Fewest places of the parities of a set.
@@ -68,14 +76,14 @@ def _frequent(shingle: int):
 
 
 def _prefixes(shingle: int, similarity: float, places: np.ndarray, weights: np.ndarray):
-    """(k, two hashes of the set, its size, its prefix in the common order) per row."""
+    """(k, two hashes of the set, its size, its fingerprint, its prefix in the common order) per row."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             for part in slices(batch, "text"):
-                first, second, sizes, prefixes = [], [], [], []
+                first, second, sizes, prints, prefixes = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     found = shingle_set(text, shingle)
                     both = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
@@ -83,6 +91,7 @@ def _prefixes(shingle: int, similarity: float, places: np.ndarray, weights: np.n
                     second.append(both[1])
                     n = len(found)
                     sizes.append(n)
+                    prints.append(majority(found.tobytes()))
                     weight = np.zeros(n, np.int64)
                     if len(places):
                         place = _places(found)
@@ -90,8 +99,9 @@ def _prefixes(shingle: int, similarity: float, places: np.ndarray, weights: np.n
                         weight = np.where(places[at] == place, weights[at], 0)
                     order = np.argsort(weight, kind="stable")
                     prefixes.append(found[order[: n - least_shared(n, similarity) + 1 if n else 0]].view(np.int64))
-                columns = [part.column("k"), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "h1", "h2", "n", "prefix"])
+                columns = [part.column("k"), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int64())]
+                columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "h1", "h2", "n", "print", "prefix"])
 
     return run
 
@@ -161,10 +171,10 @@ def _passing(pairs: DataFrame, forms: DataFrame, keep, name: str) -> DataFrame:
     return stored(both.mapInArrow(_kept(keep), "a long, b long"), name)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, sift: bool) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar enough, by the sets themselves.
 
-    Parities, a bit or two a shingle, rule out nearly all others before whole sets are moved.
+    With ``sift``, parities, a bit or two a shingle, rule out nearly all others before whole sets are moved.
     """
 
     def forms(of: DataFrame, form, name: str) -> DataFrame:
@@ -172,9 +182,11 @@ def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: floa
         return stored(texts.join(ids, "k", "left_semi").mapInArrow(_sets(shingle, form), "k long, n long, form binary"), name)
 
     pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    sketches = forms(pairs, parities, "near-parities")
-    left = _passing(pairs, sketches, _maybe(similarity), "near-candidates")
-    discard(pairs, sketches)
+    left = pairs
+    if sift:
+        sketches = forms(pairs, parities, "near-parities")
+        left = _passing(pairs, sketches, _maybe(similarity), "near-candidates")
+        discard(pairs, sketches)
     sets = forms(left, np.ndarray.tobytes, "near-sets")
     links = _passing(left, sets, _similar(similarity), "near-links")
     discard(left, sets)
@@ -187,53 +199,64 @@ def _possible(similarity: float) -> Column:
     return F.least(F.col("l.place"), F.col("r.place")) + rest >= F.expr("l.n + r.n") * F.lit(similarity / (1 + similarity)) - 1e-6
 
 
-def near_links(sets: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that join all similar (k, n, prefix), maybe via others; links join similar ones alone.
+def _close(similarity: float) -> Column:
+    """Whether fingerprints are within the radius and sizes leave room for enough shared shingles."""
+    sizes = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * F.lit(similarity) - 1e-6
+    return (F.bit_count(F.expr("l.print ^ r.print")) <= RADIUS) & sizes
+
 
-    In a bucket, the sets with a shingle in their prefix, pairs are compared. Buckets of over
-    ``PAIRED`` sets are compared with three of theirs first, and then only between sets that links
-    leave apart: many copies of one document take no pairs among each other.
+def near_links(rows: DataFrame, texts: DataFrame, possible: Column, paired: int, earlier: DataFrame | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that, with ``earlier`` ones, join all similar sets that share a key, maybe via others.
+
+    ``rows`` (k, component, key, and what ``possible`` reads of rows l and r) are sets in buckets; links
+    join similar sets alone. In a bucket, sets of different components that ``earlier`` links made are
+    compared in pairs. Buckets of over ``paired`` sets are compared with three of theirs first, and then
+    only between sets that links leave apart: many copies of one document take no pairs among each other.
     """
-    rows = sets.select("k", "n", F.posexplode("prefix").alias("place", "shingle"))
     hubs = [F.min("k").alias("m0"), *[F.min_by("k", F.xxhash64("k", F.lit(i))).alias(f"m{i}") for i in (1, 2)]]
-    buckets = rows.groupBy("shingle").agg(F.count("*").alias("size"), *hubs).filter("size > 1")
-    members = stored(rows.join(buckets, "shingle"), "near-buckets")
-    small, large = members.filter(F.col("size") <= PAIRED), members.filter(F.col("size") > PAIRED)
+    ends = [F.min("component").alias("x"), F.max("component").alias("y")]
+    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), *ends, *hubs).filter("x < y").drop("x", "y")
+    members = stored(rows.join(buckets, "key"), "near-buckets")
+    small, large = members.filter(F.col("size") <= paired), members.filter(F.col("size") > paired)
 
-    pairs = small.alias("l").join(small.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & F.expr("l.k < r.k") & _possible(similarity))
+    pairs = small.alias("l").join(small.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.k < r.k and l.component <> r.component") & possible)
     pairs = pairs.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
     stars = large.select("k", F.explode(F.array("m0", "m1", "m2")).alias("m")).filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
-    links = _verified(texts, pairs.unionByName(stars), shingle, similarity)
-    groups = components(links)
-    named = large.join(groups, large["k"] == groups["node"], "left").select("shingle", "k", "n", "place", F.coalesce("component", "k").alias("component"))
+    links = _verified(texts, pairs.unionByName(stars), shingle, similarity, sift=earlier is not None)
+    if large.isEmpty():
+        discard(members)
+        return links
+    groups = components(links if earlier is None else earlier.unionByName(links))
+    kept = [F.col(c) for c in rows.columns if c != "component"]
+    named = large.join(groups, large["k"] == groups["node"], "left").select(*kept, F.coalesce(groups["component"], "k").alias("component"))
     named = stored(named, "near-named")
-    mixed = named.groupBy("shingle").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle", "size")
-    open_rows = stored(named.join(mixed, "shingle"), "near-open")
+    mixed = named.groupBy("key").agg(F.count("*").alias("size"), *ends).filter("x < y").select("key", "size")
+    open_rows = stored(named.join(mixed, "key"), "near-open")
     discard(members, named)
     if open_rows.isEmpty():
         return links
-    more = _verified(texts, _tiled(open_rows, similarity), shingle, similarity)
+    more = _verified(texts, _tiled(open_rows, possible), shingle, similarity, sift=True)
     discard(open_rows)
     return links.unionByName(more)
 
 
-def _tiled(rows: DataFrame, similarity: float) -> DataFrame:
+def _tiled(rows: DataFrame, possible: Column) -> DataFrame:
     """Pairs (a, b) of a bucket in different components; a large bucket is many tiles, each a key of its own."""
     last = F.floor((F.col("size") - 1) / TILE).cast("long")
     part = F.pmod(F.xxhash64("k"), last + 1)
     rows = rows.withColumn("last", last).withColumn("part", part)
     left = rows.withColumn("other", F.explode(F.sequence("part", "last")))
     right = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "part")))
-    tile = F.expr("l.shingle = r.shingle and l.part = r.other and l.other = r.part")
-    met = left.alias("l").join(right.alias("r"), tile & F.expr("(l.part < r.part or l.k < r.k) and l.component <> r.component") & _possible(similarity))
+    tile = F.expr("l.key = r.key and l.part = r.other and l.other = r.part")
+    met = left.alias("l").join(right.alias("r"), tile & F.expr("(l.part < r.part or l.k < r.k) and l.component <> r.component") & possible)
     return met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` that come first in their group, in the order of :func:`common.row_keys`.
 
-    Rows whose sets of word shingles have a Jaccard similarity of ``similarity`` or more are linked;
-    groups are what links join. Text is lower-cased in A-Z and cut into words at ASCII white space.
+    Rows whose sets of word shingles have a Jaccard similarity of ``similarity`` or more are linked, by the
+    tables of their fingerprints or else by prefixes; groups are what links join. Text is lower-cased in A-Z and cut into words at ASCII white space.
     Rows without a word form one group. Null and repeated ids are kept apart; an empty table gives
     an empty one.
     """
@@ -242,13 +265,21 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = texts.mapInArrow(_frequent(shingle), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     ranked = sorted((r.place, r.n) for r in counts.orderBy(F.desc("n"), "place").limit(RANKED).collect())
     places, weights = np.array([p for p, _ in ranked], np.int64), np.array([n for _, n in ranked], np.int64)
-    kind = "k long, h1 long, h2 long, n long, prefix array<long>"
+    kind = "k long, h1 long, h2 long, n long, print long, prefix array<long>"
     found = texts.mapInArrow(_prefixes(shingle, similarity, places, weights), kind)
     # equal sets have equal prefixes: the first row of each stands for them all
-    sets = found.groupBy("h1", "h2").agg(F.min("k").alias("k"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"))
-    sets = stored(sets.select("k", "n", "prefix"), "near-prefixes")
-    groups = components(near_links(sets, texts, shingle, similarity))
-    later = groups.filter("node <> component").select(F.col("node").alias("_row_key"))
-    firsts = stored(sets.select(F.col("k").alias("_row_key")).join(later, "_row_key", "left_anti"), "near-firsts")
+    once = [F.any_value(c).alias(c) for c in ("n", "print", "prefix")]
+    sets = stored(found.groupBy("h1", "h2").agg(F.min("k").alias("k"), *once).drop("h1", "h2"), "near-prefixes")
+    prints = sets.select("k", "n", "print", F.col("k").alias("component"), F.explode(F.array(*table_keys(RADIUS))).alias("key"))
+    close = near_links(prints, texts, _close(similarity), PRINTS_PAIRED, None, shingle, similarity)
+    groups = components(close)
+    rest = sets.join(groups, sets["k"] == groups["node"], "left").select("k", "n", F.coalesce("component", "k").alias("component"), "prefix")
+    rest = stored(rest, "near-rest")
     discard(sets)
+    places_of = rest.select("k", "n", "component", F.posexplode("prefix").alias("place", "key"))
+    links = close.unionByName(near_links(places_of, texts, _possible(similarity), PAIRED, close, shingle, similarity))
+    groups = components(links)
+    later = groups.filter("node <> component").select(F.col("node").alias("_row_key"))
+    firsts = stored(rest.select(F.col("k").alias("_row_key")).join(later, "_row_key", "left_anti"), "near-firsts")
+    discard(rest)
     return keyed.join(firsts, "_row_key", "left_semi").select("row.*")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promoscan.llm.common import row_keys, slices, stored
@@ -43,12 +43,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     n = max(len(words) - shingle + 1, 1)
     digest = xxhash.xxh64_digest
     joined = map(b" ".join, zip(*(words[i : n + i] for i in range(shingle)), strict=True)) if len(words) >= shingle else [b" ".join(words)]
-    raw = b"".join([digest(s, SEED) for s in joined])
+    return majority(b"".join([digest(s, SEED) for s in joined]))
+
+
+def majority(raw: bytes) -> int:
+    """The bits that are set in over half of the 64-bit hashes in ``raw``; 0 if there are none."""
     counts = np.zeros(BITS, np.int64)
-    hashes = np.frombuffer(raw, np.uint8).reshape(n, 8)
-    for low in range(0, n, 4096):
+    hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
+    for low in range(0, len(hashes), 4096):
         counts += np.unpackbits(hashes[low : low + 4096], axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def table_keys(radius: int) -> list[Column]:
+    """What column ``print`` shows in each table: two prints that differ in ``radius`` bits or fewer agree in one."""
+    return [F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))]
 
 
 def _fingerprints(shingle: int):

@@ -5,8 +5,10 @@ import random
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from promoscan.llm import near_copies
+from promoscan.llm.simhash_dedup import covering_masks
 from tests.llm.helpers import components_of, documents, numbered, odd_documents, words
 
 
@@ -28,6 +30,15 @@ def firsts(rows):
     return {k for k, c in components_of(keys, links).items() if k == c}
 
 
+def firsts_within(rows, radius):
+    """The same, if only fingerprints that differ in so many bits or fewer are linked."""
+    sets = {k: shingles(t) for k, t in rows}
+    prints = {k: near_copies.majority(near_copies.shingle_set(t).tobytes()) for k, t in rows}
+    near = [(a, b) for a in sets for b in sets if a < b and (prints[a] ^ prints[b]).bit_count() <= radius]
+    links = [(a, b) for a, b in near if sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    return {k for k, c in components_of(sorted(sets), links).items() if k == c}
+
+
 def varied(seed, copies=160):
     """Near copies at similarities around 0.8, chains of them, and strangers with one common passage."""
     rnd = random.Random(seed)
@@ -62,6 +73,24 @@ def test_against_brute_force(spark, monkeypatch, paired, tile):
     assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == firsts(rows)
 
 
+def test_fingerprints_alone_link_what_is_in_their_radius(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "_possible", lambda _: F.lit(False))
+    monkeypatch.setattr(near_copies, "PAIRED", 10**6)
+    rows = varied(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = firsts_within(rows, near_copies.RADIUS)
+    assert firsts(rows) < want < firsts_within(rows, 0)
+    assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == want
+
+
+def test_tables_cover_the_radius():
+    masks = covering_masks(near_copies.RADIUS)
+    rnd = random.Random(2)
+    for _ in range(5000):
+        bits = sum(1 << b for b in rnd.sample(range(64), near_copies.RADIUS))
+        assert any(not m & bits for m in masks)
+
+
 def test_odd(spark):
     odd = odd_documents(spark)
     out = near_copies.drop_near_copies(odd)
