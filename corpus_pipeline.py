@@ -57,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256) of each document of the mix."""
     ship(spark)
-    coded = sentencepiece_round_trip(docs, vocabulary("piece_bpe_32k.model"), carry=["doc_id", "source"], with_ids=True)
+    coded = sentencepiece_round_trip(docs, vocabulary("piece_bpe_32k.model"), carry=["doc_id", "source"], with_ids=True, with_text=False)
     return coded.select("row.doc_id", "row.source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

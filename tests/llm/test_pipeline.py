@@ -45,3 +45,12 @@ def test_stages_in_turn(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and all(len(r.ids) == r.n_tokens for r in out.collect())
+
+
+def test_encode_sends_no_decoded_texts(spark, sf_dir, monkeypatch):
+    seen = []
+    coded = corpus_pipeline.sentencepiece_round_trip
+    monkeypatch.setattr(corpus_pipeline, "sentencepiece_round_trip", lambda *a, **k: seen.append(coded(*a, **k)) or seen[-1])
+    out = corpus_pipeline.encode(spark, documents(spark, sf_dir), sf_dir)
+    assert out.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert "decoded" not in seen[0].columns
