@@ -20,6 +20,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -43,7 +44,12 @@ MANIFEST = "path string, first_key long, n_docs long, n_tokens long"
 #: pattern hold among the first 256 characters.
 SPLIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LETTERS, NUMBERS, SPACES = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
-_PIECE = re.compile(SPLIT_PATTERN.replace(r"\p{L}", LETTERS).replace(r"\p{N}", NUMBERS).replace(r"\s", SPACES))
+#: The same pattern with its most frequent alternative first; no two of the alternatives moved begin alike.
+_PIECE = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^{SPACES}{LETTERS}{NUMBERS}]+")
+
+
+#: The signs by which byte-level tokenizers write the bytes that have no sign of their own.
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 class TokenCache:
@@ -69,12 +75,11 @@ class TokenCache:
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         spec = json.loads(self.tokenizer.to_str())
         normalizers = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
-        splits = [x["pattern"]["Regex"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
-        self.by_piece = bool(suffix) and normalizers == ["NFC", "Replace", "Lowercase"] and splits == [SPLIT_PATTERN]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        splits = [x["pattern"]["Regex"] for x in steps if x["type"] == "Split"]
+        signs = [x["add_prefix_space"] or x["use_regex"] for x in steps if x["type"] == "ByteLevel"]
+        self.by_piece = bool(suffix) and normalizers == ["NFC", "Replace", "Lowercase"] and splits == [SPLIT_PATTERN] and signs == [False] and len(steps) == 2
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text. New pieces of all texts are encoded together."""
@@ -109,24 +114,27 @@ class TokenCache:
             self.ids.clear()
             self.held = 0
             new = pieces
-        self.long = [p for p in new if len(p) > LONGEST_KEPT]
         plain = list(new) if self._plain(" ".join(new)) else [p for p in new if self._plain(p)]
         for low in range(0, len(plain), 1000):
             self._learn_plain(plain[low : low + 1000])
         for piece in new - self.ids.keys():
             self.ids[piece] = self._ids(piece).tobytes()
-        self.held += sum(ENTRY_BYTES + 4 * len(p) + len(self.ids[p]) for p in new if len(p) <= LONGEST_KEPT)
+        self.long = [p for p in new if len(p) > LONGEST_KEPT]
+        kept = new.difference(self.long)
+        self.held += ENTRY_BYTES * len(kept) + 4 * sum(map(len, kept)) + sum(map(len, map(self.ids.__getitem__, kept)))
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn_plain(self, pieces: list[str]) -> None:
-        """Encode pieces in one call and cut the ids where one ends; does nothing if that doesn't work out."""
-        ids = self._ids(" ".join(pieces))
-        stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-        if len(stops) == len(pieces):
-            found = ids.tobytes()
-            self.ids.update(zip(pieces, [found[a:b] for a, b in zip([0, *stops], stops)], strict=True))
+        """Encode pieces, already normalised and split, by the library's model alone.
+
+        The last one also goes through the whole tokenizer; on a difference nothing is learnt.
+        """
+        tokenize = self.tokenizer.model.tokenize
+        found = {p: array("I", [t.id for t in tokenize(p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes() for p in pieces}
+        if pieces and found[pieces[-1]] == self._ids(pieces[-1]).tobytes():
+            self.ids.update(found)
 
 
 _caches: dict[str, TokenCache] = {}

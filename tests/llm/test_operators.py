@@ -104,6 +104,20 @@ def test_pieces_of_odd_texts(tokenizer):
     assert [np.frombuffer(x, "<u4").tolist() for x in other.encode_all(texts)] == expected
 
 
+def test_pieces_by_the_model_alone(tokenizer):
+    cache = TokenCache(queries.vocabulary("word_bpe_49k.json"))
+    rng = np.random.default_rng(6)
+    signs = [chr(c) for c in range(256)]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 30))) for _ in range(2000)]
+    pieces = sorted({p for t in texts for p in cache._pieces(t)} | set("'s 't 're 've 'm 'll 'd".split()))
+    whole = cache.tokenizer.encode_batch([*pieces], add_special_tokens=False)
+    asked = []
+    ids, cache._ids = cache._ids, lambda text: asked.append(text) or ids(text)
+    cache._learn(set(pieces))
+    assert {p: np.frombuffer(x, "<u4").tolist() for p, x in cache.ids.items()} == {p: x.ids for p, x in zip(pieces, whole, strict=True)}
+    assert all(len(text) <= 64 and " " not in text for text in asked) and len(asked) <= len(pieces) // 1000 + 1
+
+
 def test_random_access_and_damage(spark, docs, tmp_path, tokenizer):
     texts = dict(pairs(docs, "doc_id", "text"))
     manifest = write_shards(docs.coalesce(1), queries.vocabulary("word_bpe_49k.json"), str(tmp_path / "shards"))
