@@ -21,16 +21,26 @@ from promoscan.llm.suffix_array_dedup import suffix_array_dedup
 #: The stages learn, choose and encode; no SQL gives the same rows.
 ORACLE_SQL = None
 
+#: Bytes of an Arrow batch. By default 10,000 rows go at once, some 35 MB of text, of which each task holds
+#: several copies between JVM and Python.
+BATCH_BYTES = 4 << 20
+
+
+def prepared(spark: SparkSession) -> None:
+    """What each stage needs of the session."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifiers keep."""
-    ship(spark)
+    prepared(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group whose five-word shingles link at a similarity of 0.8 or more."""
-    ship(spark)
+    prepared(spark)
     return drop_near_copies(docs)
 
 
@@ -40,7 +50,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A cut may leave part of a character, which goes too. ``n_chars`` is counted anew; a text that was
     null or empty before stays as it is.
     """
-    ship(spark)
+    prepared(spark)
     cut = suffix_array_dedup(docs, as_text=True)
     cut = cut.filter("n_removed = 0 or length(kept) > 0")
     chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
@@ -50,13 +60,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    ship(spark)
+    prepared(spark)
     return mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, source, n_tokens, ids, ids_sha256, decoded_sha256) of each document of the mix."""
-    ship(spark)
+    prepared(spark)
     coded = sentencepiece_round_trip(docs, vocabulary("piece_bpe_32k.model"), carry=["doc_id", "source"], with_ids=True, with_text=False)
     return coded.select("row.doc_id", "row.source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 

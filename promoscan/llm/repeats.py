@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promoscan.llm.anchors import RangeHash, anchor_runs, byte_grams, mix, symbol_grams
-from promoscan.llm.common import slices, split_words
+from promoscan.llm.common import lean, slices, split_words
 
 #: More distinct contexts of an anchor than these in one task, or over all, make it hot.
 HOT_IN_TASK, HOT = 64, 4096
 #: Anchors that a task combines at a time, and context symbols compared at a time.
 COMBINE, COMPARE = 1 << 19, 1 << 20
+#: Bytes of text whose anchors are sought at a time; each takes some hundred bytes of arrays.
+SOUGHT = 1 << 20
 SPAN, MARK, SOME, MANY = 0, 1, 2, 3
 _PART_OF_HASH = np.uint64(0xFFFFFFFF)
 
@@ -97,22 +99,11 @@ class Windows:
         return (symbol_grams if self.words else byte_grams)(data, self.gram)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 1 << 20:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of words; the cache holds a bounded number of them."""
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of words. Nothing is cached: invented words are many, and a cache is no faster."""
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def merged(k: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,6 +173,20 @@ def _run_starts(new: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """``parts`` in a row; the list is emptied, so that they go once nothing else holds them."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
+
+
+def _columns_of(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """The columns of all ``held`` parts, which are let go one column after the other."""
+    columns = [list(c) for c in zip(*held, strict=True)]
+    held.clear()
+    return [_joined(c) for c in columns]
+
+
 def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether ``size`` symbols (one or more) at a and at b are the same, a bounded number at a time."""
     out = np.empty(len(a), bool)
@@ -227,7 +232,7 @@ def anchor_rows(w: Windows):
     def run(batches):
         held, texts, size, symbols = [], [], 0, 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SOUGHT):
                 keys = part.column("k").to_numpy()
                 data, starts, _ = w.read(part.column("text"))
                 grams = w.grams(data)
@@ -241,12 +246,12 @@ def anchor_rows(w: Windows):
                 texts.append(data)
                 size, symbols = size + len(at), symbols + len(data)
                 if size >= COMBINE:
-                    yield from combine(np.concatenate(texts), *map(np.concatenate, zip(*held, strict=True)))
-                    held, texts, size, symbols = [], [], 0, 0
+                    yield from combine(_joined(texts), *_columns_of(held))
+                    size, symbols = 0, 0
         if held:
-            yield from combine(np.concatenate(texts), *map(np.concatenate, zip(*held, strict=True)))
+            yield from combine(_joined(texts), *_columns_of(held))
 
-    return run
+    return lean(run)
 
 
 def whole_groups(batches, limit: int, weight: Callable | None = None):
@@ -318,7 +323,7 @@ def meet(w: Windows):
             need = ~copies & (many | (distinct[group] > 1) | (w.whole_copies & repeated[group] & (new | ~first)))
             yield _batch(_PART_SCHEMA, k[need], np.where(many, MANY, SOME)[need].astype(np.int8), at[need], g[need])
 
-    return run
+    return lean(run)
 
 
 def contexts(w: Windows):
@@ -334,7 +339,7 @@ def contexts(w: Windows):
     def run(batches):
         held, size = [], 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SOUGHT):
                 data, starts, text = w.read(part.column("text"))
                 needs = part.column("needs")
                 count = np.diff(needs.offsets.to_numpy())
@@ -359,12 +364,12 @@ def contexts(w: Windows):
                     held.append((h1, h2, np.repeat(key[x], n), at - starts[d]))
                     size += len(at)
                     if size >= COMBINE:
-                        yield from combine(*map(np.concatenate, zip(*held, strict=True)))
-                        held, size = [], 0
+                        yield from combine(*_columns_of(held))
+                        size = 0
         if held:
-            yield from combine(*map(np.concatenate, zip(*held, strict=True)))
+            yield from combine(*_columns_of(held))
 
-    return run
+    return lean(run)
 
 
 def compare(w: Windows, refine: Callable):
@@ -438,7 +443,7 @@ def compare(w: Windows, refine: Callable):
         if open_rows is not None:
             yield decide(open_rows)
 
-    return run
+    return lean(run)
 
 
 def with_repeats(docs: DataFrame, w: Windows, refine: Callable) -> DataFrame:

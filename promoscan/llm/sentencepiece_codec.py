@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscan.llm.common import slices
+from promoscan.llm.common import lean, slices
 
 MARK = "▁"
 UNITS = re.compile(f"{MARK}+[^{MARK}]*")
@@ -41,7 +41,7 @@ class Codec:
 
     It caches ``CACHED_UNITS`` units of ``LONGEST_KEPT`` characters at most, and longer ones (whole
     paragraphs, in text without spaces) only while the texts at hand are encoded. Beyond ``CACHE_BYTES``
-    it is emptied.
+    and at the end of a partition it is emptied.
     """
 
     def __init__(self, model_file: str):
@@ -196,11 +196,15 @@ class Codec:
                 out[w] = ids[a:b] if ok else b"".join(map(self._symbol_ids, left[a // 4 : b // 4].tolist()))
         return [np.array(self.encode_unit(u), "<u4").tobytes() if x is None else x for u, x in zip(units, out, strict=True)]
 
+    def forget(self) -> None:
+        """Empty the cache."""
+        self.units.clear()
+        self.held = 0
+
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Encode units that aren't cached and check them against the library; keeps those that aren't long."""
         if len(self.units) + len(new) > CACHED_UNITS or self.held > CACHE_BYTES:
-            self.units.clear()
-            self.held = 0
+            self.forget()
         found = [x for low in range(0, len(new), ROWS) for x in self.encode_units([MARK + u for u in new[low : low + ROWS]])]
         expected = self.library.encode([u.replace(MARK, " ") for u in new], num_threads=1)
         right = np.fromiter(chain.from_iterable(expected), "<u4").tobytes()
@@ -304,8 +308,10 @@ def _encode(model_file: str, with_ids: bool, with_text: bool):
                     columns.append(pa.array(texts, pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        # most units are met in one partition only, so that the next gains little by them
+        c.forget()
 
-    return run
+    return lean(run)
 
 
 def sentencepiece_round_trip(docs: DataFrame, model_file: str, text_col: str = "text", carry: list[str] | None = None, with_ids: bool = False, with_text: bool | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promoscan.llm.common import row_keys
+from promoscan.llm.common import lean, row_keys
 from promoscan.llm.repeats import Windows, union_of, with_repeats
 
 WIDTH, GRAM, START_DEPTH = 100, 24, 8
@@ -89,7 +89,7 @@ def _cut(as_text: bool):
             counts = [pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *counts, last], names=["row", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return run
+    return lean(run)
 
 
 def suffix_array_dedup(

@@ -3,9 +3,10 @@
 import importlib
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 
-from promoscan.llm import queries
+from promoscan.llm import queries, sentencepiece_codec
 from tests.check import connect, difference
 from tests.llm.helpers import cut_bytes, documents
 
@@ -54,3 +55,22 @@ def test_encode_sends_no_decoded_texts(spark, sf_dir, monkeypatch):
     out = corpus_pipeline.encode(spark, documents(spark, sf_dir), sf_dir)
     assert out.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
     assert "decoded" not in seen[0].columns
+
+
+def test_stages_send_small_batches(spark, sf_dir):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    corpus_pipeline.encode(spark, documents(spark, sf_dir), sf_dir)
+    found = spark.range(0, 4000, 1, 1).selectExpr("repeat('x', 5000) as text").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in found) == 4000
+    assert max(r.size for r in found) < 5_000_000
+
+
+def test_workers_keep_no_units_after_a_partition():
+    model = queries.vocabulary("piece_bpe_32k.model")
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words here", None])], names=["row", "text"])
+    out = [b.num_rows for b in sentencepiece_codec._encode(model, True, False)(iter([batch, batch]))]
+    assert sum(out) == 4
+    assert not sentencepiece_codec.codec(model).units

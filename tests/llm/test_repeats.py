@@ -1,9 +1,11 @@
 """Repeated strings and word windows against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 
 from promoscan.llm import repeats
 from promoscan.llm import substring_dedup as substring_module
@@ -232,3 +234,23 @@ def test_anchors_over_several_tables(spark, monkeypatch):
 
     monkeypatch.setattr(repeats, "compare", small)
     check(junk(spark))
+
+
+def test_word_hashes_hold_no_words():
+    repeats.word_hashes([b"first"])
+    words = [b"word%d" % i for i in range(100_000)]
+    tracemalloc.start()
+    try:
+        got = repeats.word_hashes(words)
+        held = tracemalloc.get_traced_memory()[0] - got.nbytes
+    finally:
+        tracemalloc.stop()
+    assert got[:100].tolist() == [xxhash.xxh3_64_intdigest(w) for w in words[:100]]
+    assert held < 1_000_000
+    assert repeats.word_hashes([]).tolist() == []
+
+
+def test_held_columns_are_let_go():
+    held = [(np.arange(3), np.arange(3) + 5), (np.arange(2), np.arange(2))]
+    a, b = repeats._columns_of(held)
+    assert (a.tolist(), b.tolist(), held) == ([0, 1, 2, 0, 1], [5, 6, 7, 0, 1], [])
