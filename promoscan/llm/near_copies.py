@@ -76,14 +76,14 @@ def _frequent(shingle: int):
 
 
 def _prefixes(shingle: int, similarity: float, places: np.ndarray, weights: np.ndarray):
-    """(k, two hashes of the set, its size, its fingerprint, its prefix in the common order) per row."""
+    """(k, two hashes of the set, its size, its fingerprint, its prefix in the common order, its sign) per row."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             for part in slices(batch, "text"):
-                first, second, sizes, prints, prefixes = [], [], [], [], []
+                first, second, sizes, prints, prefixes, signs = [], [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     found = shingle_set(text, shingle)
                     both = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
@@ -99,16 +99,22 @@ def _prefixes(shingle: int, similarity: float, places: np.ndarray, weights: np.n
                         weight = np.where(places[at] == place, weights[at], 0)
                     order = np.argsort(weight, kind="stable")
                     prefixes.append(found[order[: n - least_shared(n, similarity) + 1 if n else 0]].view(np.int64))
+                    signs.append(sign(found))
                 columns = [part.column("k"), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int64())]
-                columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "h1", "h2", "n", "print", "prefix"])
+                columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "h1", "h2", "n", "print", "prefix", "sign"])
 
     return run
 
 
-def parities(found: np.ndarray) -> bytes:
+def sign(found: np.ndarray) -> np.ndarray:
+    """The parities of a set in ``LEAST_BITS`` places whatever its size, as longs: few enough to travel with rows."""
+    return np.frombuffer(parities(found, LEAST_BITS), np.int64)
+
+
+def parities(found: np.ndarray, bits: int | None = None) -> bytes:
     """Which of a power of two of places, one per shingle at least, hold an odd number of shingles of the set."""
-    bits = max(LEAST_BITS, 1 << max(len(found) - 1, 0).bit_length())
+    bits = bits or max(LEAST_BITS, 1 << max(len(found) - 1, 0).bit_length())
     odd = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -205,13 +211,20 @@ def _close(similarity: float) -> Column:
     return (F.bit_count(F.expr("l.print ^ r.print")) <= RADIUS) & sizes
 
 
-def near_links(rows: DataFrame, texts: DataFrame, possible: Column, paired: int, earlier: DataFrame | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _signs_allow(similarity: float) -> Column:
+    """Whether the signs of l and r differ in no more places than similar sets of their sizes do."""
+    places = " + ".join(f"bit_count(l.sign[{i}] ^ r.sign[{i}])" for i in range(LEAST_BITS // 64))
+    return F.expr(places) <= F.expr("l.n + r.n") * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
+
+
+def near_links(rows: DataFrame, texts: DataFrame, signs: DataFrame, possible: Column, paired: int, earlier: DataFrame | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that, with ``earlier`` ones, join all similar sets that share a key, maybe via others.
 
-    ``rows`` (k, component, key, and what ``possible`` reads of rows l and r) are sets in buckets; links
-    join similar sets alone. In a bucket, sets of different components that ``earlier`` links made are
+    ``rows`` (k, component, key, and what ``possible`` reads of rows l and r) are sets in buckets, ``signs``
+    (k, sign) has each set once; links join similar sets alone. In a bucket, sets of different components that ``earlier`` links made are
     compared in pairs. Buckets of over ``paired`` sets are compared with three of theirs first, and then
-    only between sets that links leave apart: many copies of one document take no pairs among each other.
+    only between sets that links leave apart: many copies of one document take no pairs among each other,
+    and different documents with a common shingle none that their signs rule out.
     """
     hubs = [F.min("k").alias("m0"), *[F.min_by("k", F.xxhash64("k", F.lit(i))).alias(f"m{i}") for i in (1, 2)]]
     ends = [F.min("component").alias("x"), F.max("component").alias("y")]
@@ -231,11 +244,11 @@ def near_links(rows: DataFrame, texts: DataFrame, possible: Column, paired: int,
     named = large.join(groups, large["k"] == groups["node"], "left").select(*kept, F.coalesce(groups["component"], "k").alias("component"))
     named = stored(named, "near-named")
     mixed = named.groupBy("key").agg(F.count("*").alias("size"), *ends).filter("x < y").select("key", "size")
-    open_rows = stored(named.join(mixed, "key"), "near-open")
+    open_rows = stored(named.join(mixed, "key").join(signs, "k"), "near-open")
     discard(members, named)
     if open_rows.isEmpty():
         return links
-    more = _verified(texts, _tiled(open_rows, possible), shingle, similarity, sift=True)
+    more = _verified(texts, _tiled(open_rows, possible & _signs_allow(similarity)), shingle, similarity, sift=True)
     discard(open_rows)
     return links.unionByName(more)
 
@@ -265,19 +278,19 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     counts = texts.mapInArrow(_frequent(shingle), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     ranked = sorted((r.place, r.n) for r in counts.orderBy(F.desc("n"), "place").limit(RANKED).collect())
     places, weights = np.array([p for p, _ in ranked], np.int64), np.array([n for _, n in ranked], np.int64)
-    kind = "k long, h1 long, h2 long, n long, print long, prefix array<long>"
+    kind = "k long, h1 long, h2 long, n long, print long, prefix array<long>, sign array<long>"
     found = texts.mapInArrow(_prefixes(shingle, similarity, places, weights), kind)
     # equal sets have equal prefixes: the first row of each stands for them all
-    once = [F.any_value(c).alias(c) for c in ("n", "print", "prefix")]
+    once = [F.any_value(c).alias(c) for c in ("n", "print", "prefix", "sign")]
     sets = stored(found.groupBy("h1", "h2").agg(F.min("k").alias("k"), *once).drop("h1", "h2"), "near-prefixes")
     prints = sets.select("k", "n", "print", F.col("k").alias("component"), F.explode(F.array(*table_keys(RADIUS))).alias("key"))
-    close = near_links(prints, texts, _close(similarity), PRINTS_PAIRED, None, shingle, similarity)
+    close = near_links(prints, texts, sets.select("k", "sign"), _close(similarity), PRINTS_PAIRED, None, shingle, similarity)
     groups = components(close)
-    rest = sets.join(groups, sets["k"] == groups["node"], "left").select("k", "n", F.coalesce("component", "k").alias("component"), "prefix")
+    rest = sets.join(groups, sets["k"] == groups["node"], "left").select("k", "n", F.coalesce("component", "k").alias("component"), "prefix", "sign")
     rest = stored(rest, "near-rest")
     discard(sets)
     places_of = rest.select("k", "n", "component", F.posexplode("prefix").alias("place", "key"))
-    links = close.unionByName(near_links(places_of, texts, _possible(similarity), PAIRED, close, shingle, similarity))
+    links = close.unionByName(near_links(places_of, texts, rest.select("k", "sign"), _possible(similarity), PAIRED, close, shingle, similarity))
     groups = components(links)
     later = groups.filter("node <> component").select(F.col("node").alias("_row_key"))
     firsts = stored(rest.select(F.col("k").alias("_row_key")).join(later, "_row_key", "left_anti"), "near-firsts")

@@ -114,3 +114,14 @@ def test_own_names_as_columns(spark):
     out = near_copies.drop_near_copies(docs)
     assert out.columns == docs.columns
     assert {(r.doc_id, r._row_key) for r in out.collect()} == {(i, i) for i in firsts([r[:2] for r in rows])}
+
+
+def test_signs_leave_no_pairs_of_a_common_passage(spark, monkeypatch):
+    passage = [f"law{i}" for i in range(30)]
+    rows = [(d, " ".join(passage + [f"own{d}x{i}" for i in range(70)])) for d in range(80)]
+    seen, tiled = [], near_copies._tiled
+    monkeypatch.setattr(near_copies, "RANKED", 0)  # so that the passage gets into prefixes
+    monkeypatch.setattr(near_copies, "_tiled", lambda *a: seen.append(tiled(*a).count()) or tiled(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_copies.drop_near_copies(docs).count() == len(rows)
+    assert seen and sum(seen) == 0
