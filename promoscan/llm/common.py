@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let go of the shuffle files that only ended jobs have read; Spark deletes them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def packed(df: DataFrame) -> DataFrame:
     """All columns of ``df`` in one struct ``row``, so that no name of theirs can clash with another."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -9,6 +9,9 @@ Sets of ``n`` shingles that share ``t`` of their union share at least ``t * n``
 any common order the first ``n - ceil(t * n) + 1`` shingles of both have one in common: no pair is
 missed. The order puts shingles that are frequent, by a bounded table of hashed counts, last; the
 table decides how many candidates there are, never which pairs are found. Every candidate is verified.
+
+Texts and whole rows of keys never go through a shuffle: keys travel packed (:mod:`promoscan.llm.shared_keys`),
+and sets are made where the texts are read, for the rows that a bounded table of ids lets pass.
 """
 
 from __future__ import annotations
@@ -21,19 +24,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promoscan.llm.common import discard, field, packed, row_keys, slices, stored
+from promoscan.llm.common import discard, field, forget, lean, packed, row_keys, slices, stored
 from promoscan.llm.components import components
-from promoscan.llm.simhash_dedup import majority, table_keys
+from promoscan.llm.shared_keys import Keys, is_marked, list_keys, marked, mask_keys, meeting, place_of
+from promoscan.llm.simhash_dedup import covering_masks, majority
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits by which fingerprints of a candidate pair differ at most (63 tables), and buckets of tables that are compared in pairs.
 RADIUS, PRINTS_PAIRED = 5, 8
 #: Buckets of more sets are linked through a few of them first; what is left is compared in tiles of so many.
-PAIRED, TILE = 64, 512
+PAIRED, TILE = 16, 512
 #: Fewest places of the parities of a set.
 LEAST_BITS = 512
 #: Bits of the hashed counts, most counts that a task reports, and most that the order uses.
 COUNT_BITS, REPORTED, RANKED = 22, 1 << 14, 1 << 16
+#: Bits of the table of ids whose sets are made (4 MB); with many more ids than places, more sets are made than needed.
+ID_BITS = 25
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -76,14 +82,14 @@ def _frequent(shingle: int):
 
 
 def _prefixes(shingle: int, similarity: float, places: np.ndarray, weights: np.ndarray):
-    """(k, two hashes of the set, its size, its fingerprint, its prefix in the common order, its sign) per row."""
+    """(k, two hashes of the set, its size, its fingerprint, its prefix in the common order, its sign and parities) per row."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             for part in slices(batch, "text"):
-                first, second, sizes, prints, prefixes, signs = [], [], [], [], [], []
+                first, second, sizes, prints, prefixes, signs, forms = [], [], [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     found = shingle_set(text, shingle)
                     both = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
@@ -100,9 +106,10 @@ def _prefixes(shingle: int, similarity: float, places: np.ndarray, weights: np.n
                     order = np.argsort(weight, kind="stable")
                     prefixes.append(found[order[: n - least_shared(n, similarity) + 1 if n else 0]].view(np.int64))
                     signs.append(sign(found))
+                    forms.append(parities(found))
                 columns = [part.column("k"), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int64())]
-                columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["k", "h1", "h2", "n", "print", "prefix", "sign"])
+                columns += [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(prefixes, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int64())), pa.array(forms, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "h1", "h2", "n", "print", "prefix", "sign", "form"])
 
     return run
 
@@ -131,14 +138,15 @@ def odd_places(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded ^ y).sum())
 
 
-def _sets(shingle: int, form: Callable[[np.ndarray], bytes]):
-    """(k, size of the set, the set in some ``form``) per row."""
+def _sets(shingle: int, ids: bytes):
+    """(k, size of the set, the set) of the rows whose ids are marked, and maybe of some others."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            wanted = is_marked(ids, batch.column("place").to_numpy(zero_copy_only=False))
+            for part in slices(batch.filter(pa.array(wanted)), "text"):
                 found = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
-                sizes, forms = pa.array(map(len, found), pa.int64()), pa.array(map(form, found), pa.binary())
+                sizes, forms = pa.array(map(len, found), pa.int64()), pa.array(map(np.ndarray.tobytes, found), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("k"), sizes, forms], names=["k", "n", "form"])
 
     return run
@@ -174,35 +182,60 @@ def _passing(pairs: DataFrame, forms: DataFrame, keep, name: str) -> DataFrame:
     left = forms.select(F.col("k").alias("a"), F.col("form").alias("x"), F.col("n").alias("na"))
     right = forms.select(F.col("k").alias("b"), F.col("form").alias("y"), F.col("n").alias("nb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n"))
-    return stored(both.mapInArrow(_kept(keep), "a long, b long"), name)
+    return stored(both.mapInArrow(lean(_kept(keep)), "a long, b long"), name)
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float, sift: bool) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, similarity: float, sift: bool) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar enough, by the sets themselves.
 
     With ``sift``, parities, a bit or two a shingle, rule out nearly all others before whole sets are moved.
     """
-
-    def forms(of: DataFrame, form, name: str) -> DataFrame:
-        ids = of.select(F.col("a").alias("k")).unionByName(of.select(F.col("b").alias("k"))).distinct()
-        return stored(texts.join(ids, "k", "left_semi").mapInArrow(_sets(shingle, form), "k long, n long, form binary"), name)
-
-    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    left = pairs
+    left = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     if sift:
-        sketches = forms(pairs, parities, "near-parities")
-        left = _passing(pairs, sketches, _maybe(similarity), "near-candidates")
-        discard(pairs, sketches)
-    sets = forms(left, np.ndarray.tobytes, "near-sets")
-    links = _passing(left, sets, _similar(similarity), "near-links")
-    discard(left, sets)
+        pairs, left = left, _passing(left, sets, _maybe(similarity), "near-candidates")
+        discard(pairs)
+    ids = marked(left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))), ID_BITS)
+    whole = texts.select("k", "text", place_of("k", ID_BITS).alias("place")).mapInArrow(lean(_sets(shingle, ids)), "k long, n long, form binary")
+    whole = stored(whole, "near-sets")
+    forget(texts.sparkSession)
+    links = _spanning(left, whole, similarity)
+    discard(left, whole)
+    forget(texts.sparkSession)
     return links
 
 
+def _spanning(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Links among ``pairs`` (a, b) that join what all similar ones of them join.
+
+    Pairs that are left here are nearly all similar, and many copies of one text are many more pairs than sets. So each
+    set is compared with the smallest of its partners first, and other pairs only if that leaves them apart.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = stored(both.groupBy("a").agg(F.min("b").alias("b")), "near-least")
+    if pairs.count() < least.count():
+        discard(least)
+        return _passing(pairs, whole, _similar(similarity), "near-links")
+    first = least.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _passing(first, whole, _similar(similarity), "near-links")
+    discard(least)
+    forget(pairs.sparkSession)
+    groups = components(links)
+    left, right = (groups.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")) for c in "ab")
+    apart = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    apart = stored(apart.select("a", "b"), "near-apart")
+    more = _passing(apart, whole, _similar(similarity), "near-links")
+    discard(apart)
+    return links.unionByName(more)
+
+
 def _possible(similarity: float) -> Column:
-    """Whether sizes and places in the prefixes of l and r leave room for enough shared shingles."""
+    """Whether what follows the common shingle in l and r, itself included, is enough to be shared.
+
+    The first shingle in the common order that two sets share has all others behind it, so that similar sets
+    pass in the bucket of that one.
+    """
     rest = F.least(F.expr("l.n - l.place"), F.expr("r.n - r.place"))
-    return F.least(F.col("l.place"), F.col("r.place")) + rest >= F.expr("l.n + r.n") * F.lit(similarity / (1 + similarity)) - 1e-6
+    return rest >= F.expr("l.n + r.n") * F.lit(similarity / (1 + similarity)) - 1e-6
 
 
 def _close(similarity: float) -> Column:
@@ -217,38 +250,38 @@ def _signs_allow(similarity: float) -> Column:
     return F.expr(places) <= F.expr("l.n + r.n") * F.lit((1 - similarity) / (1 + similarity)) + 1e-6
 
 
-def near_links(rows: DataFrame, texts: DataFrame, signs: DataFrame, possible: Column, paired: int, earlier: DataFrame | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_links(rows: DataFrame, keys_of: Keys, name: str, texts: DataFrame, sets: DataFrame, possible: Column, paired: int, earlier: DataFrame | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Links (a, b) that, with ``earlier`` ones, join all similar sets that share a key, maybe via others.
 
-    ``rows`` (k, component, key, and what ``possible`` reads of rows l and r) are sets in buckets, ``signs``
-    (k, sign) has each set once; links join similar sets alone. In a bucket, sets of different components that ``earlier`` links made are
+    ``rows`` (k, component, n, and what ``keys_of`` reads) are sets; the number that comes with each key is column ``name`` of rows l and r, which
+    ``possible`` reads. ``sets`` (k, n, sign, form) has each set once; links join similar sets alone. In a bucket, sets of different components that ``earlier`` links made are
     compared in pairs. Buckets of over ``paired`` sets are compared with three of theirs first, and then
     only between sets that links leave apart: many copies of one document take no pairs among each other,
     and different documents with a common shingle none that their signs rule out.
     """
-    hubs = [F.min("k").alias("m0"), *[F.min_by("k", F.xxhash64("k", F.lit(i))).alias(f"m{i}") for i in (1, 2)]]
-    ends = [F.min("component").alias("x"), F.max("component").alias("y")]
-    buckets = rows.groupBy("key").agg(F.count("*").alias("size"), *ends, *hubs).filter("x < y").drop("x", "y")
-    members = stored(rows.join(buckets, "key"), "near-buckets")
-    small, large = members.filter(F.col("size") <= paired), members.filter(F.col("size") > paired)
+    spark = rows.sparkSession
+    members = stored(meeting(rows, keys_of, paired, similarity, name == "place").withColumnRenamed("x", name), "near-buckets")
+    forget(spark)
+    small, large = members.filter(F.col("size") <= paired).select("key", "k", "component", "n", name), members.filter(F.col("size") > paired)
 
     pairs = small.alias("l").join(small.alias("r"), (F.col("l.key") == F.col("r.key")) & F.expr("l.k < r.k and l.component <> r.component") & possible)
     pairs = pairs.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
     stars = large.select("k", F.explode(F.array("m0", "m1", "m2")).alias("m")).filter("k <> m").select(F.col("k").alias("a"), F.col("m").alias("b"))
-    links = _verified(texts, pairs.unionByName(stars), shingle, similarity, sift=earlier is not None)
+    links = _verified(texts, pairs.unionByName(stars), sets, shingle, similarity, sift=earlier is not None)
     if large.isEmpty():
         discard(members)
         return links
     groups = components(links if earlier is None else earlier.unionByName(links))
-    kept = [F.col(c) for c in rows.columns if c != "component"]
-    named = large.join(groups, large["k"] == groups["node"], "left").select(*kept, F.coalesce(groups["component"], "k").alias("component"))
-    named = stored(named, "near-named")
+    named = large.select("key", "k", "n", name).join(groups, large["k"] == groups["node"], "left")
+    named = stored(named.select("key", "k", "n", name, F.coalesce("component", "k").alias("component")), "near-named")
+    ends = [F.min("component").alias("x"), F.max("component").alias("y")]
     mixed = named.groupBy("key").agg(F.count("*").alias("size"), *ends).filter("x < y").select("key", "size")
-    open_rows = stored(named.join(mixed, "key").join(signs, "k"), "near-open")
+    open_rows = stored(named.join(mixed, "key").join(sets.select("k", "sign"), "k"), "near-open")
     discard(members, named)
+    forget(spark)
     if open_rows.isEmpty():
         return links
-    more = _verified(texts, _tiled(open_rows, possible & _signs_allow(similarity)), shingle, similarity, sift=True)
+    more = _verified(texts, _tiled(open_rows, possible & _signs_allow(similarity)), sets, shingle, similarity, sift=True)
     discard(open_rows)
     return links.unionByName(more)
 
@@ -275,24 +308,27 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     keyed = row_keys(packed(docs), field(id_col), field(text_col))
     texts = keyed.select(F.col("_row_key").alias("k"), F.col(field(text_col)).alias("text"))
-    counts = texts.mapInArrow(_frequent(shingle), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counts = texts.mapInArrow(lean(_frequent(shingle)), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
     ranked = sorted((r.place, r.n) for r in counts.orderBy(F.desc("n"), "place").limit(RANKED).collect())
     places, weights = np.array([p for p, _ in ranked], np.int64), np.array([n for _, n in ranked], np.int64)
-    kind = "k long, h1 long, h2 long, n long, print long, prefix array<long>, sign array<long>"
-    found = texts.mapInArrow(_prefixes(shingle, similarity, places, weights), kind)
+    kind = "k long, h1 long, h2 long, n long, print long, prefix array<long>, sign array<long>, form binary"
+    found = texts.mapInArrow(lean(_prefixes(shingle, similarity, places, weights)), kind)
     # equal sets have equal prefixes: the first row of each stands for them all
-    once = [F.any_value(c).alias(c) for c in ("n", "print", "prefix", "sign")]
+    once = [F.any_value(c).alias(c) for c in ("n", "print", "prefix", "sign", "form")]
     sets = stored(found.groupBy("h1", "h2").agg(F.min("k").alias("k"), *once).drop("h1", "h2"), "near-prefixes")
-    prints = sets.select("k", "n", "print", F.col("k").alias("component"), F.explode(F.array(*table_keys(RADIUS))).alias("key"))
-    close = near_links(prints, texts, sets.select("k", "sign"), _close(similarity), PRINTS_PAIRED, None, shingle, similarity)
+    forget(docs.sparkSession)
+    prints = sets.select("k", F.col("k").alias("component"), "n", "print")
+    close = near_links(prints, mask_keys("print", covering_masks(RADIUS)), "print", texts, sets, _close(similarity), PRINTS_PAIRED, None, shingle, similarity)
     groups = components(close)
-    rest = sets.join(groups, sets["k"] == groups["node"], "left").select("k", "n", F.coalesce("component", "k").alias("component"), "prefix", "sign")
+    rest = sets.drop("print").join(groups, sets["k"] == groups["node"], "left").withColumn("component", F.coalesce("component", "k")).drop("node")
     rest = stored(rest, "near-rest")
     discard(sets)
-    places_of = rest.select("k", "n", "component", F.posexplode("prefix").alias("place", "key"))
-    links = close.unionByName(near_links(places_of, texts, rest.select("k", "sign"), _possible(similarity), PAIRED, close, shingle, similarity))
+    forget(docs.sparkSession)
+    rows = rest.select("k", "component", "n", "prefix")
+    links = close.unionByName(near_links(rows, list_keys("prefix"), "place", texts, rest, _possible(similarity), PAIRED, close, shingle, similarity))
     groups = components(links)
     later = groups.filter("node <> component").select(F.col("node").alias("_row_key"))
     firsts = stored(rest.select(F.col("k").alias("_row_key")).join(later, "_row_key", "left_anti"), "near-firsts")
     discard(rest)
+    forget(docs.sparkSession)
     return keyed.join(firsts, "_row_key", "left_semi").select("row.*")

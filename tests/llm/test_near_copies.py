@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from promoscan.llm import near_copies
+from promoscan.llm import near_copies, shared_keys
 from promoscan.llm.simhash_dedup import covering_masks
 from tests.llm.helpers import components_of, documents, numbered, odd_documents, words
 
@@ -125,3 +125,51 @@ def test_signs_leave_no_pairs_of_a_common_passage(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert near_copies.drop_near_copies(docs).count() == len(rows)
     assert seen and sum(seen) == 0
+
+
+def test_forms_are_made_of_candidates_alone_and_keys_travel_packed(spark, monkeypatch):
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = [(d, " ".join(base if d < 4 else [f"o{d}x{i}" for i in range(200)])) for d in range(400)]
+    rows[:4] = [(d, f"{' '.join(base)} tail{rnd.random()}") for d in range(4)]
+    made, met, stored = [], [], near_copies.stored
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name in ("near-sets", "near-buckets"):
+            (made if name == "near-sets" else met).append(out.count())
+        return out
+
+    monkeypatch.setattr(near_copies, "stored", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert near_copies.drop_near_copies(docs).count() == 397
+    # whole texts went through a shuffle for each of these, and every key of a set was a row that was shuffled twice
+    assert max(made) <= 4 and sum(met) <= 4 * 63
+
+
+def test_sets_without_a_partner_of_their_size_leave_a_bucket():
+    keys = np.array([5, 5, 5, 7, 7, 9, 9], np.uint64)
+    n, place = np.array([100, 100, 50, 100, 81, 100, 100]), np.array([11, 0, 0, 0, 0, 12, 0])
+    assert shared_keys.has_partner(keys, n, place, 0.8).tolist() == [True, True, False, True, True, False, True]
+
+
+def test_packed_keys_come_back():
+    rnd = np.random.default_rng(4)
+    keys = np.sort(rnd.integers(0, 1 << 40, 1000, dtype=np.uint64))
+    k = rnd.integers(-(2**63), 2**63 - 1, 1000)
+    columns = [k, k[::-1].copy(), rnd.integers(0, 9, 1000), rnd.integers(-9, 9, 1000)]
+    back = shared_keys._unpack(shared_keys._pack(keys, columns))
+    assert all((x == y).all() for x, y in zip(back, [keys, *columns], strict=True))
+
+
+def test_many_copies_move_few_sets(spark, monkeypatch):
+    words_of = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words_of, f"t{d}"]) for d in range(20)]
+    rows = [(d, np.sort(near_copies.shingle_set(t))) for d, t in enumerate(texts)]
+    whole = spark.createDataFrame([(d, len(s), bytearray(s.tobytes())) for d, s in rows], "k long, n long, form binary")
+    pairs = spark.createDataFrame([(a, b) for b in range(20) for a in range(b)], "a long, b long")
+    compared, passing = [], near_copies._passing
+    monkeypatch.setattr(near_copies, "_passing", lambda p, *x: compared.append(p.count()) or passing(p, *x))
+    links = [tuple(r) for r in near_copies._spanning(pairs, whole, 0.8).collect()]
+    assert set(components_of(range(20), links).values()) == {0}
+    assert sum(compared) <= 20
