@@ -5,7 +5,7 @@ Only these longest windows are counted. ROLLUP over their columns then sums the
 shorter prefix, which gives the occurrences of all phrases of one to five words at once.
 
 A phrase counts only from ``least`` occurrences on, and so does each of its parts. Hashed counts, in a
-table of fixed size, bound the occurrences of a phrase from above; windows are padded where the
+table that grows with the texts up to a fixed size, bound the occurrences of a phrase from above; windows are padded where the
 bound is too low, and equal short windows combine. That saves rows and never changes a result.
 """
 
@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promoscan.llm.anchors import mix
-from promoscan.llm.common import slices, stored
+from promoscan.llm.common import forget, lean, slices, stored
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNKNOWN = "und"
-#: Hashed counters of the sieve, and those that travel in one row.
-SIEVE_BITS, ROW_BITS = 24, 16
+#: Hashed counters of the sieve, fewest and most; those that travel in one row, and how many counters a word takes for each of ``least`` occurrences.
+SIEVE_BITS, MOST_BITS, ROW_BITS, SPACE = 24, 28, 16, 4
+#: Places that a task counts at once.
+COUNTED = 1 << 22
 #: Parts of a language that are ranked apart first.
 PARTS = 256
 CHUNK = 1 << 21
@@ -66,8 +68,8 @@ def _chunks(batches) -> Iterator[tuple[list[bytes], list[str], np.ndarray]]:
                 yield tokens, list(langs), np.repeat(owner, sizes)
 
 
-def _places(tokens: list[bytes], langs: list[str], owner: np.ndarray, longest: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For phrases of 2, 3, ... words: where one starts, and its place in the sieve."""
+def _places(tokens: list[bytes], langs: list[str], owner: np.ndarray, longest: int, bits: int, pairs: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For phrases of 2, 3, ... words: where one starts, and its place in the sieve; with ``pairs``, a sieve, those alone whose pairs of words pass."""
     import xxhash
 
     from promoscan.llm.repeats import word_hashes
@@ -80,60 +82,109 @@ def _places(tokens: list[bytes], langs: list[str], owner: np.ndarray, longest: i
     for k in range(1, longest):
         # the last token is a full stop, so that at + k stays inside
         go = ~stop[at + k]
+        if pairs is not None and k > 1:
+            go &= paired[at + k - 1]
         at, chain = at[go], mix(chain[go] * _MULTIPLIER + words[at[go] + k])
-        yield at, (chain >> np.uint64(64 - bits)).astype(np.int64)
+        place = (chain >> np.uint64(64 - bits)).astype(np.int64)
+        if pairs is not None and k == 1:
+            good = _passes(pairs, place)
+            at, chain, place = at[good], chain[good], place[good]
+            paired = np.zeros(len(tokens), bool)
+            paired[at] = True
+        yield at, place
 
 
-def _counted(longest: int, bits: int):
-    """Rows (part of the table, its counts) of one task."""
+def _passes(table: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (table[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
-    def run(batches):
-        import zstandard
 
-        counts = np.zeros(1 << bits, np.uint32)
+def _summed(place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place once, in order, with the sum of its counts."""
+    order = np.argsort(place, kind="stable")
+    place, n = place[order], n[order]
+    start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else np.empty(0, np.int64)
+    return place[start], np.add.reduceat(n, start) if len(place) else n
+
+
+def _rows_of(place: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Rows (part of the table, the distances of its places and their counts; low bytes first, then high ones)."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1).compress
+    ends = np.flatnonzero(np.diff(place >> ROW_BITS)) + 1
+    both = np.stack([place & 65535, np.minimum(n, 65535)]).astype("<u2")
+    data = []
+    for some in np.split(both, ends, axis=1):
+        some = np.stack([np.diff(some[0], prepend=np.uint16(0)), some[1]])
+        data.append(press(some.view(np.uint8).reshape(2, -1, 2).transpose(0, 2, 1).tobytes()))
+    parts = (place >> ROW_BITS)[np.r_[0, ends]]
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+
+
+def _counted(longest: int, bits: int, pairs: bytes | None = None):
+    """Rows (part of the table, its places and counts) of one task: of pairs, or with the sieve of ``pairs`` of longer phrases."""
+
+    def run(batches):
+        passing = None if pairs is None else np.frombuffer(pairs, np.uint8)
+        place, n = np.empty(0, np.int64), np.empty(0, np.int64)
         for chunk in _chunks(batches):
-            for _, place in _places(*chunk, longest, bits):
-                np.add.at(counts, place, 1)
-        parts = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, 1 << ROW_BITS)
-        used = np.flatnonzero(parts.any(axis=1))
-        press = zstandard.ZstdCompressor(level=1).compress
-        data = [press(parts[i].tobytes()) for i in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(data, pa.binary())], names=["part", "data"])
+            for k, (_, found) in enumerate(_places(*chunk, longest, bits, passing), 2):
+                if (k > 2) == (pairs is not None):
+                    found, times = np.unique(found, return_counts=True)
+                    place, n = _summed(np.concatenate([place, found]), np.concatenate([n, times]))
+            if len(place) > COUNTED:
+                yield _rows_of(place, n)
+                place, n = place[:0], n[:0]
+        if len(place):
+            yield _rows_of(place, n)
 
     return run
 
 
 def _frequent(least: int):
-    """Rows (part of the table, bits of its counters that reach ``least``); a task holds its parts only."""
+    """Rows (part of the table, bits of its counters that reach ``least``); a task holds one part at a time."""
 
     def run(batches):
         import zstandard
 
-        sums: dict[int, np.ndarray] = {}
         expand = zstandard.ZstdDecompressor().decompress
+
+        def passing(part, sums):
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.packbits(sums >= least).tobytes()], pa.binary())], names=["part", "bits"])
+
+        last, sums = None, None
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                counts = np.frombuffer(expand(data), np.uint16)
-                sums[part] = np.minimum(sums.get(part, 0) + counts.astype(np.int64), 1 << 40)
-        bits = [np.packbits(x >= least).tobytes() for x in sums.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(bits, pa.binary())], names=["part", "bits"])
+                if part != last:
+                    if sums is not None:
+                        yield passing(last, sums)
+                    last, sums = part, np.zeros(1 << ROW_BITS, np.int64)
+                steps, counts = np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(2, 2, -1).transpose(0, 2, 1)).view("<u2")[..., 0]
+                sums[np.cumsum(steps, dtype=np.int64)] += counts
+        if sums is not None:
+            yield passing(last, sums)
 
     return run
 
 
-def sieve(texts: DataFrame, longest: int, least: int, bits: int = SIEVE_BITS) -> bytes:
-    """A bit per place of the hashed counts: whether a phrase there can have ``least`` occurrences.
+def sieve(texts: DataFrame, longest: int, least: int, bits: int = SIEVE_BITS) -> tuple[bytes, int]:
+    """A bit per place of the hashed counts, whether a phrase there can have ``least`` occurrences; and the bits of a place.
 
-    The table has ``2**bits`` places whatever the data, 2 MB on the driver with 24 bits. Counts of a task stop at
-    65535; with a larger ``least`` everything passes.
+    Places have ``bits`` bits, or as many more as the size of the texts asks for, so that rare phrases together
+    don't reach ``least``: 28 at most, a table of 32 MB. Pairs of words are counted first, and longer phrases where all
+    their pairs pass. Counts of a task stop at 65535; with a larger ``least`` everything passes.
     """
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
+    bits = max(bits, min(MOST_BITS, int(SPACE * words / least).bit_length()))
     table = np.zeros((1 << (bits - ROW_BITS), (1 << ROW_BITS) // 8), np.uint8)
     if least > 65535:
-        return np.invert(table).tobytes()
-    rows = texts.mapInArrow(_counted(longest, bits), "part long, data binary").repartition("part")
-    for part, passing in rows.mapInArrow(_frequent(least), "part long, bits binary").collect():
-        table[part] = np.frombuffer(passing, np.uint8)
-    return table.tobytes()
+        return np.invert(table).tobytes(), bits
+    for pairs in [None, table.tobytes] if longest > 2 else [None]:
+        rows = texts.mapInArrow(lean(_counted(2 if pairs is None else longest, bits, pairs and pairs())), "part long, data binary").repartition("part").sortWithinPartitions("part")
+        for part, passing in rows.mapInArrow(lean(_frequent(least)), "part long, bits binary").collect():
+            table[part] |= np.frombuffer(passing, np.uint8)
+    forget(texts.sparkSession)
+    return table.tobytes(), bits
 
 
 def _windows(longest: int, passing: bytes, bits: int):
@@ -147,7 +198,7 @@ def _windows(longest: int, passing: bytes, bits: int):
             length = np.zeros(size + longest, np.int64)
             length[:size] = np.fromiter((t != b"." for t in tokens), bool, size)
             for k, (at, place) in enumerate(_places(tokens, langs, owner, longest, bits), 2):
-                good = at[(table[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1]
+                good = at[_passes(table, place)]
                 good = good[length[good] == k - 1]
                 length[good] = k
             # the phrase from the next word on has to be frequent, too
@@ -178,7 +229,7 @@ def phrase_counts(texts: DataFrame, longest: int = LONGEST, least: int = LEAST,
     """
     columns = [f"w{k + 1}" for k in range(longest)]
     kind = ", ".join(["lang string", *[f"{c} string" for c in columns], "n long"])
-    windows = texts.mapInArrow(_windows(longest, sieve(texts, longest, least, sieve_bits), sieve_bits), kind)
+    windows = texts.mapInArrow(lean(_windows(longest, *sieve(texts, longest, least, sieve_bits))), kind)
     counted = windows.groupBy("lang", *columns).agg(F.sum("n").alias("n"))
     sums = counted.rollup("lang", *columns).agg(F.sum("n").alias("f"), F.grouping_id().alias("left_out"))
     words = F.filter(F.array(*columns), lambda w: w.isNotNull())
@@ -208,11 +259,12 @@ def collocations(
     words of the language. A phrase is cut in two after each word; ``l`` and ``r`` are the occurrences of the parts at the
     cut with the lowest ``floor(1000 * a * n / (l * r))``, the score (the first of equal ones). A phrase
     that is part of a longer one with as many occurrences is left out. Order: score and a descending, phrase in
-    UTF-8 order. ``sieve_bits`` (17 or more) decides how many windows are shuffled, never the result. A null text is empty, a null language ``und``; other columns are ignored. Repeated rows count each
+    UTF-8 order. ``sieve_bits`` (17 or more), and more with large tables, decide how many windows are shuffled, never the result. A null text is empty, a null language ``und``; other columns are ignored. Repeated rows count each
     time. An empty table gives an empty one.
     """
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(UNKNOWN))
     counts = stored(phrase_counts(docs.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text")), longest, least, sieve_bits), "phrases")
+    forget(docs.sparkSession)
     totals = counts.filter(F.size("words") == 0).select("lang", F.col("f").alias("n"))
     phrases = counts.filter(F.size("words") > 0)
     found = phrases.filter(F.size("words") > 1).withColumnRenamed("f", "a")

@@ -75,3 +75,17 @@ def test_odd_documents(spark):
     rows = [(r.lang, r.text) for r in odd.collect()]
     assert sorted(tuple(r) for r in co.collocations(odd, least=40).collect()) == sorted(expected(rows, least=40))
     assert co.collocations(odd.limit(0)).count() == 0
+
+
+def test_the_sieve_grows_with_the_texts(spark):
+    rnd = random.Random(3)
+    rows = [("en", " ".join(["new york city", *(f"w{rnd.randrange(5000)}" for _ in range(800))])) for _ in range(400)]
+    texts = spark.createDataFrame(rows, "lang string, text string").repartition(4)
+    table, bits = co.sieve(texts, 5, 50, 17)
+    assert bits == 17
+    table, bits = co.sieve(texts, 5, 3, 17)
+    kind = "lang string, w1 string, w2 string, w3 string, w4 string, w5 string, n long"
+    windows = texts.mapInArrow(co._windows(5, table, bits), kind).filter("w2 is not null")
+    # with 17 bits, four phrases a word filled all counters up to 3, and nearly all 320,000 windows had five words
+    assert bits > 17 and 800 <= windows.count() < 60_000
+    assert windows.filter("w1 = 'new' and w2 = 'york' and w3 = 'city'").count() == 400
