@@ -138,20 +138,25 @@ def odd_places(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(folded ^ y).sum())
 
 
-def _sets(shingle: int, ids: bytes):
-    """(k, size of the set, the set) of the rows whose ids are marked, and maybe of some others."""
+def _sets(shingle: int, ids: bytes, form: Callable[[np.ndarray], bytes]):
+    """(k, size of the set, the set in some ``form``) of the rows whose ids are marked, and maybe of some others."""
 
     def run(batches):
         for batch in batches:
             wanted = is_marked(ids, batch.column("place").to_numpy(zero_copy_only=False))
             for part in slices(batch.filter(pa.array(wanted)), "text"):
                 found = [shingle_set(t, shingle) for t in part.column("text").to_pylist()]
-                sizes, forms = pa.array(map(len, found), pa.int64()), pa.array(map(np.ndarray.tobytes, found), pa.binary())
+                sizes, forms = pa.array(map(len, found), pa.int64()), pa.array(map(form, found), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("k"), sizes, forms], names=["k", "n", "form"])
 
     return run
 
 
+def fine_parities(found: np.ndarray) -> bytes:
+    """Parities of eight places a shingle at least: nearly as many of them differ as shingles do, at an eighth to a quarter of the bytes."""
+    return parities(found, max(LEAST_BITS, 8 << max(len(found) - 1, 0).bit_length()))
+
+
 def _kept(keep: Callable[[bytes, bytes, int], bool]):
     """The pairs whose forms x and y, of n shingles together, pass ``keep``; read from the Arrow buffers."""
 
@@ -188,15 +193,23 @@ def _passing(pairs: DataFrame, forms: DataFrame, keep, name: str) -> DataFrame:
 def _verified(texts: DataFrame, pairs: DataFrame, sets: DataFrame, shingle: int, similarity: float, sift: bool) -> DataFrame:
     """The ``pairs`` (a, b) whose sets are similar enough, by the sets themselves.
 
-    With ``sift``, parities, a bit or two a shingle, rule out nearly all others before whole sets are moved.
+    With ``sift``, parities, first a bit or two a shingle and then eight or more, rule out nearly all others before whole sets are moved.
     """
     left = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     if sift:
         pairs, left = left, _passing(left, sets, _maybe(similarity), "near-candidates")
         discard(pairs)
-    ids = marked(left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))), ID_BITS)
-    whole = texts.select("k", "text", place_of("k", ID_BITS).alias("place")).mapInArrow(lean(_sets(shingle, ids)), "k long, n long, form binary")
-    whole = stored(whole, "near-sets")
+
+    def forms(form, name: str) -> DataFrame:
+        ids = marked(left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))), ID_BITS)
+        placed = texts.select("k", "text", place_of("k", ID_BITS).alias("place"))
+        return stored(placed.mapInArrow(lean(_sets(shingle, ids, form)), "k long, n long, form binary"), name)
+
+    if sift and not left.isEmpty():
+        fine, pairs = forms(fine_parities, "near-parities"), left
+        left = _passing(pairs, fine, _maybe(similarity), "near-closer")
+        discard(pairs, fine)
+    whole = forms(np.ndarray.tobytes, "near-sets")
     forget(texts.sparkSession)
     links = _spanning(left, whole, similarity)
     discard(left, whole)

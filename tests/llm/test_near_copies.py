@@ -173,3 +173,13 @@ def test_many_copies_move_few_sets(spark, monkeypatch):
     links = [tuple(r) for r in near_copies._spanning(pairs, whole, 0.8).collect()]
     assert set(components_of(range(20), links).values()) == {0}
     assert sum(compared) <= 20
+
+
+def test_fine_parities_tell_what_coarse_ones_do_not():
+    rnd = np.random.default_rng(6)
+    pool = np.unique(rnd.integers(0, 2**63, 2300, dtype=np.uint64))
+    x, y = pool[:2000], pool[260:2260]  # they differ in 520 of 4000, a similarity of 0.77
+    maybe = near_copies._maybe(0.8)
+    assert maybe(near_copies.parities(x), near_copies.parities(y), 4000)
+    assert not maybe(near_copies.fine_parities(x), near_copies.fine_parities(y), 4000)
+    assert maybe(near_copies.fine_parities(x), near_copies.fine_parities(pool[200:2200]), 4000)
